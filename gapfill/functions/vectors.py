@@ -16,15 +16,17 @@ def chunks(vector: np.ndarray) -> list[tuple[int, list[float]]]:
     return [(i, vector[at:at + CHUNK].tolist()) for i, at in enumerate(range(0, len(vector), CHUNK))]
 
 
-def combine(parts: DataFrame, how: str = "sum", weight: str | None = None) -> np.ndarray:
-    """Sum or weighted mean of chunked vectors; only the result reaches the driver.
+def combine(parts: DataFrame, weight: str | None = None, **extra) -> tuple[np.ndarray, dict]:
+    """Sum (or weighted mean) of chunked vectors; only the result reaches the driver.
 
-    ``parts`` has (chunk int, part array<double>[, weight]). Grouping by chunk
-    spreads long vectors over several reducers.
+    ``parts`` has (chunk int, part array<double>, ...). Grouping by chunk spreads
+    long vectors over several reducers. ``extra`` aggregates ride along and are
+    read from the first chunk.
     """
     vec = array_to_vector(F.col("part"))
-    agg = Summarizer.sum(vec) if how == "sum" else Summarizer.mean(vec, F.col(weight))
-    rows = parts.groupBy("chunk").agg(agg.alias("v")).collect()
+    agg = Summarizer.sum(vec) if weight is None else Summarizer.mean(vec, F.col(weight))
+    rows = parts.groupBy("chunk").agg(agg.alias("v"), *[e.alias(n) for n, e in extra.items()]).collect()
     if not rows:
-        return np.zeros(0)
-    return np.concatenate([r["v"].toArray() for r in sorted(rows, key=lambda r: r["chunk"])])
+        return np.zeros(0), {n: None for n in extra}
+    rows = sorted(rows, key=lambda r: r["chunk"])
+    return np.concatenate([r["v"].toArray() for r in rows]), {n: rows[0][n] for n in extra}

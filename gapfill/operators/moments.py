@@ -55,7 +55,7 @@ def _wide_covariance(df, columns):
         yield pd.DataFrame(chunks(np.concatenate([total.ravel(), gaps])), columns=["chunk", "part"])
 
     doubles = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    flat = combine(doubles.mapInPandas(gram, "chunk int, part array<double>"))
+    flat, _ = combine(doubles.mapInPandas(gram, "chunk int, part array<double>"))
     g, gaps = flat[: (p + 1) ** 2].reshape(p + 1, p + 1), flat[(p + 1) ** 2:]
     n = g[0, 0]
     cov = g[1:, 1:] / n - np.outer(g[0, 1:], g[0, 1:]) / n**2
