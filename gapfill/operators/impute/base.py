@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import inspect
-import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -14,7 +13,7 @@ from gapfill.frames import (CATEGORICAL, NUMERICAL, as_key, column_kinds, count_
 class Imputer:
     """``fit(df, key)`` returns a :class:`Model`; parameters are constructor arguments."""
 
-    #: baselines accept a table without gaps, trained models do not
+    #: trained models refuse a table without gaps; baselines take it and skip the check
     needs_missing = True
 
     def get_params(self) -> dict:
@@ -34,11 +33,9 @@ class Imputer:
         df = normalise(df, key)
         kinds = column_kinds(df, key)
         columns = [c for c in (columns or kinds) if kinds[c] in (NUMERICAL, CATEGORICAL)]
-        missing = count_missing(df, columns)
-        if not missing["*"]:
-            if self.needs_missing:
-                raise ValueError("the input has no missing values")
-            warnings.warn("the input has no missing values", stacklevel=2)
+        missing = count_missing(df, columns) if self.needs_missing else None
+        if missing is not None and not missing["*"]:
+            raise ValueError("the input has no missing values")
         model = self._fit(df, key, {c: kinds[c] for c in columns}, missing)
         model._bind(df, key, columns, {c: kinds[c] for c in columns})
         return model

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapfill.frames import preserve_observed, split_kinds
+from gapfill.frames import any_missing, preserve_observed, split_kinds
 from gapfill.operators.impute.base import Imputer, Model
 
 SKETCH_ACCURACY = 100_000
@@ -40,6 +41,8 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     second pass counts what lies below the bracket and keeps only the distinct
     values inside it.
     """
+    if not columns:
+        return {}
     slack = 4.0 / SKETCH_ACCURACY
     probs = F.array(F.lit(0.5 - slack), F.lit(0.5 + slack))
     aggs = []
@@ -79,11 +82,16 @@ class StatisticalImputer(Imputer):
     def _fit(self, df, key, kinds, missing):
         num, cat = split_kinds(kinds)
         fills: dict[str, object] = {}
-        if num and self.numeric_strategy == "median" and not self.approx:
+        exact_median = self.numeric_strategy == "median" and not self.approx
+        middle = F.avg if self.numeric_strategy == "mean" else (lambda c: F.percentile_approx(c, 0.5, 10000))
+        aggs = [F.count_if(any_missing(list(kinds))).alias("__gaps")]
+        aggs += [middle(c).alias(c) for c in num if not exact_median]
+        row = df.agg(*aggs).first()
+        if not row["__gaps"]:
+            warnings.warn("the input has no missing values", stacklevel=3)
+        if exact_median:
             fills.update(column_medians(df, num))
-        elif num:
-            row = df.agg(*[(F.avg(c) if self.numeric_strategy == "mean" else F.percentile_approx(c, 0.5, 10000)).alias(c)
-                           for c in num]).first()
+        else:
             fills.update({c: float(row[c]) for c in num if row[c] is not None})
         if cat:
             fills.update(column_modes(df, cat))

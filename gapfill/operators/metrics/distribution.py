@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gapfill.operators.metrics.reconstruction import with_average
-from gapfill.operators.moments import covariance
+from gapfill.operators.moments import (MAX_EXPRESSION_COLUMNS, covariance_expressions, covariance_matrix, covariances)
 
 FAMILY = "distribution"
 MIN_HISTOGRAM_BINS = 5
@@ -24,23 +24,27 @@ def adaptive_bins(n: int) -> int:
     return min(max(math.isqrt(n), MIN_HISTOGRAM_BINS), MAX_HISTOGRAM_BINS)
 
 
-def column_stats(pair: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
-    """Counts and ranges of both sides, and whether anything was masked: one pass."""
+def _stat_expressions(columns: Sequence[str], flagged: bool) -> list[Column]:
     aggs = []
     for c in columns:
         for side in ("true", "imp"):
             v = F.col(f"{c}__{side}").cast("double")
             aggs += [F.count(v).alias(f"n_{side}_{c}"), F.min(v).alias(f"lo_{side}_{c}"), F.max(v).alias(f"hi_{side}_{c}")]
-        if f"{c}__missing" in pair.columns:
+        if flagged:
             aggs.append(F.count_if(F.col(f"{c}__missing")).alias(f"masked_{c}"))
-    if not aggs:
+    return aggs
+
+
+def _stats_of(row: dict, columns: Sequence[str]) -> dict[str, dict]:
+    names = ("n_true", "n_imp", "lo_true", "hi_true", "lo_imp", "hi_imp", "masked")
+    return {c: {k: row.get(f"{k}_{c}") for k in names} for c in columns}
+
+
+def column_stats(pair: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
+    """Counts and ranges of both sides: one pass."""
+    if not columns:
         return {}
-    row = pair.agg(*aggs).first().asDict()
-    out = {}
-    for c in columns:
-        out[c] = {k: row.get(f"{k}_{c}") for k in
-                  ("n_true", "n_imp", "lo_true", "hi_true", "lo_imp", "hi_imp", "masked")}
-    return out
+    return _stats_of(pair.agg(*_stat_expressions(columns, False)).first().asDict(), columns)
 
 
 def _cells(pair: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
@@ -172,23 +176,19 @@ def kl_categorical(pair: DataFrame, columns: Sequence[str]) -> DataFrame:
         "column", F.when(F.col("k") <= 1, 0.0).otherwise(F.col("kl")).alias("kl_divergence_categorical"))
 
 
-def correlation_shift(pair: DataFrame, columns: Sequence[str]) -> float | None:
-    """Normalised Frobenius distance of the two Pearson matrices.
+def _sides(columns: Sequence[str]) -> list[list[str]]:
+    return [[f"{c}__{side}" for c in columns] for side in ("true", "imp")]
 
-    A column that is constant or has a gap on either side makes its pairs
-    undefined; they count as zero. ``None`` when nothing is defined.
-    """
-    p = len(columns)
+
+def shift_of(true: list[list], imp: list[list]) -> float | None:
+    """Normalised Frobenius distance of two correlation matrices given as covariances."""
+    p, total, defined = len(true), 0.0, False
     if p < 2:
         return 0.0
-    sides = []
-    for side in ("true", "imp"):
-        sides.append(covariance(pair, [f"{c}__{side}" for c in columns], complete_columns=True))
-    total, defined = 0.0, False
     for i in range(p):
         for j in range(p):
             r = []
-            for cov in sides:
+            for cov in (true, imp):
                 vi, vj = cov[i][i], cov[j][j]
                 r.append(cov[i][j] / math.sqrt(vi * vj) if vi and vj and cov[i][j] is not None else None)
             if None in r:
@@ -196,9 +196,16 @@ def correlation_shift(pair: DataFrame, columns: Sequence[str]) -> float | None:
             defined = True
             if i != j:
                 total += (r[0] - r[1]) ** 2
-    if not defined:
-        return None
-    return math.sqrt(total) / math.sqrt(p * (p - 1) / 2)
+    return math.sqrt(total) / math.sqrt(p * (p - 1) / 2) if defined else None
+
+
+def correlation_shift(pair: DataFrame, columns: Sequence[str]) -> float | None:
+    """Change of the correlation structure, 0 when nothing moved.
+
+    A column that is constant or has a gap on either side makes its pairs
+    undefined; they count as zero. ``None`` when nothing is defined.
+    """
+    return 0.0 if len(columns) < 2 else shift_of(*covariances(pair, _sides(columns)))
 
 
 def evaluate_distribution(pair: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -207,7 +214,13 @@ def evaluate_distribution(pair: DataFrame, numeric: Sequence[str], categorical:
     the correlation shift of all numeric columns as column ``all``."""
     spark = pair.sparkSession
     schema = "family string, metric string, column string, value double"
-    stats = column_stats(pair, numeric)
+    narrow = len(numeric) <= MAX_EXPRESSION_COLUMNS
+    sides = _sides(numeric) if len(numeric) >= 2 else []
+    # counts, ranges, masks and covariances of everything in one pass
+    aggs = _stat_expressions(numeric, True) + [F.count_if(F.col(f"{c}__missing")).alias(f"masked_{c}") for c in categorical]
+    aggs += [e for t, g in enumerate(sides) for e in covariance_expressions(g, f"g{t}")] if narrow else []
+    row = pair.agg(*aggs).first().asDict() if aggs else {}
+    stats = _stats_of(row, numeric)
     live = [c for c in numeric if stats[c]["masked"] and stats[c]["n_true"] and stats[c]["n_imp"]]
     parts = []
     if live:
@@ -220,17 +233,16 @@ def evaluate_distribution(pair: DataFrame, numeric: Sequence[str], categorical:
             F.lit(FAMILY).alias("family"), F.lit("kl_divergence_numeric").alias("metric"), "column",
             F.col("kl_divergence_numeric").alias("value")))
     if categorical:
-        masked = pair.agg(*[F.count_if(F.col(f"{c}__missing")).alias(c) for c in categorical]).first()
-        live_cat = [c for c in categorical if masked[c]]
+        live_cat = [c for c in categorical if row[f"masked_{c}"]]
         if live_cat:
             parts.append(kl_categorical(pair, live_cat).select(
                 F.lit(FAMILY).alias("family"), F.lit("kl_divergence_categorical").alias("metric"), "column",
                 F.col("kl_divergence_categorical").alias("value")))
-    out = spark.createDataFrame([], schema)
-    for part in parts:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for part in parts[1:]:
         out = out.unionByName(part)
     out = with_average(out, skip_undefined) if parts else out
-    if len(numeric) >= 2:
-        shift = spark.createDataFrame([(FAMILY, "correlation_shift", "all", correlation_shift(pair, numeric))], schema)
-        out = out.unionByName(shift)
+    if sides:
+        covs = [covariance_matrix(row, len(numeric), f"g{t}") for t in range(2)] if narrow else covariances(pair, sides)
+        out = out.unionByName(spark.createDataFrame([(FAMILY, "correlation_shift", "all", shift_of(*covs))], schema))
     return out

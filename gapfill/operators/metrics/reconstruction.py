@@ -28,24 +28,17 @@ def categorical_accuracy(true: Column, pred: Column) -> Column:
     return F.avg(F.when(true.isNotNull() | pred.isNotNull(), true.eqNullSafe(pred).cast("double")))
 
 
-def metric_average(skip_undefined: bool = False) -> Column:
-    """Mean over columns; one undefined column makes it undefined unless skipped."""
-    if skip_undefined:
-        return F.avg("value")
-    return F.when(F.count_if(F.col("value").isNull()) == 0, F.avg("value"))
-
-
 def with_average(long: DataFrame, skip_undefined: bool = False) -> DataFrame:
-    """Add one ``avg`` row per metric."""
-    avg = long.groupBy("family", "metric").agg(metric_average(skip_undefined).alias("value"))
-    return long.unionByName(avg.withColumn("column", F.lit("avg")))
-
+    """Add one ``avg`` row per metric: the mean over columns.
 
-def long_row(entries: Sequence[tuple[str, str, Column]], family: str, wide: DataFrame) -> DataFrame:
-    """Lay one wide aggregate row out as (family, metric, column, value)."""
-    cells = [F.struct(F.lit(family).alias("family"), F.lit(m).alias("metric"), F.lit(c).alias("column"),
-                      v.cast("double").alias("value")) for m, c, v in entries]
-    return wide.select(F.inline(F.array(*cells)))
+    One undefined column makes the mean undefined unless skipped. Columns and
+    means come out of one grouping, so the metrics are computed once.
+    """
+    complete = F.lit(True) if skip_undefined else F.count_if(F.col("value").isNull()) == 0
+    levels = long.rollup("family", "metric", "column").agg(
+        F.when(complete, F.avg("value")).alias("value"), F.grouping_id().alias("level"))
+    return levels.where("level <= 1").select(
+        "family", "metric", F.when(F.col("level") == 1, F.lit("avg")).otherwise(F.col("column")).alias("column"), "value")
 
 
 def reconstruction_wide(pair: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

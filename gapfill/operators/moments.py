@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapfill.functions.vectors import chunks, combine
@@ -14,31 +14,36 @@ from gapfill.functions.vectors import chunks, combine
 MAX_EXPRESSION_COLUMNS = 12
 
 
-def covariance(df: DataFrame, columns: Sequence[str], complete_columns: bool = False) -> list[list[float | None]]:
-    """Population covariance matrix in one pass (plus a pass for the centre when wide).
-
-    With ``complete_columns`` every entry of a column that has a NULL is ``None``.
-    """
-    p = len(columns)
-    if p > MAX_EXPRESSION_COLUMNS:
-        return _wide_covariance(df, columns)
+def covariance_expressions(columns: Sequence[str], tag: str) -> list[Column]:
+    """Upper triangle of the population covariances and the gap counts."""
     aggs = []
-    for i in range(p):
-        a = F.col(columns[i]).cast("double")
-        aggs.append(F.count_if(a.isNull()).alias(f"gap{i}"))
-        for j in range(i, p):
-            aggs.append(F.covar_pop(a, F.col(columns[j]).cast("double")).alias(f"c{i}_{j}"))
-    row = df.agg(*aggs).first()
+    for i, a in enumerate(columns):
+        x = F.col(a).cast("double")
+        aggs.append(F.count_if(x.isNull()).alias(f"{tag}_gap{i}"))
+        aggs += [F.covar_pop(x, F.col(columns[j]).cast("double")).alias(f"{tag}_{i}_{j}") for j in range(i, len(columns))]
+    return aggs
+
+
+def covariance_matrix(row: dict, p: int, tag: str) -> list[list[float | None]]:
+    """The matrix from a result row; a column with a gap is undefined as a whole."""
     out: list[list[float | None]] = [[None] * p for _ in range(p)]
     for i in range(p):
         for j in range(i, p):
-            if complete_columns and (row[f"gap{i}"] or row[f"gap{j}"]):
-                continue
-            out[i][j] = out[j][i] = row[f"c{i}_{j}"]
+            if not (row[f"{tag}_gap{i}"] or row[f"{tag}_gap{j}"]):
+                out[i][j] = out[j][i] = row[f"{tag}_{i}_{j}"]
     return out
 
 
-def _wide_covariance(df, columns):
+def covariances(df: DataFrame, groups: Sequence[Sequence[str]]) -> list[list[list[float | None]]]:
+    """One covariance matrix per group of columns, all in one pass while they are narrow."""
+    if max(len(g) for g in groups) > MAX_EXPRESSION_COLUMNS:
+        return [wide_covariance(df, g) for g in groups]
+    aggs = [e for t, g in enumerate(groups) for e in covariance_expressions(g, f"g{t}")]
+    row = df.agg(*aggs).first().asDict()
+    return [covariance_matrix(row, len(g), f"g{t}") for t, g in enumerate(groups)]
+
+
+def wide_covariance(df: DataFrame, columns: Sequence[str]) -> list[list[float | None]]:
     """Many columns: every task adds up its centred Gram matrix, Spark adds the tasks."""
     centre = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     shift = np.array([v if v is not None else 0.0 for v in centre], dtype=float)

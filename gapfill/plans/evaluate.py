@@ -59,12 +59,14 @@ def evaluate(*, X: DataFrame, X_imputed: DataFrame, key, missing_mask: DataFrame
         kinds = {c: kinds[c] for c in columns}
     numeric, categorical = split_kinds(kinds)
     pair = pair_frames(X, X_imputed, key, [*numeric, *categorical], missing_mask, X_missing).persist()
-    metrics = evaluate_pair(pair, numeric, categorical)
+    # a few rows per column, read by every score
+    metrics = evaluate_pair(pair, numeric, categorical).persist()
     predictive = None
     if y is not None:
         predictive = predictive_comparison(X, X_imputed, y, key, target, [*numeric, *categorical],
                                            missing=X_missing, estimator=estimator, n_folds=n_folds,
                                            seed=seed, max_iter=max_iter)
+        predictive = predictive.persist() if predictive is not None else None
     return EvaluationResults(metrics, predictive)
 
 

@@ -112,8 +112,8 @@ def failures(results: DataFrame) -> DataFrame:
 
 def run_experiment(spark: SparkSession, catalog: Catalog, scenario: Scenario, imputer: Imputer, rate: float, seed: int,
                    evaluation_seeds: Sequence[int] = EVALUATION_SEEDS, predictive: bool = True,
-                   columns: Sequence[str] | None = None, **model_options) -> DataFrame:
-    """(evaluation_seed, overall scores, report) of one run.
+                   columns: Sequence[str] | None = None, **model_options) -> list[dict]:
+    """One record of scores per evaluation seed.
 
     The injector keeps the originals, so the only join is the one that brings
     the filled values beside them. Reconstruction and distribution do not depend
@@ -129,27 +129,22 @@ def run_experiment(spark: SparkSession, catalog: Catalog, scenario: Scenario, im
     filled = imputer.fit(table, key).transform(table)
     pair = (filled.select(*key, *[F.col(c).alias(f"{c}__imp") for c in columns])
             .join(holed.select(*key, *[f"{c}__true" for c in columns], *[mask_name(c) for c in columns]), key).persist())
-    metrics = evaluate_pair(pair, numeric, categorical).persist()
-    out = None
+    # a handful of rows per column: from here on only numbers
+    metrics = evaluate_pair(pair, numeric, categorical)
+    metrics = spark.createDataFrame(metrics.collect(), metrics.schema)
+    records, models = [], None
     for s in evaluation_seeds:
-        models = None
         if predictive and data.target:
             models = predictive_comparison(features, filled, data.y, key, data.target, columns, missing=table,
                                            seed=s, **model_options)
-        report = nested_json(metrics, models)
-        one = scores(metrics, models)
-        if models is None:
-            one = one.withColumn("overall_predictive", F.lit(None).cast("double"))
-        one = one.select(F.lit(s).cast("bigint").alias("evaluation_seed"), "overall_reconstruction", "overall_distribution",
-                         "overall_predictive", "overall").withColumn("__one", F.lit(1))
-        one = one.join(report.withColumn("__one", F.lit(1)), "__one").drop("__one")
-        out = one if out is None else out.unionByName(one)
-        if models is None and len(evaluation_seeds) > 1:
-            # without models every evaluation seed gives the same scores
-            out = out.drop("evaluation_seed").withColumn(
-                "evaluation_seed", F.explode(F.array(*[F.lit(x).cast("bigint") for x in evaluation_seeds])))
-            break
-    return out
+            models = spark.createDataFrame(models.collect(), models.schema)
+        if models is not None or not records:
+            found = scores(metrics, models).first().asDict()
+            found["report"] = nested_json(metrics, models).first()["report"]
+        records.append({**found, "evaluation_seed": s})
+    pair.unpersist()
+    holed.unpersist()
+    return records
 
 
 def run_grid(spark: SparkSession, grid: DataFrame, scenarios: Iterable[Scenario], catalog: Catalog,
@@ -171,13 +166,12 @@ def run_grid(spark: SparkSession, grid: DataFrame, scenarios: Iterable[Scenario]
         head = (run["imputer"], run["scenario"], dataset, mechanism, run["rate"], run["seed"], run["pool"])
         try:
             rows = run_experiment(spark, catalog, known[run["scenario"]], imputers[run["imputer"]](run["seed"]), run["rate"],
-                                  run["seed"], **options).collect()
+                                  run["seed"], **options)
             found = [(*head, "ok", None, r["evaluation_seed"], r["overall_reconstruction"], r["overall_distribution"],
-                      r["overall_predictive"], r["overall"], r["report"]) for r in rows]
+                      r.get("overall_predictive"), r["overall"], r["report"]) for r in rows]
         except Exception as e:  # noqa: BLE001 - one run must not end the grid
             found = [(*head, "failed", f"{type(e).__name__}: {e}"[:500], None, None, None, None, None, None)]
         records += found
         if path:
             write_results(spark.createDataFrame(found, RESULT_SCHEMA), path)
-        spark.catalog.clearCache()
     return spark.createDataFrame(records, RESULT_SCHEMA)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapfill.frames import as_key, normalise
+from gapfill.functions.ranks import MAX_BUCKETS, offset_rank
 
 
 def snake_case(name: str) -> str:
@@ -103,16 +104,14 @@ class Catalog:
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """A key for tables that have none: a digest of the row and its copy number.
 
-    Copies are numbered in blocks by partition, so a row that fills a third of
-    the table does not meet in one task.
+    Copies are counted in blocks, so a row that fills a third of the table never
+    meets in one task. Equal rows are interchangeable, which makes the keyed
+    table the same however the blocks fall.
     """
-    from pyspark.sql.window import Window
-
     row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    out = df.withColumns({"__row": row, "__part": F.monotonically_increasing_id() % 1024})
-    # equal rows are interchangeable, so any numbering of them gives the same table
-    copy = F.row_number().over(Window.partitionBy("__row", "__part").orderBy(F.lit(1)))
-    return out.withColumn(name, F.concat_ws(":", "__row", "__part", copy)).drop("__row", "__part")
+    blocks = F.pmod(F.monotonically_increasing_id(), F.lit(MAX_BUCKETS)).cast("int")
+    out = offset_rank(df.withColumns({"__row": row, "__block": blocks}), "__block", [F.lit(1)], "__copy", ["__row"])
+    return out.withColumn(name, F.concat_ws(":", "__row", "__copy")).drop("__row", "__block", "__copy")
 
 
 # Renames, dropped columns and targets of the public benchmark tables.
