@@ -15,35 +15,42 @@ from gapfill.frames import NUMERICAL, any_missing, as_key, column_kind
 from gapfill.functions.rand import uniform
 
 
-def _decimal_text(c: Column) -> Column:
-    """Shortest decimal digits without an exponent, always with a point."""
-    digits = c.cast("string").cast(T.DecimalType(38, 21)).cast("string")
-    trimmed = F.regexp_replace(digits, "0+$", "")
-    return F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
+def _shortest(c: Column) -> Column:
+    """Digits of a double that read back as the same value.
+
+    The JVM's own text sometimes carries 17 digits where 15 or 16 suffice; only
+    such long texts are tried again.
+    """
+    text = c.cast("string")
+    fifteen, sixteen = F.format_string("%.14e", c), F.format_string("%.15e", c)
+    short = (F.when(fifteen.try_cast("double") == c, fifteen)
+             .when(sixteen.try_cast("double") == c, sixteen).otherwise(text))
+    return F.when(F.length(text) >= 18, short).otherwise(text)
 
 
 def number_text(c: Column, data_type: T.DataType) -> Column:
-    """JSON text of a number: plain decimals between 1e-4 and 1e16, else an exponent of two digits or more."""
-    if isinstance(data_type, T.DecimalType):
-        c, data_type = c.cast("double"), T.DoubleType()
-    if not isinstance(data_type, (T.FloatType, T.DoubleType)):
+    """JSON text of a number: plain decimals between 1e-4 and 1e16, else an
+    exponent of at least two digits. (Subnormal doubles may show a spare digit.)"""
+    if not isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
         return c.cast("string")
     c = c.cast("double")
-    size = F.abs(c)
-    text = c.cast("string")
-    mantissa = F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", "")
-    power = F.substring_index(text, "E", -1).try_cast("int")
-    exponent = F.concat(F.when(power < 0, F.lit("-")).otherwise(F.lit("+")),
-                        F.lpad(F.abs(power).cast("string"), 2, "0"))
-    scientific = F.concat(mantissa, F.lit("e"), exponent)
-    plain = F.when((size >= 1e-4) & (size < 1e16), c)
-    return (F.when((size >= 1e-3) & (size < 1e7), text)
-            .when(size == 0, text)
-            .when(plain.isNotNull(), _decimal_text(plain)).otherwise(scientific))
+    digits, size = _shortest(c), F.abs(c)
+    decimal = F.regexp_replace(digits.try_cast(T.DecimalType(38, 21)).cast("string"), "0+$", "")
+    decimal = F.when(decimal.endswith("."), F.concat(decimal, F.lit("0"))).otherwise(decimal)
+    parts = F.split(digits, "[eE]")
+    power = F.get(parts, F.lit(1)).try_cast("int")
+    exponent = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    exponent = F.when(F.abs(power) > 99, F.concat(F.substring(exponent, 1, 2), F.abs(power).cast("string"))).otherwise(exponent)
+    scientific = F.concat(F.regexp_replace(F.get(parts, F.lit(0)), r"\.?0+$", ""), exponent)
+    return (F.when(~digits.rlike("[eE]"), digits)
+            .when((size >= 1e-4) & (size < 1e16), decimal).otherwise(scientific))
 
 
 def string_text(c: Column) -> Column:
-    """Quoted JSON string with everything outside ASCII escaped."""
+    """Quoted JSON string with everything outside ASCII escaped.
+
+    Plain text, the usual case, only needs its quotes.
+    """
     quoted = F.to_json(F.array(c))
     quoted = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
@@ -57,8 +64,9 @@ def string_text(c: Column) -> Column:
         return (F.when(code < 128, ch).when(code < 0x10000, unit(code))
                 .otherwise(F.concat(unit(high), unit(low))))
 
-    ascii_only = F.array_join(F.transform(F.split(quoted, ""), escape), "")
-    return F.when(quoted.rlike(r"[^\x00-\x7F]"), ascii_only).otherwise(quoted)
+    escaped = F.array_join(F.transform(F.split(quoted, ""), escape), "")
+    return (F.when(~c.rlike(r'[^ !#-\[\]-~]'), F.concat(F.lit('"'), c, F.lit('"')))
+            .when(c.rlike(r"[^\x00-\x7F]"), escaped).otherwise(quoted))
 
 
 def cell_text(c: Column, data_type: T.DataType) -> Column:

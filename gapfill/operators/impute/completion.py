@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gapfill.frames import as_key, column_kinds, cut_lineage, normalise
 from gapfill.functions.jsontext import extract_value, numeric_columns, prompt_text
+from gapfill.functions.ranks import default_buckets
 from gapfill.operators.impute.base import Imputer, Model
 
 PROGRESS = ("round int, rows_completed bigint, rows_total bigint, cells_imputed bigint, cells_total bigint, "
@@ -94,7 +95,8 @@ class CompletionModel(Model):
         target = F.coalesce(*[F.when(F.col(c).isNull() & (F.col(f"__a_{c}") <= limit), F.lit(c)) for c in cols])
         state = state.withColumn("target", target)
         done.append(state.where(F.col("target").isNull()))
-        state = state.where(F.col("target").isNotNull())
+        # completing is the heavy part, whatever the table's size in bytes
+        state = state.where(F.col("target").isNotNull()).repartition(default_buckets(df), *key)
         number = 0
         while True:
             state = cut_lineage(self._complete(state, cols, types, limit))

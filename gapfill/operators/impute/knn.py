@@ -27,13 +27,14 @@ from pyspark.sql.window import Window
 
 from gapfill.frames import NUMERICAL, split_kinds
 from gapfill.functions.rand import uniform
-from gapfill.functions.ranks import code_table, literal_code, sorted_categories, with_code
+from gapfill.functions.ranks import code_table, default_buckets, literal_code, sorted_categories, with_code
 from gapfill.operators.encode import categories
 from gapfill.operators.impute.base import Imputer, Model
 from gapfill.operators.impute.statistical import column_modes
 
 TILE_CELLS = 2_000_000
 TREE_SAMPLE = 20_000
+MAX_SEARCH_PARTITIONS = 20_000
 NEIGHBOURS = "array<struct<d2:double,value:double>>"
 
 
@@ -251,8 +252,8 @@ class KNNModel(Model):
                 yield out
 
         key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in recipients.schema.fields if f.name in key)
-        # a scan of a small table has few partitions; the search is the heavy part
-        spread = recipients.repartition(*self.key)
+        # few bytes, much arithmetic: a fixed number of partitions keeps adaptive execution from merging them
+        spread = recipients.repartition(default_buckets(recipients), *self.key)
         return spread.mapInPandas(run, key_ddl + "".join(f", `__nn_{t}` {NEIGHBOURS}" for t in targets))
 
     # --- donors in boxes ---
@@ -298,8 +299,10 @@ class KNNModel(Model):
         # one row per box, at most max_boxes
         donors = donors.join(F.broadcast(sizes), "cell").withColumn(
             "chunk", F.pmod(F.xxhash64(*dkeys), F.col("chunks")).cast("int")).drop("chunks")
+        # the searches weigh far more than their bytes, so their partitions are fixed as well
+        self.search_partitions = max(default_buckets(recipients), min(MAX_SEARCH_PARTITIONS, int(boxes.chunks.sum()) // 4))
+        distinct = distinct.repartition(default_buckets(recipients), "rep")
         if not len(boxes.n):
-            distinct.unpersist()
             return recipients.select(*self.key, F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
 
         step = max(1, TILE_CELLS // len(boxes.n))
@@ -361,7 +364,7 @@ class KNNModel(Model):
         flat = visits.select(*[F.col("rep")[c].alias(n) for c, n in zip(self.key, names)], *features, *unit, "salt")
         types = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
         dtypes = {f.name: f.dataType.simpleString() for f in donors.schema.fields}
-        out_cols = [*names, *dkeys, "d2", "value"] + ([*features, *unit, "radius", "last"] if carry else [])
+        out_cols = [*names, *dkeys, "d2", "value"] + ([*features, "cell", "chunk", "radius", "last"] if carry else [])
         ddl = ", ".join([f"`{n}` {types[n]}" for n in names] + [f"`{d}` {dtypes[d]}" for d in dkeys] + ["d2 double, value double"]
                         + ([f"`{c}` double" for c in features] + ["cell int, chunk int, radius double, last boolean"] if carry else []))
 
@@ -386,10 +389,12 @@ class KNNModel(Model):
             enough = size[far.index.to_numpy(int)] >= k if len(far) else np.zeros(0, bool)
             kth[far.index.to_numpy(int)[enough]] = far.to_numpy()[enough]
             out["last"] = False
-            asked = left[[*names, *features, *unit]].assign(radius=kth, last=True)
+            asked = left[[*names, *features, "cell", "chunk"]].assign(radius=kth, last=True)
             return pd.concat([out, asked], ignore_index=True).reindex(columns=out_cols)
 
-        got = flat.groupBy(*unit, "salt").cogroup(donors.groupBy(*unit, "salt")).applyInPandas(run, ddl)
+        unit = [*unit, "salt"]
+        left, right = (f.repartition(self.search_partitions, *unit) for f in (flat, donors))
+        got = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(run, ddl)
         rep = F.struct(*[F.col(n).alias(c) for c, n in zip(self.key, names)]).alias("rep")
         rest = [c for c in out_cols if c not in names]
         return got.select(rep, *rest)

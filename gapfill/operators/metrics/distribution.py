@@ -92,6 +92,27 @@ def ks_wasserstein(pair: DataFrame, columns: Sequence[str], stats: dict[str, dic
     buckets = buckets or min(MAX_BUCKETS, 1 + rows // ROWS_PER_BUCKET)
     bounds = _bounds(pair, columns, buckets)
     counts = _cells(pair, columns, "double").groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    inside = Window.partitionBy("column").orderBy("v")
+    if buckets <= 1:
+        # few enough rows for one sort per column
+        running = inside.rowsBetween(Window.unboundedPreceding, 0)
+        steps = counts.select("column", (F.lead("v").over(inside) - F.col("v")).alias("step"),
+                              F.sum("a").over(running).alias("fa"), F.sum("b").over(running).alias("fb"))
+    else:
+        steps = _bucketed_steps(counts, bounds)
+    na = _by_column({c: F.lit(s["n_true"]) for c, s in stats.items()}, F.lit(None).cast("bigint"))
+    nb = _by_column({c: F.lit(s["n_imp"]) for c, s in stats.items()}, F.lit(None).cast("bigint"))
+    gap = F.abs(F.try_divide(F.col("fa").cast("double"), na) - F.try_divide(F.col("fb").cast("double"), nb))
+    out = steps.select("column", gap.alias("gap"), F.coalesce(F.col("step"), F.lit(0.0)).alias("step")).groupBy("column").agg(
+        F.max("gap").alias("ks"), F.sum(F.col("gap") * F.col("step")).alias("w"))
+    enough = _by_column({c: F.lit(s["n_true"] > 1 and s["n_imp"] > 1) for c, s in stats.items()}, F.lit(False))
+    both = _by_column({c: F.lit(s["n_true"] > 0 and s["n_imp"] > 0) for c, s in stats.items()}, F.lit(False))
+    return out.select("column", F.when(enough, F.col("ks")).alias("ks_statistic"),
+                      F.when(both, F.col("w")).alias("wasserstein_distance"))
+
+
+def _bucketed_steps(counts: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
+    """(column, step, fa, fb) with the running counts summed bucket by bucket."""
     slot = {c: F.size(F.filter(F.array(*[F.lit(x) for x in bs]), lambda x: x <= F.col("v")))
             for c, bs in bounds.items() if bs}
     counts = counts.withColumn("bucket", _by_column(slot, F.lit(0)))
@@ -105,18 +126,10 @@ def ks_wasserstein(pair: DataFrame, columns: Sequence[str], stats: dict[str, dic
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = counts.select("column", "bucket", "v", F.lead("v").over(inside).alias("next_v"),
                           F.sum("a").over(running).alias("ca"), F.sum("b").over(running).alias("cb"))
-    na = _by_column({c: F.lit(s["n_true"]) for c, s in stats.items()}, F.lit(None).cast("bigint"))
-    nb = _by_column({c: F.lit(s["n_imp"]) for c, s in stats.items()}, F.lit(None).cast("bigint"))
-    joined = local.join(totals, ["column", "bucket"])
-    gap = F.abs(F.try_divide((F.col("ca") + F.col("oa")).cast("double"), na)
-                - F.try_divide((F.col("cb") + F.col("ob")).cast("double"), nb))
+    # totals: at most MAX_BUCKETS rows per column
+    joined = local.join(F.broadcast(totals), ["column", "bucket"])
     step = F.coalesce(F.col("next_v"), F.col("next_first")) - F.col("v")
-    out = joined.select("column", gap.alias("gap"), F.coalesce(step, F.lit(0.0)).alias("step")).groupBy("column").agg(
-        F.max("gap").alias("ks"), F.sum(F.col("gap") * F.col("step")).alias("w"))
-    enough = _by_column({c: F.lit(s["n_true"] > 1 and s["n_imp"] > 1) for c, s in stats.items()}, F.lit(False))
-    both = _by_column({c: F.lit(s["n_true"] > 0 and s["n_imp"] > 0) for c, s in stats.items()}, F.lit(False))
-    return out.select("column", F.when(enough, F.col("ks")).alias("ks_statistic"),
-                      F.when(both, F.col("w")).alias("wasserstein_distance"))
+    return joined.select("column", step.alias("step"), (F.col("ca") + F.col("oa")).alias("fa"), (F.col("cb") + F.col("ob")).alias("fb"))
 
 
 def _kl_sum(scale: Column) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +30,31 @@ class EvaluationResults:
         return nested_json(self.metrics, self.predictive)
 
     def to_dict(self) -> dict:
-        import json
         return json.loads(self.to_json().first()["report"])
 
-    def __getattr__(self, name):
-        if name.startswith("overall_"):
-            return self.scores().first().asDict().get(name)
-        raise AttributeError(name)
+    @cached_property
+    def _row(self) -> dict:
+        return self.scores().first().asDict()
+
+    @property
+    def overall_reconstruction_score(self) -> float | None:
+        return self._row["overall_reconstruction"]
+
+    @property
+    def overall_distribution_score(self) -> float | None:
+        return self._row["overall_distribution"]
+
+    @property
+    def overall_predictive_score(self) -> float | None:
+        return self._row.get("overall_predictive")
+
+    @property
+    def overall_predictive_std(self) -> float | None:
+        return self._row.get("overall_predictive_std")
+
+    @property
+    def overall_score(self) -> float | None:
+        return self._row["overall"]
 
 
 def evaluate_pair(pair: DataFrame, numeric: Sequence[str], categorical: Sequence[str],

@@ -63,7 +63,7 @@ vo AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY o_orderpriority)
 
 
 def _prep(spark, d):
-    h = holed(spark, d).select("l_orderkey", "sum_qty", "sum_price", "o_orderpriority").persist()
+    h = holed(spark, d).select("l_orderkey", "sum_qty", "sum_price", "o_orderpriority")
     return h, TabularPreprocessor().fit(h, "l_orderkey")
 
 

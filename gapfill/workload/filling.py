@@ -227,8 +227,8 @@ def vae_fill(spark, d):
 
 @query("gain_fill", INVARIANT)
 def gain_fill(spark, d):
-    """Adversarial filling (invariants)."""
-    return invariants(spark, d, GAINImputer(rounds=6, local_epochs=4, hidden_dim=64, alpha=100.0, g_lr=1e-3, d_lr=1e-3))
+    """Adversarial filling with its default settings, 50 passes over the data (invariants)."""
+    return invariants(spark, d, GAINImputer(rounds=10))
 
 
 @query("training_history", f"""WITH {ORDER_FEATS} SELECT CAST(i AS INTEGER) AS step, CAST(2 * i AS INTEGER) AS epoch, TRUE AS has_losses, 0.001::DOUBLE AS learning_rate, n_rows
@@ -330,7 +330,7 @@ def stub_complete(batches):
         number = pdf["prompt"].str.endswith('"o_custkey":')
         good = pdf["attempt"] >= size % 6
         value = (size * 10 + pdf["attempt"]).astype(str).where(number, '"T' + (size % 3).astype(str) + '"')
-        yield pd.Series(pdf["prompt"] + value.where(good, '"') + "}")
+        yield pd.Series(pdf["prompt"] + value.where(good, "") + "}")
 
 
 def _stage(source: str, name: str, seq: str) -> str:

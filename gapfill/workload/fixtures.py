@@ -38,9 +38,12 @@ HOLED_PATTERNS = [PatternConfig(["sum_qty", "sum_price"], "MCAR", freq=0.6),
 
 
 def holed(spark, d) -> DataFrame:
-    """Order features with gaps in two numbers and one category, originals beside them."""
+    """Order features with gaps in two numbers and one category, originals beside them.
+
+    Fits read it several times, so the aggregate and join behind it are kept.
+    """
     df = order_feats_cat(spark, d).select("l_orderkey", *HOLED_COLUMNS)
-    return ampute(df, "l_orderkey", 0.3, HOLED_PATTERNS, SEED, check=False)
+    return ampute(df, "l_orderkey", 0.3, HOLED_PATTERNS, SEED, check=False).persist()
 
 
 def table_of(df: DataFrame, key: str, columns) -> DataFrame:

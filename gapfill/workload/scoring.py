@@ -27,7 +27,7 @@ CAT = ["o_orderstatus", "o_orderpriority"]
 
 def paired(spark, d):
     """Holed order features, filled by mean and mode, beside the originals."""
-    h = holed(spark, d).persist()
+    h = holed(spark, d)
     filled = StatisticalImputer().fit_transform(h.select("l_orderkey", *HOLED_COLUMNS), "l_orderkey")
     return (h.drop(*HOLED_COLUMNS).join(filled.select("l_orderkey", *[F.col(c).alias(f"{c}__imp") for c in HOLED_COLUMNS]), "l_orderkey")).persist()
 
