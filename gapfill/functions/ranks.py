@@ -45,7 +45,7 @@ def uniform_rank(df: DataFrame, u: Column, tiebreak: Sequence[str], out: str,
 
     ``group`` may contain hot values: the buckets split each group as well.
     """
-    buckets = buckets or default_buckets(df)
+    buckets = buckets or MAX_BUCKETS
     df = df.withColumns({"__u": u})
     df = df.withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
     return offset_rank(df, "__bucket", ["__u", *tiebreak], out, group).drop("__u", "__bucket")

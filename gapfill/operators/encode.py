@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, column_kinds, split_kinds
 from gapfill.functions.rand import uniform
-from gapfill.functions.ranks import default_buckets, literal_code, sorted_categories, uniform_rank, with_code
+from gapfill.functions.ranks import MAX_BUCKETS, literal_code, sorted_categories, uniform_rank, with_code
 
 MAX_CATEGORIES = 255
 
@@ -20,7 +20,7 @@ def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
     found = sorted_categories(df, column, limit)
     if found is None:
         raise ValueError(f"column {column!r} has more than {limit} categories; "
-                         "use the ordinal encoder, which has no such bound")
+                         "use an ordinal encoder, which has no such bound")
     return found
 
 
@@ -79,6 +79,7 @@ class TabularPreprocessor:
     modes: dict[str, object] = field(default_factory=dict)
     columns: list[str] = field(default_factory=list)
     types: dict[str, object] = field(default_factory=dict)
+    max_vocabulary: int = 4096
 
     def fit(self, df: DataFrame, key, columns: Sequence[str] | None = None) -> "TabularPreprocessor":
         kinds = column_kinds(df, key)
@@ -94,7 +95,7 @@ class TabularPreprocessor:
             row = df.agg(*aggs).first()
             self.means = {c: row[f"m_{c}"] for c in num}
             self.stds = {c: row[f"s_{c}"] or 1.0 for c in num}
-        self.vocab = {c: categories(df, c) for c in cat}
+        self.vocab = {c: categories(df, c, self.max_vocabulary) for c in cat}
         if cat:
             from gapfill.operators.impute.statistical import column_modes
             self.modes = column_modes(df, cat)
@@ -146,7 +147,7 @@ def swap_noise(df: DataFrame, key, columns: Sequence[str], noise: float = 0.15,
     from pyspark.sql.window import Window
 
     key = as_key(key)
-    blocks = blocks or default_buckets(df)
+    blocks = blocks or MAX_BUCKETS
     block = F.floor(uniform(seed, "block", key) * blocks).cast("int")
     df = df.withColumns({"__block": block, "__order": uniform(seed, "order", key)})
     inside = Window.partitionBy("__block").orderBy("__order", *key)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapfill.frames import NUMERICAL, cut_lineage, split_kinds
-from gapfill.functions.ranks import literal_code
+from gapfill.functions.ranks import code_table, literal_code, sorted_categories, with_code
 from gapfill.functions.vectors import chunks, combine
 from gapfill.operators.encode import categories, onehot, onehot_decode, ordinal_decode
 from gapfill.operators.impute.base import Imputer, Model
@@ -123,30 +123,49 @@ def replay(x: np.ndarray, means: np.ndarray, steps: Sequence[LinearStep], h: np.
 
 
 class EncodedColumns:
-    """Numeric coordinates of a mixed table and the way back."""
+    """Numeric coordinates of a mixed table and the way back.
 
-    def __init__(self, kinds, values, encoder):
-        self.kinds, self.values, self.encoder = kinds, values, encoder
+    ``values`` holds the categories of a column, or ``None`` when there are too
+    many for a literal: its ordinal codes are then joined from a table.
+    """
+
+    def __init__(self, kinds, values, encoder, fit_frame: DataFrame):
+        self.kinds, self.values, self.encoder, self.fit_frame = kinds, values, encoder, fit_frame
+        self.long = [c for c in values if values[c] is None]
         self.names, self.expr, self.owner = [], [], []
         for c, kind in kinds.items():
             if kind == NUMERICAL:
                 parts = [F.col(c).cast("double")]
+            elif c in self.long:
+                parts = [F.col(f"__code_{c}")]
             elif encoder == "onehot":
                 parts = onehot(c, values[c])
             else:
                 parts = [literal_code(F.col(c), values[c], "string")]
-            for i, e in enumerate(parts):
+            for e in parts:
                 self.names.append(f"x{len(self.names)}")
                 self.expr.append(e.alias(self.names[-1]))
                 self.owner.append(c)
 
-    def decode(self, c: str):
+    def prepare(self, df: DataFrame) -> DataFrame:
+        for c in self.long:
+            df = with_code(df, c, f"__code_{c}", self.fit_frame)
+        return df
+
+    def fill(self, df: DataFrame, c: str) -> DataFrame:
+        """Replace the gaps of ``c`` by what its coordinates say."""
         own = [n for n, o in zip(self.names, self.owner) if o == c]
         if self.kinds[c] == NUMERICAL:
-            return F.col(own[0])
-        if self.encoder == "onehot":
-            return onehot_decode([F.col(n) for n in own], self.values[c])
-        return ordinal_decode(F.col(own[0]), self.values[c])
+            return df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(own[0])))
+        if c not in self.long:
+            scores = [F.col(n) for n in own]
+            guess = onehot_decode(scores, self.values[c]) if self.encoder == "onehot" else ordinal_decode(scores[0], self.values[c])
+            return df.withColumn(c, F.coalesce(F.col(c), guess))
+        table = code_table(self.fit_frame, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
+        last = table.agg(F.max("__code")).first()[0]
+        code = F.least(F.greatest(F.rint(F.col(own[0])), F.lit(0.0)), F.lit(last))
+        df = df.withColumn("__at", F.when(F.col(c).isNull(), code)).join(table, F.col("__at") == F.col("__code"), "left")
+        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__at", "__code", "__value")
 
 
 class MICEImputer(Imputer):
@@ -165,8 +184,8 @@ class MICEImputer(Imputer):
 
     def _fit(self, df, key, kinds, missing):
         _, cat = split_kinds(kinds)
-        values = {c: categories(df, c) for c in cat}
-        enc = EncodedColumns(kinds, values, self.categorical_encoder)
+        pick = categories if self.categorical_encoder == "onehot" else sorted_categories
+        enc = EncodedColumns(kinds, {c: pick(df, c) for c in cat}, self.categorical_encoder, df)
         limits = None if np.isinf(self.min_value) and np.isinf(self.max_value) else (self.min_value, self.max_value)
         model = LinearChainModel(enc, self.seed if self.sample_posterior else None, key, limits)
         base = model.batch_frame(df).persist()
@@ -251,7 +270,7 @@ class LinearChainModel(Model):
 
     def batch_frame(self, df: DataFrame, *extra) -> DataFrame:
         h = [F.xxhash64(F.lit(self.seed), *self.key).alias("__h")] if self.seed is not None else []
-        return df.select(*extra, *self.enc.expr, *h)
+        return self.enc.prepare(df).select(*extra, *self.enc.expr, *h)
 
     def filler(self):
         names, means, steps, limits = self.enc.names, self.means, list(self.steps), self.limits
@@ -274,10 +293,10 @@ class LinearChainModel(Model):
                 yield pd.concat([pdf[list(fields)], pd.DataFrame(x, columns=names, index=pdf.index)], axis=1)
 
         out = self.batch_frame(df, *fields).mapInPandas(run, ddl)
-        # keep columns without any observed value empty
-        fills = {c: F.coalesce(F.col(c).cast("double") if self.kinds[c] == NUMERICAL else F.col(c), self.enc.decode(c))
-                 for c in self.kinds if c not in self.empty_columns}
-        return out.withColumns(fills)
+        for c in self.kinds:
+            if c not in self.empty_columns:  # nothing observed, nothing to say
+                out = self.enc.fill(out, c)
+        return out
 
 
 # --- trees -------------------------------------------------------------------
@@ -355,8 +374,11 @@ class TreeChainImputer(Imputer):
             return []
         if not self.dummy_regression:
             return [TreeStep(r, c, inputs, self._classifier(seed).fit(train))]
-        return [TreeStep(r, c, inputs, self._regressor(seed).fit(
+        train = train.persist()
+        steps = [TreeStep(r, c, inputs, self._regressor(seed).fit(
             train.withColumn("label", (F.col("label") == float(i)).cast("double"))), i) for i in range(len(values[c]))]
+        train.unpersist()
+        return steps
 
 
 class TreeChainModel(Model):

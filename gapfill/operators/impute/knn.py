@@ -28,11 +28,12 @@ from pyspark.sql.window import Window
 from gapfill.frames import NUMERICAL, split_kinds
 from gapfill.functions.rand import uniform
 from gapfill.functions.ranks import code_table, default_buckets, literal_code, sorted_categories, with_code
-from gapfill.operators.encode import categories
 from gapfill.operators.impute.base import Imputer, Model
-from gapfill.operators.impute.statistical import column_modes
+from gapfill.operators.impute.statistical import long_values
 
 TILE_CELLS = 2_000_000
+FRONTIER = 500_000
+TREE_SAMPLE_PER_BOX = 8
 TREE_SAMPLE = 20_000
 MAX_SEARCH_PARTITIONS = 20_000
 NEIGHBOURS = "array<struct<d2:double,value:double>>"
@@ -92,12 +93,15 @@ def search(space: Space, features, r: np.ndarray, d: np.ndarray, k: int) -> Iter
 # --- boxes -----------------------------------------------------------------
 
 def build_tree(space: Space, features, sample: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
-    """Median splits along the widest coordinate, as heap-ordered arrays."""
+    """Median splits along the widest coordinate, as heap-ordered arrays.
+
+    The sample only decides where boxes begin and end, never which donors count.
+    """
     depth = int(np.ceil(np.log2(max(1, leaves))))
     dims, cuts = np.zeros(2**depth - 1, dtype=int), np.full(2**depth - 1, np.inf)
     members = {0: sample}
     for node in range(2**depth - 1):
-        rows = members.pop(node, sample[:0])
+        rows = members.pop(node)
         spread = []
         for j, c in enumerate(features):
             x = rows[:, j][~np.isnan(rows[:, j])]
@@ -120,6 +124,7 @@ def build_tree(space: Space, features, sample: np.ndarray, leaves: int) -> tuple
 
 
 def locate(tree: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """Leaf number of every row; a gap goes to the lower side."""
     dims, cuts = tree
     node = np.zeros(len(x), dtype=int)
     for _ in range(int(np.log2(len(dims) + 1))):
@@ -128,33 +133,76 @@ def locate(tree: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 class Boxes:
-    """Bounds of every non-empty box, small enough for any task: at most the leaf count."""
-
-    def __init__(self, stats: pd.DataFrame, features, chunk_rows: int):
-        self.cell = stats["cell"].to_numpy(int)
-        self.n = stats["n"].to_numpy(int)
-        self.chunks = np.maximum(1, -(-self.n // chunk_rows))
-        self.lo = stats[[f"lo_{i}" for i in range(len(features))]].to_numpy(float)
-        self.hi = stats[[f"hi_{i}" for i in range(len(features))]].to_numpy(float)
-        self.full = stats[[f"full_{i}" for i in range(len(features))]].to_numpy(bool)
-
-    def lower_bounds(self, space: Space, features, r: np.ndarray) -> np.ndarray:
-        """No donor of the box can be closer than this (recipients x boxes).
-
-        Only coordinates that every donor of the box has are summed, and the
-        scale uses all the recipient's coordinates, so both factors err low.
+    """Bounds of every tree node, from the exact bounds of the leaves.
+
+    At most twice ``max_boxes`` nodes, so it is small enough for any task.
+    """
+
+    def __init__(self, stats: pd.DataFrame, p: int, inner: int, chunk_rows: int):
+        nodes = 2 * inner + 1
+        self.inner = inner
+        self.n = np.zeros(nodes, dtype=np.int64)
+        self.lo, self.hi = np.full((nodes, p), np.inf), np.full((nodes, p), -np.inf)
+        self.full = np.ones((nodes, p), dtype=bool)
+        at = stats["cell"].to_numpy(int) + inner
+        self.n[at] = stats["n"].to_numpy(int)
+        for j in range(p):
+            self.lo[at, j] = stats[f"lo_{j}"].fillna(np.inf).to_numpy(float)
+            self.hi[at, j] = stats[f"hi_{j}"].fillna(-np.inf).to_numpy(float)
+            self.full[at, j] = stats[f"full_{j}"].to_numpy(bool)
+        for node in range(inner - 1, -1, -1):
+            a, b = 2 * node + 1, 2 * node + 2
+            self.n[node] = self.n[a] + self.n[b]
+            self.lo[node], self.hi[node] = np.minimum(self.lo[a], self.lo[b]), np.maximum(self.hi[a], self.hi[b])
+            self.full[node] = self.full[a] & self.full[b]
+        self.chunks = np.where(self.n > 0, np.maximum(1, -(-self.n // chunk_rows)), 0)
+
+    def bound(self, space: Space, features, r: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """No donor under ``node`` can be closer to its row than this (pairwise).
+
+        Only coordinates that all those donors have are summed, and the scale
+        uses all coordinates of the recipient, so both factors err low.
         """
-        out = np.zeros((len(r), len(self.n)))
-        present = np.zeros(len(r))
+        total, present = np.zeros(len(r)), np.zeros(len(r))
         for j, c in enumerate(features):
-            x = r[:, j][:, None]
-            have = ~np.isnan(r[:, j])
+            x = r[:, j]
+            have = ~np.isnan(x)
             present += have * space.widths[c]
-            lo, hi = self.lo[:, j][None, :], self.hi[:, j][None, :]
-            outside = np.maximum(np.maximum(lo - x, x - hi), 0.0)
+            use = have & self.full[node, j] & (self.n[node] > 0)
+            outside = np.maximum(np.maximum(self.lo[node, j] - x, x - self.hi[node, j]), 0.0)
             gap = np.where(outside > 0, 2.0, 0.0) if c in space.blocks else outside * outside
-            out += np.where(have[:, None] & self.full[:, j][None, :], np.nan_to_num(gap), 0.0)
-        return out * (space.total / np.maximum(present, 1.0))[:, None] * (1.0 - 1e-9)
+            total += np.where(use, gap, 0.0)
+        return total * space.total / np.maximum(present, 1.0) * (1.0 - 1e-9)
+
+    def home(self, space: Space, features, r: np.ndarray, k: int) -> np.ndarray:
+        """A near leaf with enough donors: walk down, each time to the nearer side that has ``k``."""
+        node = np.zeros(len(r), dtype=int)
+        while len(node) and node[0] < self.inner:
+            sides = []
+            for child in (2 * node + 1, 2 * node + 2):
+                low = self.bound(space, features, r, child)
+                sides.append(np.where(self.n[child] >= k, low, np.where(self.n[child] > 0, 1e300, np.inf)))
+            node = np.where(sides[0] <= sides[1], 2 * node + 1, 2 * node + 2)
+        return node
+
+    def within(self, space: Space, features, r: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, leaf) pairs whose bound does not exceed the row's radius, a bounded number at a time."""
+        work = [(np.arange(len(r)), np.zeros(len(r), dtype=int))]
+        while work:
+            rows, node = work.pop()
+            if len(rows) > FRONTIER:
+                half = len(rows) // 2
+                work += [(rows[half:], node[half:]), (rows[:half], node[:half])]
+                continue
+            keep = (self.n[node] > 0) & (self.bound(space, features, r[rows], node) <= radius[rows])
+            rows, node = rows[keep], node[keep]
+            if not len(rows):
+                continue
+            # all nodes of one piece are on the same level
+            if node[0] >= self.inner:
+                yield rows, node
+            else:
+                work.append((np.concatenate([rows, rows]), np.concatenate([2 * node + 1, 2 * node + 2])))
 
 
 class KNNImputer(Imputer):
@@ -163,7 +211,7 @@ class KNNImputer(Imputer):
     needs_missing = False
 
     def __init__(self, n_neighbors: int = 5, weights: str = "uniform", categorical_encoder: str = "onehot",
-                 max_broadcast_bytes: int = 64 << 20, box_rows: int = 20_000, max_boxes: int = 4096):
+                 max_broadcast_bytes: int = 64 << 20, box_rows: int = 20_000, max_boxes: int = 1 << 16):
         if weights not in ("uniform", "distance"):
             raise ValueError("weights must be 'uniform' or 'distance'")
         if categorical_encoder not in ("onehot", "ordinal"):
@@ -174,8 +222,13 @@ class KNNImputer(Imputer):
     def _fit(self, df, key, kinds, missing):
         num, cat = split_kinds(kinds)
         onehot = self.categorical_encoder == "onehot"
-        values = {c: (categories(df, c) if onehot else sorted_categories(df, c)) for c in cat}
-        widths = {c: (max(1, len(values[c])) if c in values and onehot else 1) for c in kinds}
+        # short category lists become literals, long ones a joined table of codes
+        values = {c: sorted_categories(df, c) for c in cat}
+        widths = dict.fromkeys(kinds, 1)
+        if onehot:
+            for c in cat:
+                n = len(values[c]) if values[c] is not None else df.select(c).where(F.col(c).isNotNull()).distinct().count()
+                widths[c] = max(1, n)
         model = KNNModel(self.get_params(), Space(list(kinds), widths, set(cat) if onehot else set()), values)
         model.fit_frame, model.key, model.kinds = df, key, kinds
         n = df.count()
@@ -183,7 +236,7 @@ class KNNImputer(Imputer):
         encoded = model.encode(df)
         row = encoded.agg(*[F.avg(c).alias(c) for c in kinds]).first()
         model.means = {c: row[c] for c in kinds if row[c] is not None}
-        model.modes = column_modes(df, cat) if cat and onehot else {}
+        model.mode_codes = _mode_codes(encoded, cat) if cat and onehot else {}
         model.empty_columns = [c for c in kinds if row[c] is None]
         return model
 
@@ -279,65 +332,51 @@ class KNNModel(Model):
         distinct = recipients.groupBy(*features).agg(F.min(rep).alias("rep")).persist()
         n = donors.count()
         leaves = max(1, min(self.params["max_boxes"], -(-n // self.params["box_rows"])))
-        sample = donors.where(uniform(0, "tree", dkeys) < min(1.0, TREE_SAMPLE / max(1, n))).select(*features).toPandas()
+        wanted = max(TREE_SAMPLE, TREE_SAMPLE_PER_BOX * leaves)
+        sample = donors.where(uniform(0, "tree", dkeys) < min(1.0, wanted / max(1, n))).select(*features).toPandas()
         tree = build_tree(space, features, sample.to_numpy(dtype=float), leaves)
-        if len(tree[0]):
-            def place(batches):
-                for pdf in batches:
-                    yield pdf.assign(cell=locate(tree, pdf[features].to_numpy(dtype=float)))
-            donors = donors.mapInPandas(place, _ddl(donors) + ", cell int")
-        else:
-            donors = donors.withColumn("cell", F.lit(0))
-        donors = donors.persist()
+        spark = recipients.sparkSession
+        shared_tree = spark.sparkContext.broadcast(tree)
+
+        def place(batches):
+            for pdf in batches:
+                yield pdf.assign(cell=locate(shared_tree.value, pdf[features].to_numpy(dtype=float)))
+
+        donors = (donors.mapInPandas(place, _ddl(donors) + ", cell int") if len(tree[0])
+                  else donors.withColumn("cell", F.lit(0))).persist()
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(features):
             aggs += [F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}"),
                      (F.count(c) == F.count(F.lit(1))).alias(f"full_{i}")]
-        boxes = Boxes(donors.groupBy("cell").agg(*aggs).toPandas(), features, self.params["box_rows"])
-        sizes = recipients.sparkSession.createDataFrame(
-            [(int(c), int(m)) for c, m in zip(boxes.cell, boxes.chunks)], "cell int, chunks int")
+        boxes = Boxes(donors.groupBy("cell").agg(*aggs).toPandas(), len(features), len(tree[0]), self.params["box_rows"])
+        if not boxes.n[0]:
+            return recipients.select(*self.key, F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
+        inner = boxes.inner
+        sizes = spark.createDataFrame([(i, int(m)) for i, m in enumerate(boxes.chunks[inner:]) if m], "cell int, chunks int")
         # one row per box, at most max_boxes
         donors = donors.join(F.broadcast(sizes), "cell").withColumn(
             "chunk", F.pmod(F.xxhash64(*dkeys), F.col("chunks")).cast("int")).drop("chunks")
         # the searches weigh far more than their bytes, so their partitions are fixed as well
-        self.search_partitions = max(default_buckets(recipients), min(MAX_SEARCH_PARTITIONS, int(boxes.chunks.sum()) // 4))
+        self.search_partitions = max(default_buckets(recipients), min(MAX_SEARCH_PARTITIONS, int(boxes.chunks[inner:].sum()) // 4))
         distinct = distinct.repartition(default_buckets(recipients), "rep")
-        if not len(boxes.n):
-            return recipients.select(*self.key, F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
-
-        step = max(1, TILE_CELLS // len(boxes.n))
 
         def home(batches):
             for pdf in batches:
-                x = pdf[features].to_numpy(dtype=float)
-                for at in range(0, len(x), step):
-                    low = boxes.lower_bounds(space, features, x[at:at + step])
-                    low = np.where(boxes.n[None, :] >= min(k, boxes.n.max()), low, np.inf)
-                    best = low.argmin(axis=1)
-                    part = pdf.iloc[at:at + step].copy()
-                    part["cell"] = boxes.cell[best]
-                    part["chunk"] = np.arange(at, at + len(part)) % boxes.chunks[best]
-                    yield part
+                leaf = boxes.home(space, features, pdf[features].to_numpy(dtype=float), min(k, int(boxes.n[0])))
+                yield pdf.assign(cell=leaf - inner, chunk=np.arange(len(pdf)) % np.maximum(1, boxes.chunks[leaf]))
 
         first_visit = distinct.mapInPandas(home, _ddl(distinct) + ", cell int, chunk int")
         round1 = self._match(first_visit, donors, features, dkeys, carry=True).persist()
 
         def rest(batches):
             for pdf in batches:
-                x = pdf[features].to_numpy(dtype=float)
-                for at in range(0, len(x), step):
-                    part = pdf.iloc[at:at + step]
-                    low = boxes.lower_bounds(space, features, x[at:at + step])
-                    rows, cols = np.nonzero(low <= part["radius"].to_numpy(float)[:, None])
-                    if not len(rows):
-                        continue
-                    counts = boxes.chunks[cols]
-                    rows, cols = np.repeat(rows, counts), np.repeat(cols, counts)
-                    chunk = np.concatenate([np.arange(c) for c in counts])
-                    out = part.iloc[rows].copy()
-                    seen = (out["cell"].to_numpy(int) == boxes.cell[cols]) & (out["chunk"].to_numpy(int) == chunk)
-                    out["cell"], out["chunk"] = boxes.cell[cols], chunk
-                    yield out.loc[~seen].drop(columns="radius")
+                cell, chunk = pdf["cell"].to_numpy(int), pdf["chunk"].to_numpy(int)
+                for rows, leaf in boxes.within(space, features, pdf[features].to_numpy(dtype=float), pdf["radius"].to_numpy(float)):
+                    counts = boxes.chunks[leaf]
+                    rows, leaf = np.repeat(rows, counts), np.repeat(leaf, counts) - inner
+                    part = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+                    new = (cell[rows] != leaf) | (chunk[rows] != part)
+                    yield pdf.iloc[rows[new]].drop(columns="radius").assign(cell=leaf[new], chunk=part[new])
 
         asked = round1.where("last").select("rep", *features, "cell", "chunk", "radius")
         second_visit = asked.mapInPandas(rest, _ddl(asked.drop("radius")))
@@ -401,39 +440,57 @@ class KNNModel(Model):
 
     # --- from neighbours to values ---
 
+    def _weight(self, nn: Column):
+        if self.params["weights"] == "uniform":
+            return lambda s: F.lit(1.0)
+        exact = F.exists(nn, lambda s: s["d2"] == 0)
+        return lambda s: F.when(exact, (s["d2"] == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.sqrt(s["d2"])))
+
     def _average(self, nn: Column, pick) -> Column:
         """Mean of ``pick(value)`` over the neighbours, weighted as configured."""
+        weight = self._weight(nn)
+
         def total(f):
             return F.aggregate(nn, F.lit(0.0), lambda a, s: a + f(s))
-        if self.params["weights"] == "uniform":
-            return F.try_divide(total(lambda s: pick(s["value"])), F.size(nn).cast("double"))
-        exact = F.exists(nn, lambda s: s["d2"] == 0)
-
-        def weight(s):
-            return F.when(exact, (s["d2"] == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.sqrt(s["d2"])))
         return F.try_divide(total(lambda s: weight(s) * pick(s["value"])), total(weight))
 
+    def _vote(self, nn: Column) -> Column:
+        """Code with the largest total weight, the smallest one on a tie.
+
+        Only codes that occur among the neighbours can win, so the number of
+        categories does not matter.
+        """
+        weight = self._weight(nn)
+        codes = F.array_sort(F.array_distinct(F.transform(nn, lambda s: s["value"])))
+        votes = F.transform(codes, lambda c: F.aggregate(
+            nn, F.lit(0.0), lambda a, s: a + F.when(s["value"] == c, weight(s)).otherwise(0.0)))
+        return F.when(F.size(nn) > 0, F.get(codes, (F.array_position(votes, F.array_max(votes)) - 1).cast("int")))
+
     def _fill(self, df: DataFrame, c: str) -> DataFrame:
         nn = F.col(f"__nn_{c}")
         if self.kinds[c] == NUMERICAL:
             value = F.coalesce(self._average(nn, lambda v: v), F.lit(self.means[c]))
             return df.withColumn(c, F.coalesce(F.col(c).cast("double"), value))
-        values = self.values[c]
         if c in self.space.blocks:
-            votes = F.array(*[self._average(nn, lambda v, i=i: (v == float(i)).cast("double")) for i in range(len(values))])
-            at = F.array_position(votes, F.array_max(votes)).cast("int")
-            value = F.when(F.size(nn) > 0, F.element_at(F.array(*[F.lit(v) for v in values]), at))
-            return df.withColumn(c, F.coalesce(F.col(c), value, F.lit(self.modes[c])))
-        code = F.rint(F.coalesce(self._average(nn, lambda v: v), F.lit(self.means[c])))
+            code = F.coalesce(self._vote(nn), F.lit(self.mode_codes.get(c)))
+        else:
+            code = F.rint(F.coalesce(self._average(nn, lambda v: v), F.lit(self.means[c])))
+        values = self.values[c]
         if values is not None:
-            arr = F.array(*[F.lit(v) for v in values])
-            at = F.least(F.greatest(code, F.lit(0.0)), F.lit(float(len(values) - 1))).cast("int") + 1
-            return df.withColumn(c, F.coalesce(F.col(c), F.element_at(arr, at)))
+            # averages and votes never leave the range of the codes
+            found = F.get(F.array(*[F.lit(v) for v in values]), code.cast("int"))
+            return df.withColumn(c, F.coalesce(F.col(c), found))
         table = code_table(self.fit_frame, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
-        # an average of codes never leaves their range
         df = df.withColumn("__at", F.when(F.col(c).isNull(), code)).join(table, F.col("__at") == F.col("__code"), "left")
         return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__at", "__code", "__value")
 
 
+def _mode_codes(encoded: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Most frequent code per column, the smallest on a tie."""
+    counts = long_values(encoded, columns, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("column").agg(F.min(F.struct(-F.col("n"), F.col("value"))).alias("best"))
+    return {r["column"]: r["best"]["value"] for r in best.collect()}
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

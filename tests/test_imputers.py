@@ -255,3 +255,15 @@ def test_bad_patterns():
         with pytest.raises(ValueError):
             PatternConfig(**kw)
     assert PatternConfig(["a"], "MNAR", 0.3).to_dict() == {"incomplete_vars": ["a"], "mechanism": "MNAR", "freq": 0.3, "score_to_probability_func": "sigmoid-right"}
+
+
+def test_many_categories(spark):
+    """More categories than fit a literal list: codes and votes go through joined tables."""
+    base = spark.range(900).select("id", F.format_string("v%03d", F.col("id") % 300).alias("s"), (F.col("id") % 300).cast("double").alias("x"))
+    fit = base.withColumn("s", F.when(F.col("id") % 10 > 0, F.col("s"))).persist()
+    for imp in (KNNImputer(n_neighbors=2), MICEImputer(max_iter=1, sample_posterior=False, categorical_encoder="ordinal")):
+        out = imp.fit_transform(fit, "id").withColumnRenamed("s", "f").join(base.select("id", "s"), "id")
+        row = out.agg(F.count(F.lit(1)), F.count_if(F.col("f").isNull()), F.count_if((F.col("id") % 10 > 0) & (F.col("f") != F.col("s")))).first()
+        assert tuple(row) == (900, 0, 0)
+    with pytest.raises(ValueError, match="categories"):
+        MICEImputer().fit(fit, "id")
