@@ -34,7 +34,8 @@ def offset_rank(df: DataFrame, bucket: str, order: Sequence, out: str,
     same = F.col(bucket) == F.col("__b")
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    return (ranked.join(totals, same, "inner")
+    # every bucket has its total; a left join just spares the optimizer a NULL filter on each side
+    return (ranked.join(totals, same, "left")
             .withColumn(out, F.col("__local") + F.col("__offset"))
             .drop("__local", "__b", "__offset", *[f"__g{i}" for i in range(len(group))]))
 

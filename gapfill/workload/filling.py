@@ -227,8 +227,8 @@ def vae_fill(spark, d):
 
 @query("gain_fill", INVARIANT)
 def gain_fill(spark, d):
-    """Adversarial filling with its default settings, 50 passes over the data (invariants)."""
-    return invariants(spark, d, GAINImputer(rounds=10))
+    """Adversarial filling with its default settings, 100 passes over the data (invariants)."""
+    return invariants(spark, d, GAINImputer())
 
 
 @query("training_history", f"""WITH {ORDER_FEATS} SELECT CAST(i AS INTEGER) AS step, CAST(2 * i AS INTEGER) AS epoch, TRUE AS has_losses, 0.001::DOUBLE AS learning_rate, n_rows
