@@ -26,15 +26,19 @@ def digest(seed: int, tag: str, key) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(tag), *_text(key)))
 
 
+def _number(hex_text: Column, at: int) -> Column:
+    """Eight hex digits as a number; reading an integer is cheaper than reading a double."""
+    return F.conv(F.substring(hex_text, at, 8), 16, 10).cast("bigint").cast("double")
+
+
 def uniform(seed: int, tag: str, key) -> Column:
     """Uniform draw in [0, 1) from the first 32 bits of the digest."""
-    return F.conv(F.substring(digest(seed, tag, key), 1, 8), 16, 10).cast("double") / _TWO32
+    return _number(digest(seed, tag, key), 1) / _TWO32
 
 
 def normal(seed: int, tag: str, key) -> Column:
     """Standard normal draw (Box-Muller on two halves of one digest)."""
     d = digest(seed, tag, key)
-    u1 = F.conv(F.substring(d, 1, 8), 16, 10).cast("double")
-    u2 = F.conv(F.substring(d, 9, 8), 16, 10).cast("double") / _TWO32
+    u1, u2 = _number(d, 1), _number(d, 9) / _TWO32
     # shift by half a step so that log never sees zero
     return F.sqrt(-2.0 * F.log((u1 + 0.5) / _TWO32)) * F.cos(2.0 * math.pi * u2)

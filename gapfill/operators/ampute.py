@@ -22,9 +22,11 @@ from gapfill.functions.rand import uniform
 from gapfill.functions.ranks import with_code
 
 MECHANISMS = ("MCAR", "MAR", "MNAR", "MAR+MNAR")
-SHAPES = ("sigmoid-right", "sigmoid-left", "sigmoid-mid", "sigmoid-tail")
 DEFAULT_SEED = 42
 
+# The part of the logistic argument that depends on the score.
+SHAPE_SQL = {"sigmoid-right": "{z}", "sigmoid-left": "-{z}", "sigmoid-mid": "-abs({z})", "sigmoid-tail": "abs({z})"}
+
 # Calibration: 5 rounds of 17 candidate shifts over [-20, 20], exact to 4e-5.
 SHIFT_BOUND = 20.0
 SHIFT_STEPS = 16
@@ -46,8 +48,8 @@ class PatternConfig:
             raise ValueError("a pattern needs at least one incomplete column")
         if self.mechanism not in MECHANISMS:
             raise ValueError(f"mechanism must be one of {MECHANISMS}")
-        if self.score_to_probability_func not in SHAPES:
-            raise ValueError(f"score_to_probability_func must be one of {SHAPES}")
+        if self.score_to_probability_func not in SHAPE_SQL:
+            raise ValueError(f"score_to_probability_func must be one of {tuple(SHAPE_SQL)}")
         if self.mechanism == "MAR+MNAR" and not self.weights:
             raise ValueError("MAR+MNAR needs explicit weights")
         if self.freq is not None and self.freq <= 0:
@@ -81,14 +83,7 @@ class PatternConfig:
 
 
 def shape_argument(z: Column, shape: str) -> Column:
-    """The part of the logistic argument that depends on the score."""
-    if shape == "sigmoid-left":
-        return -z
-    if shape == "sigmoid-mid":
-        return -F.abs(z)
-    if shape == "sigmoid-tail":
-        return F.abs(z)
-    return z
+    return {"sigmoid-right": z, "sigmoid-left": -z, "sigmoid-mid": -F.abs(z), "sigmoid-tail": F.abs(z)}[shape]
 
 
 def probability(z: Column, shape: str, shift: float) -> Column:
@@ -96,14 +91,13 @@ def probability(z: Column, shape: str, shift: float) -> Column:
     return 1.0 / (1.0 + F.exp(-(shape_argument(z, shape) + F.lit(shift))))
 
 
-def assign_pattern(key: Sequence[str], freqs: Sequence[float], seed: int) -> Column:
-    """Pattern number of a row, by cumulative normalised frequency."""
-    total = sum(freqs)
-    u, expr, acc = uniform(seed, "pattern", key), F.lit(len(freqs) - 1), 0.0
-    bounds = []
+def assign_pattern(u: Column, freqs: Sequence[float]) -> Column:
+    """Pattern number of a row: where its draw falls in the cumulative normalised frequencies."""
+    total, acc, bounds = sum(freqs), 0.0, []
     for f in freqs[:-1]:
         acc += f / total
         bounds.append(acc)
+    expr = F.lit(len(freqs) - 1)
     for i in reversed(range(len(bounds))):
         expr = F.when(u < bounds[i], i).otherwise(expr)
     return expr
@@ -120,12 +114,10 @@ def calibrate_shifts(scored: DataFrame, z: str, pattern: str, shapes: dict[int,
     lo = {i: -SHIFT_BOUND for i in shapes}
     width = {i: 2 * SHIFT_BOUND for i in shapes}
     for _ in range(SHIFT_ROUNDS):
-        aggs = []
-        for i, shape in shapes.items():
-            for j in range(SHIFT_STEPS + 1):
-                p = probability(F.col(z), shape, lo[i] + width[i] * j / SHIFT_STEPS)
-                aggs.append(F.avg(F.when(F.col(pattern) == i, p)).alias(f"p{i}_{j}"))
-        row = scored.agg(*aggs).first()
+        # as text: one call for the whole grid
+        grid = [f"avg(CASE WHEN `{pattern}` = {i} THEN 1.0D / (1.0D + exp(-({SHAPE_SQL[shape].format(z=f'`{z}`')} + {lo[i] + width[i] * j / SHIFT_STEPS!r}D))) END) AS p{i}_{j}"
+                for i, shape in shapes.items() for j in range(SHIFT_STEPS + 1)]
+        row = scored.selectExpr(*grid).first()
         for i in shapes:
             below = [j for j in range(SHIFT_STEPS) if (row[f"p{i}_{j}"] or 0.0) <= proportion]
             lo[i] += width[i] * (max(below) if below else 0) / SHIFT_STEPS
@@ -186,9 +178,9 @@ def ampute(df: DataFrame, key, proportion: float = 0.3, patterns=None,
         bad = [c for c in columns if missing[c]]
         if bad:
             raise ValueError(f"input already has missing values in columns: {bad}")
-    hits = _default_hits(key, columns, proportion, seed) if patterns is None else None
-    work = df
-    if hits is None:
+    if patterns is None:
+        work, hits = _default_hits(df, key, columns, proportion, seed)
+    else:
         work, hits = _pattern_hits(df, key, kinds, columns, proportion,
                                    [PatternConfig.of(p) for p in patterns], seed)
     flags = {mask_name(c): hits.get(c, F.lit(False)) for c in columns}
@@ -201,14 +193,17 @@ def ampute(df: DataFrame, key, proportion: float = 0.3, patterns=None,
         *[mask_name(c) for c in columns])
 
 
-def _default_hits(key, columns, proportion, seed) -> dict[str, Column]:
+def _default_hits(df, key, columns, proportion, seed) -> tuple[DataFrame, dict[str, Column]]:
     hit = uniform(seed, "row", key) < proportion
     if len(columns) == 1:
-        return {columns[0]: hit}
-    draws = {c: uniform(seed, f"cell:{c}", key) for c in columns}
-    least, most = F.least(*draws.values()), F.greatest(*draws.values())
+        return df, {columns[0]: hit}
+    # every draw is a column of its own, so it is hashed once however often it is compared
+    draws = {c: f"__u{i}" for i, c in enumerate(columns)}
+    df = df.withColumns({"__hit": hit, **{d: uniform(seed, f"cell:{c}", key) for c, d in draws.items()}})
+    df = df.withColumns({"__least": F.least(*draws.values()), "__most": F.greatest(*draws.values())})
     # half of the cells on average; the smallest draw always goes, the largest never
-    return {c: hit & (((d < 0.5) | (d == least)) & (d < most)) for c, d in draws.items()}
+    return df, {c: F.col("__hit") & ((F.col(d) < 0.5) | (F.col(d) == F.col("__least"))) & (F.col(d) < F.col("__most"))
+                for c, d in draws.items()}
 
 
 def _pattern_hits(df, key, kinds, columns, proportion, patterns, seed):
@@ -218,7 +213,9 @@ def _pattern_hits(df, key, kinds, columns, proportion, patterns, seed):
     scorable = [c for c in kinds if kinds[c] in (NUMERICAL, CATEGORICAL)]
     weights = {i: p.score_weights([c for c in columns if c in scorable]) for i, p in enumerate(patterns)}
     freqs = [p.freq if p.freq is not None else 1.0 / len(patterns) for p in patterns]
-    df = df.withColumn("__pattern", assign_pattern(key, freqs, seed))
+    df = df.withColumns({"__u_pattern": uniform(seed, "pattern", key) if len(patterns) > 1 else F.lit(0.0),
+                         "__u_miss": uniform(seed, "miss", key)})
+    df = df.withColumn("__pattern", assign_pattern(F.col("__u_pattern"), freqs))
     shifts: dict[int, float] = {}
     if any(weights.values()):
         coded = df.select("*", *[F.col(c).cast("double").alias(f"__w_{c}")
@@ -234,7 +231,7 @@ def _pattern_hits(df, key, kinds, columns, proportion, patterns, seed):
         scored = df.select("__pattern", "__z").persist()
         shifts = calibrate_shifts(scored, "__z", "__pattern", shapes, proportion)
         scored.unpersist()
-    u = uniform(seed, "miss", key)
+    u = F.col("__u_miss")
     hit = F.lit(False)
     for i, p in enumerate(patterns):
         chance = probability(F.col("__z"), p.score_to_probability_func, shifts[i]) if i in shifts else F.lit(proportion)

@@ -248,7 +248,7 @@ TEXT_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 def holed_orders(spark, d, columns=TEXT_COLUMNS):
     df = read(spark, d, "orders").select("o_orderkey", *columns)
-    return ampute(df, "o_orderkey", 0.4, seed=5, check=False).select("o_orderkey", *columns)
+    return ampute(df, "o_orderkey", 0.4, seed=5, check=False).select("o_orderkey", *columns).persist()
 
 
 def _orders_sql(columns=TEXT_COLUMNS) -> str:

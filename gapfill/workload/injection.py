@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gapfill.functions.rand import uniform
 from gapfill.operators.ampute import PatternConfig, ampute, assign_pattern, introduce_missing, probability
 from gapfill.workload.fixtures import ORDER_FEATS, order_feats, read, rnd, u
 from gapfill.workload.registry import query
@@ -34,7 +35,7 @@ def ampute_default(spark, d):
 @query("ampute_patterns", f"""WITH a AS (SELECT o_orderkey, {u('pattern', 'o_orderkey')} AS p FROM orders)
 SELECT o_orderkey, CASE WHEN p < 0.5 THEN 0 WHEN p < 0.8 THEN 1 ELSE 2 END AS pattern FROM a""")
 def ampute_patterns(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", assign_pattern(["o_orderkey"], [0.5, 0.3, 0.2], 42).alias("pattern"))
+    return read(spark, d, "orders").select("o_orderkey", assign_pattern(uniform(42, "pattern", "o_orderkey"), [0.5, 0.3, 0.2]).alias("pattern"))
 
 
 def shift_sql(z: str, arg: str, proportion: float = 0.3, prefix: str = "r") -> str:
