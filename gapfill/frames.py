@@ -74,6 +74,16 @@ def check_key(df: DataFrame, key: str | Sequence[str]) -> None:
         raise ValueError(f"key {key} is not unique: {bad[0].asDict()}")
 
 
+def quoted(name: str) -> str:
+    """A column name inside SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def quoted_text(value: str) -> str:
+    """A string literal inside SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def mask_name(column: str) -> str:
     return f"{column}__missing"
 

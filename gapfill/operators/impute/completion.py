@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gapfill.frames import as_key, column_kinds, cut_lineage, normalise
@@ -84,7 +84,6 @@ class CompletionModel(Model):
 
     def _rounds(self, df):
         cols, key, limit = self.columns, self.key, self.params["max_retries"]
-        spark = df.sparkSession
         types = {c: df.schema[c].dataType for c in cols}
         state = df.select(*df.columns, *[F.lit(0).alias(f"__a_{c}") for c in cols], F.lit(False).alias("__filled"))
         gaps = sum((F.col(c).isNull().cast("bigint") for c in cols), F.lit(0))
@@ -92,16 +91,15 @@ class CompletionModel(Model):
         rows_total, cells_total = row["rows"], row["cells"] or 0
         done, self.steps = [], []
         cells = retries = failures = completed = 0
-        target = F.coalesce(*[F.when(F.col(c).isNull() & (F.col(f"__a_{c}") <= limit), F.lit(c)) for c in cols])
-        state = state.withColumn("target", target)
+        attempt = self._attempt(df, cols, types, limit)
+        state = state.withColumn("target", attempt.next_target)
         done.append(state.where(F.col("target").isNull()))
         # completing is the heavy part, whatever the table's size in bytes
         state = state.where(F.col("target").isNotNull()).repartition(default_buckets(df), *key)
         number = 0
         while True:
-            state = cut_lineage(self._complete(state, cols, types, limit))
-            s = state.agg(F.count(F.lit(1)).alias("n"), F.count_if("__filled").alias("ok"),
-                          F.count_if(F.col("__gave_up")).alias("lost"),
+            state = cut_lineage(attempt.run(state))
+            s = state.agg(F.count(F.lit(1)).alias("n"), F.count_if("__filled").alias("ok"), F.count_if("__gave_up").alias("lost"),
                           F.count_if(gaps == 0).alias("full"), F.count_if(F.col("target").isNotNull()).alias("open")).first()
             if not s["n"]:
                 break
@@ -120,17 +118,8 @@ class CompletionModel(Model):
             out = out.unionByName(part.select(*df.columns))
         self.result = out
 
-    def _complete(self, state, cols, types, limit):
-        """One attempt for the open cell of every row."""
-        keep = [c for c in state.columns if c not in ("target", "__filled", "__gave_up")]
-        attempts = {c: F.col(f"__a_{c}") for c in cols}
-        attempt = F.coalesce(*[F.when(F.col("target") == c, a) for c, a in attempts.items()])
-        asked = state.select(*keep, "target", prompt_text(state, cols, F.col("target")).alias("prompt"), attempt.alias("attempt"))
-        asked = asked.withColumns({
-            "temperature": self._escalated(self.params["retry_temperatures"], self.params["temperature"], "double"),
-            "top_k": self._escalated(self.params["retry_top_ks"], self.params["top_k"], "int")})
+    def _attempt(self, df, cols, types, limit) -> "Attempt":
         complete = self.params["complete"]
-        names = asked.columns
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []
@@ -142,20 +131,42 @@ class CompletionModel(Model):
             for texts in complete(prompts()):
                 yield held.pop(0).assign(completed=list(texts))
 
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + ", completed string"
-        got = asked.mapInPandas(run, ddl)
-        numeric = F.col("target").isin(numeric_columns(state, cols)) if numeric_columns(state, cols) else F.lit(False)
-        got = got.withColumn("__value", extract_value(F.col("completed"), F.col("prompt"), numeric))
+        target, count = F.col("target"), {c: F.col(f"__a_{c}") for c in cols}
+        settings = {"temperature": self._escalated(self.params["retry_temperatures"], self.params["temperature"], "double"),
+                    "top_k": self._escalated(self.params["retry_top_ks"], self.params["top_k"], "int")}
+        asked = {"prompt": prompt_text(df, cols, target), "attempt": F.coalesce(*[F.when(target == c, a) for c, a in count.items()])}
+        numbers = numeric_columns(df, cols)
+        value = extract_value(F.col("completed"), F.col("prompt"), target.isin(numbers) if numbers else F.lit(False))
         filled = F.col("__value").isNotNull()
-        mine = {c: F.col("target") == c for c in cols}
-        out = got.withColumns({
-            "__filled": filled,
-            "__gave_up": ~filled & (F.col("attempt") >= limit),
-            **{c: F.when(mine[c] & filled, F.col("__value").try_cast("double").cast(types[c]) if types[c].simpleString() in
-                         ("tinyint", "smallint", "int", "bigint") else F.col("__value").try_cast(types[c])).otherwise(F.col(c)) for c in cols},
-            **{f"__a_{c}": F.when(mine[c] & ~filled, attempts[c] + 1).otherwise(attempts[c]) for c in cols}})
-        nxt = F.coalesce(*[F.when(F.col(c).isNull() & (F.col(f"__a_{c}") <= limit), F.lit(c)) for c in cols])
-        return out.select(*keep, "__filled", "__gave_up").withColumn("target", nxt)
+        whole = ("tinyint", "smallint", "int", "bigint")
+        after = {"__filled": filled, "__gave_up": ~filled & (F.col("attempt") >= limit)}
+        for c in cols:
+            mine, text = target == c, F.col("__value")
+            typed = text.try_cast("double").cast(types[c]) if types[c].simpleString() in whole else text.try_cast(types[c])
+            after[c] = F.when(mine & filled, typed).otherwise(F.col(c))
+            after[f"__a_{c}"] = F.when(mine & ~filled, count[c] + 1).otherwise(count[c])
+        keep = [*df.columns, *[f"__a_{c}" for c in cols]]
+        nxt = F.coalesce(*[F.when(F.col(c).isNull() & (count[c] <= limit), F.lit(c)) for c in cols])
+        return Attempt(run, asked, settings, value, after, keep, nxt)
+
+
+@dataclass
+class Attempt:
+    """One attempt for the open cell of every row; its expressions serve all rounds."""
+
+    complete: Callable
+    asked: dict
+    settings: dict
+    value: Column
+    after: dict
+    keep: list[str]
+    next_target: Column
+
+    def run(self, state: DataFrame) -> DataFrame:
+        asked = state.select(*self.keep, "target", *[e.alias(n) for n, e in self.asked.items()]).withColumns(self.settings)
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + ", completed string"
+        got = asked.mapInPandas(self.complete, ddl).withColumn("__value", self.value).withColumns(self.after)
+        return got.select(*self.keep, "__filled", "__gave_up").withColumn("target", self.next_target)
 
 
 def fill_by_completion(df: DataFrame, key, complete: Completer, **options) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gapfill.frames import quoted, quoted_text
 from gapfill.operators.metrics.reconstruction import with_average
 from gapfill.operators.moments import (MAX_EXPRESSION_COLUMNS, covariance_expressions, covariance_matrix, covariances)
 
@@ -24,14 +25,14 @@ def adaptive_bins(n: int) -> int:
     return min(max(math.isqrt(n), MIN_HISTOGRAM_BINS), MAX_HISTOGRAM_BINS)
 
 
-def _stat_expressions(columns: Sequence[str], flagged: bool) -> list[Column]:
+def _stat_expressions(columns: Sequence[str], flagged: bool) -> list[str]:
     aggs = []
     for c in columns:
         for side in ("true", "imp"):
-            v = F.col(f"{c}__{side}").cast("double")
-            aggs += [F.count(v).alias(f"n_{side}_{c}"), F.min(v).alias(f"lo_{side}_{c}"), F.max(v).alias(f"hi_{side}_{c}")]
+            v = f"double({quoted(f'{c}__{side}')})"
+            aggs += [f"count({v}) AS {quoted(f'n_{side}_{c}')}", f"min({v}) AS {quoted(f'lo_{side}_{c}')}", f"max({v}) AS {quoted(f'hi_{side}_{c}')}"]
         if flagged:
-            aggs.append(F.count_if(F.col(f"{c}__missing")).alias(f"masked_{c}"))
+            aggs.append(f"count_if({quoted(f'{c}__missing')}) AS {quoted(f'masked_{c}')}")
     return aggs
 
 
@@ -44,7 +45,7 @@ def column_stats(pair: DataFrame, columns: Sequence[str]) -> dict[str, dict]:
     """Counts and ranges of both sides: one pass."""
     if not columns:
         return {}
-    return _stats_of(pair.agg(*_stat_expressions(columns, False)).first().asDict(), columns)
+    return _stats_of(pair.selectExpr(*_stat_expressions(columns, False)).first().asDict(), columns)
 
 
 def _cells(pair: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
@@ -54,13 +55,10 @@ def _cells(pair: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
     """
     out = []
     for c in columns:
-        t, i = F.col(f"{c}__true").cast(cast), F.col(f"{c}__imp").cast(cast)
-        same = t.eqNullSafe(i)
-        out.append(F.struct(F.lit(c).alias("column"), t.alias("v"), F.lit(1).alias("a"),
-                            F.when(same, 1).otherwise(0).alias("b")))
-        out.append(F.struct(F.lit(c).alias("column"), F.when(~same, i).alias("v"), F.lit(0).alias("a"),
-                            F.lit(1).alias("b")))
-    return pair.select(F.inline(F.array(*out))).where(F.col("v").isNotNull())
+        t, i = f"CAST({quoted(f'{c}__true')} AS {cast})", f"CAST({quoted(f'{c}__imp')} AS {cast})"
+        out += [f"struct({quoted_text(c)} AS column, {t} AS v, 1 AS a, int({t} <=> {i}) AS b)",
+                f"struct({quoted_text(c)} AS column, if({t} <=> {i}, null, {i}) AS v, 0 AS a, 1 AS b)"]
+    return pair.selectExpr(f"inline(array({', '.join(out)}))").where("v IS NOT NULL")
 
 
 def _by_column(values: dict[str, Column], default: Column) -> Column:
@@ -230,9 +228,9 @@ def evaluate_distribution(pair: DataFrame, numeric: Sequence[str], categorical:
     narrow = len(numeric) <= MAX_EXPRESSION_COLUMNS
     sides = _sides(numeric) if len(numeric) >= 2 else []
     # counts, ranges, masks and covariances of everything in one pass
-    aggs = _stat_expressions(numeric, True) + [F.count_if(F.col(f"{c}__missing")).alias(f"masked_{c}") for c in categorical]
+    aggs = _stat_expressions(numeric, True) + [f"count_if({quoted(f'{c}__missing')}) AS {quoted(f'masked_{c}')}" for c in categorical]
     aggs += [e for t, g in enumerate(sides) for e in covariance_expressions(g, f"g{t}")] if narrow else []
-    row = pair.agg(*aggs).first().asDict() if aggs else {}
+    row = pair.selectExpr(*aggs).first().asDict() if aggs else {}
     stats = _stats_of(row, numeric)
     live = [c for c in numeric if stats[c]["masked"] and stats[c]["n_true"] and stats[c]["n_imp"]]
     parts = []

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gapfill.frames import quoted, quoted_text
+
 FAMILY = "reconstruction"
 EMPTY = "family string, metric string, column string, value double"
 
@@ -42,22 +44,19 @@ def with_average(long: DataFrame, skip_undefined: bool = False) -> DataFrame:
 
 
 def reconstruction_wide(pair: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
-    """All reconstruction aggregates of all columns in one pass."""
+    """All reconstruction aggregates of all columns in one pass, written as text."""
     aggs = []
     for c in [*numeric, *categorical]:
-        m = F.col(f"{c}__missing")
-        aggs += [F.count_if(m).alias(f"n_{c}"),
-                 F.count_if(m & F.col(f"{c}__imp").isNull()).alias(f"u_{c}")]
+        aggs += [f"count_if({quoted(f'{c}__missing')}) AS {quoted(f'n_{c}')}", f"count_if({quoted(f'{c}__missing')} AND {quoted(f'{c}__imp')} IS NULL) AS {quoted(f'u_{c}')}"]
     for c in numeric:
-        m = F.col(f"{c}__missing") & F.col(f"{c}__imp").isNotNull()
-        t = F.when(m, F.col(f"{c}__true").cast("double"))
-        p = F.when(m, F.col(f"{c}__imp").cast("double"))
-        aggs += [mae(t, p).alias(f"mae_{c}"), rmse(t, p).alias(f"rmse_{c}"), nrmse(t, p).alias(f"nrmse_{c}")]
+        t, p = f"double({quoted(f'{c}__true')})", f"double({quoted(f'{c}__imp')})"
+        own = f"FILTER (WHERE {quoted(f'{c}__missing')} AND {quoted(f'{c}__imp')} IS NOT NULL)"
+        rms = f"sqrt(avg(({t} - {p}) * ({t} - {p})) {own})"
+        aggs += [f"avg(abs({t} - {p})) {own} AS {quoted(f'mae_{c}')}", f"{rms} AS {quoted(f'rmse_{c}')}",
+                 f"try_divide({rms}, nullif(max({t}) {own} - min({t}) {own}, 0.0D)) AS {quoted(f'nrmse_{c}')}"]
     for c in categorical:
-        m = F.col(f"{c}__missing")
-        hit = F.col(f"{c}__true").eqNullSafe(F.col(f"{c}__imp")).cast("double")
-        aggs.append(F.avg(F.when(m, hit)).alias(f"acc_{c}"))
-    return pair.agg(*aggs)
+        aggs.append(f"avg(double({quoted(f'{c}__true')} <=> {quoted(f'{c}__imp')})) FILTER (WHERE {quoted(f'{c}__missing')}) AS {quoted(f'categorical_accuracy_{c}')}")
+    return pair.selectExpr(*aggs)
 
 
 def evaluate_reconstruction(pair: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -67,22 +66,15 @@ def evaluate_reconstruction(pair: DataFrame, numeric: Sequence[str], categorical
     A masked cell that is still empty makes its column's numeric metrics NULL,
     unless ``skip_unfilled`` is set.
     """
-    spark = pair.sparkSession
     if not numeric and not categorical:
-        return spark.createDataFrame([], EMPTY)
-    entries = []
-    for c in numeric:
-        full = F.lit(True) if skip_unfilled else F.col(f"u_{c}") == 0
-        for m in ("mae", "rmse", "nrmse"):
-            entries.append((m, c, F.when(full, F.col(f"{m}_{c}"))))
-    for c in categorical:
-        entries.append(("categorical_accuracy", c, F.col(f"acc_{c}")))
-    wide = reconstruction_wide(pair, numeric, categorical)
-    masked = {c: F.col(f"n_{c}") > 0 for c in [*numeric, *categorical]}
-    cells = [F.struct(F.lit(FAMILY).alias("family"), F.lit(m).alias("metric"), F.lit(c).alias("column"),
-                      v.cast("double").alias("value"), masked[c].alias("live")) for m, c, v in entries]
-    long = wide.select(F.inline(F.array(*cells))).where("live").drop("live")
-    return with_average(long, skip_undefined)
+        return pair.sparkSession.createDataFrame([], EMPTY)
+    names = [(m, c) for c in numeric for m in ("mae", "rmse", "nrmse")] + [("categorical_accuracy", c) for c in categorical]
+    cells = []
+    for m, c in names:
+        full = f"{quoted(f'u_{c}')} = 0" if c in numeric and not skip_unfilled else "true"
+        cells.append(f"struct('{FAMILY}' AS family, '{m}' AS metric, {quoted_text(c)} AS column, if({full}, {quoted(f'{m}_{c}')}, null) AS value, {quoted(f'n_{c}')} > 0 AS live)")
+    long = reconstruction_wide(pair, numeric, categorical).selectExpr(f"inline(array({', '.join(cells)}))")
+    return with_average(long.where("live").drop("live"), skip_undefined)
 
 
 def unfilled_cells(pair: DataFrame, columns: Sequence[str]) -> DataFrame:

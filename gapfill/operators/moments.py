@@ -6,21 +6,21 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gapfill.frames import quoted
 from gapfill.functions.vectors import chunks, combine
 
 MAX_EXPRESSION_COLUMNS = 12
 
 
-def covariance_expressions(columns: Sequence[str], tag: str) -> list[Column]:
-    """Upper triangle of the population covariances and the gap counts."""
+def covariance_expressions(columns: Sequence[str], tag: str) -> list[str]:
+    """Upper triangle of the population covariances and the gap counts, as text."""
     aggs = []
     for i, a in enumerate(columns):
-        x = F.col(a).cast("double")
-        aggs.append(F.count_if(x.isNull()).alias(f"{tag}_gap{i}"))
-        aggs += [F.covar_pop(x, F.col(columns[j]).cast("double")).alias(f"{tag}_{i}_{j}") for j in range(i, len(columns))]
+        aggs.append(f"count_if({quoted(a)} IS NULL) AS {quoted(f'{tag}_gap{i}')}")
+        aggs += [f"covar_pop(double({quoted(a)}), double({quoted(columns[j])})) AS {quoted(f'{tag}_{i}_{j}')}" for j in range(i, len(columns))]
     return aggs
 
 
@@ -39,7 +39,7 @@ def covariances(df: DataFrame, groups: Sequence[Sequence[str]]) -> list[list[lis
     if max(len(g) for g in groups) > MAX_EXPRESSION_COLUMNS:
         return [wide_covariance(df, g) for g in groups]
     aggs = [e for t, g in enumerate(groups) for e in covariance_expressions(g, f"g{t}")]
-    row = df.agg(*aggs).first().asDict()
+    row = df.selectExpr(*aggs).first().asDict()
     return [covariance_matrix(row, len(g), f"g{t}") for t, g in enumerate(groups)]
 
 

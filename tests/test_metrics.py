@@ -209,3 +209,11 @@ def test_scores_known(spark):
     assert s["overall"] == pytest.approx((1 / 1.1 + 1 / 1.05 + 0.8) / 3)
     import json
     assert json.loads(nested_json(m, p).first()["report"])["predictive"]["X"]["r2"]["mean"] == 0.9
+
+
+def test_awkward_column_names(spark):
+    true = spark.createDataFrame([(i, float(i), float(i * i % 7), "ab"[i % 2]) for i in range(30)], "id int, `a'b` double, `c``d` double, `e f=1` string")
+    holed = true.withColumns({c: F.when(F.col("id") > 5, F.col(f"`{c.replace('`', '``')}`")) for c in ("a'b", "e f=1")})
+    filled = holed.na.fill({"a'b": 0.0, "e f=1": "a"})
+    res = evaluate(X=true, X_imputed=filled, X_missing=holed, key="id", columns=["a'b", "e f=1"])
+    assert res.to_dict()["reconstruction"]["mae"]["a'b"] == pytest.approx(2.5)
