@@ -321,6 +321,9 @@ class KNNModel(Model):
     def _neighbours(self, recipients: DataFrame, donors: DataFrame, target: str) -> DataFrame:
         """(key, __nn_<target>) through the two rounds of box visits."""
         space, k, features = self.space, self.k, self.space.without(target)
+        nothing = recipients.select(*self.key, F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
+        if not features:
+            return nothing
         dkeys = [f"__d{i}" for i in range(len(self.key))]
         # Only the k smallest keys among donors with equal coordinates can ever be chosen.
         first = Window.partitionBy(*features).orderBy(*self.key)
@@ -350,7 +353,7 @@ class KNNModel(Model):
                      (F.count(c) == F.count(F.lit(1))).alias(f"full_{i}")]
         boxes = Boxes(donors.groupBy("cell").agg(*aggs).toPandas(), len(features), len(tree[0]), self.params["box_rows"])
         if not boxes.n[0]:
-            return recipients.select(*self.key, F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
+            return nothing
         inner = boxes.inner
         sizes = spark.createDataFrame([(i, int(m)) for i, m in enumerate(boxes.chunks[inner:]) if m], "cell int, chunks int")
         # one row per box, at most max_boxes

@@ -127,8 +127,9 @@ def scores(metrics: DataFrame, predictive: DataFrame | None = None) -> DataFrame
     parts = 1.0 / (1.0 + F.col("overall_reconstruction")) + 1.0 / (1.0 + F.col("overall_distribution"))
     if predictive is None:
         return base.withColumn("overall", parts / 2.0)
-    # one row on each side
-    both = base.withColumn("__one", F.lit(1)).join(predictive_scores(predictive).withColumn("__one", F.lit(1)), "__one").drop("__one")
+    # one row from each side, folded into one
+    both = base.unionByName(predictive_scores(predictive), allowMissingColumns=True)
+    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return both.withColumn("overall", (parts + F.col("overall_predictive")) / 3.0)
 
 

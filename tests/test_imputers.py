@@ -267,3 +267,20 @@ def test_many_categories(spark):
         assert tuple(row) == (900, 0, 0)
     with pytest.raises(ValueError, match="categories"):
         MICEImputer().fit(fit, "id")
+
+
+def test_one_column_table_falls_back_to_the_mean(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, None), (3, 4.0)], "id int, x double")
+    for imp in (KNNImputer(), KNNImputer(max_broadcast_bytes=0)):
+        assert imp.fit_transform(df, "id").orderBy("id").collect()[1]["x"] == 2.5
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+    from gapfill.frames import checkpoint_dir
+    conf = SimpleNamespace(get=lambda name, default: None)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(cluster)
+    conf.get = lambda name, default: "hdfs:///shared"
+    assert checkpoint_dir(cluster) == "hdfs:///shared"
