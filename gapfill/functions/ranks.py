@@ -31,11 +31,11 @@ def offset_rank(df: DataFrame, bucket: str, order: Sequence, out: str,
                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     local = Window.partitionBy(*group, bucket).orderBy(*order)
     ranked = df.withColumn("__local", F.row_number().over(local) - 1)
-    same = F.col(bucket) == F.col("__b")
+    same = F.col(bucket).eqNullSafe(F.col("__b"))
     for i, g in enumerate(group):
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    # every bucket has its total; a left join just spares the optimizer a NULL filter on each side
-    return (ranked.join(totals, same, "left")
+    # null-safe keys: NULL groups are ranked like any other, and no filter recomputes the bucket
+    return (ranked.join(totals, same, "inner")
             .withColumn(out, F.col("__local") + F.col("__offset"))
             .drop("__local", "__b", "__offset", *[f"__g{i}" for i in range(len(group))]))
 

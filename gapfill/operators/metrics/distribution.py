@@ -113,19 +113,22 @@ def _bucketed_steps(counts: DataFrame, bounds: dict[str, list[float]]) -> DataFr
     """(column, step, fa, fb) with the running counts summed bucket by bucket."""
     slot = {c: F.size(F.filter(F.array(*[F.lit(x) for x in bs]), lambda x: x <= F.col("v")))
             for c, bs in bounds.items() if bs}
-    counts = counts.withColumn("bucket", _by_column(slot, F.lit(0)))
+    # read twice, so the shuffle that collapses the values is kept
+    counts = counts.withColumn("bucket", _by_column(slot, F.lit(0))).persist()
     totals = counts.groupBy("column", "bucket").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.min("v").alias("first"))
     order = Window.partitionBy("column").orderBy("bucket")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("column", "bucket", F.lead("first").over(order).alias("next_first"),
+    totals = totals.select(F.col("column").alias("of_column"), F.col("bucket").alias("of_bucket"),
+                           F.lead("first").over(order).alias("next_first"),
                            F.coalesce(F.sum("ta").over(before), F.lit(0)).alias("oa"),
                            F.coalesce(F.sum("tb").over(before), F.lit(0)).alias("ob"))
     inside = Window.partitionBy("column", "bucket").orderBy("v")
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
     local = counts.select("column", "bucket", "v", F.lead("v").over(inside).alias("next_v"),
                           F.sum("a").over(running).alias("ca"), F.sum("b").over(running).alias("cb"))
-    # totals: at most MAX_BUCKETS rows per column
-    joined = local.join(F.broadcast(totals), ["column", "bucket"])
+    # at most MAX_BUCKETS rows per column
+    same = F.col("column").eqNullSafe(F.col("of_column")) & F.col("bucket").eqNullSafe(F.col("of_bucket"))
+    joined = local.join(F.broadcast(totals), same)
     step = F.coalesce(F.col("next_v"), F.col("next_first")) - F.col("v")
     return joined.select("column", step.alias("step"), (F.col("ca") + F.col("oa")).alias("fa"), (F.col("cb") + F.col("ob")).alias("fb"))
 
