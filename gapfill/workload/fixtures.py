@@ -99,8 +99,6 @@ mo AS (SELECT o_orderpriority AS v FROM h WHERE o_orderpriority IS NOT NULL GROU
 st AS (SELECT avg(sum_qty) AS mq, avg(sum_price) AS mp FROM h),
 pr AS (SELECT h.*, CAST(n_lines AS DOUBLE) AS n_lines__imp, o_orderstatus AS o_orderstatus__imp, coalesce(sum_qty, mq) AS sum_qty__imp,
   coalesce(sum_price, mp) AS sum_price__imp, coalesce(o_orderpriority, mo.v) AS o_orderpriority__imp FROM h, st, mo)"""
-DOC_FEATS = r"""df AS (SELECT doc_id, CAST(n_chars AS DOUBLE) AS n_chars, CAST(len(string_split(text, ' ')) AS DOUBLE) AS n_words,
-  CAST(len(string_split(text, chr(10))) AS DOUBLE) AS n_lines, lang FROM documents)"""
 RUN_LOG = """rl AS (SELECT event_type AS imputer,
   'set-' || CAST(user_id % 7 AS VARCHAR) || '-' || CASE user_id % 3 WHEN 0 THEN 'MCAR' WHEN 1 THEN 'MAR' ELSE 'MNAR' END AS scenario,
   'set-' || CAST(user_id % 7 AS VARCHAR) AS dataset, CASE user_id % 3 WHEN 0 THEN 'MCAR' WHEN 1 THEN 'MAR' ELSE 'MNAR' END AS mechanism,

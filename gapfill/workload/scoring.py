@@ -17,8 +17,7 @@ from gapfill.operators.metrics.predictive import (aggregate_folds, classificatio
                                                   stratified_kfold)
 from gapfill.operators.metrics.reconstruction import evaluate_reconstruction, unfilled_cells
 from gapfill.plans.evaluate import evaluate_pair, nested_json, predictive_scores, scores
-from gapfill.workload.fixtures import (DOC_FEATS, FILLED, HOLED_COLUMNS, ORDER_FEATS, doc_feats, holed, labelled_docs,
-                                       order_feats, read, rnd, u)
+from gapfill.workload.fixtures import FILLED, HOLED_COLUMNS, ORDER_FEATS, holed, labelled_docs, order_feats, read, rnd, u
 from gapfill.workload.registry import query
 
 NUM = ["n_lines", "sum_qty", "sum_price"]
