@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from gapfill.frames import checkpoint_dir
+from gapfill.llm.decontaminate import contamination
+from gapfill.llm.langid import identify, train
 from gapfill.llm.minhash import near_duplicates
+from gapfill.llm.packing import pack
+from gapfill.llm.shards import materialise
+from gapfill.llm.topk import top_k
+from gapfill.llm.urlfilter import SOFT, SOFT_LIMIT, STRICT, filter_urls
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +49,76 @@ FROM documents d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""")
 def op6(spark, d):
     """Near-duplicate components of whole documents at a similarity of 0.85."""
     return near_duplicates(table(spark, d, "documents"))
+
+
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+         ("block", "com", "/de/"))
+_FOUND = "regexp_matches({0}, '(^|[^a-z0-9])' || t || '($|[^a-z0-9])')".format(LOWER.format("url"))
+
+
+@query("op2_url_filter", f"""
+WITH terms(t, w) AS (VALUES {', '.join([f"('{t}', 0.0)" for t in STRICT] + [f"('{t}', {w})" for t, w in SOFT.items()])}),
+rules(kind, h, p) AS (VALUES {', '.join(f"('{k}', '{h}', '{p}')" for k, h, p in RULES)}),
+hits AS (SELECT page_id, count(*) FILTER (WHERE w = 0) AS n_strict, count(*) FILTER (WHERE w > 0) AS n_soft, sum(w) AS weight
+         FROM pages, terms WHERE {_FOUND} GROUP BY page_id),
+u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+s AS (SELECT page_id, {LOWER.format("regexp_extract(r, '^([^/?#]*)', 1)")} AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, first(h || p ORDER BY length(h || p) DESC) AS rule, first(kind ORDER BY length(h || p) DESC) AS kind
+      FROM s, rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT page_id, host, path, rule, coalesce(kind, CASE WHEN n_strict > 0 OR weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(n_strict, 0)::int AS n_strict, coalesce(n_soft, 0)::int AS n_soft, coalesce(weight, 0)::double AS weight
+FROM s LEFT JOIN f USING (page_id) LEFT JOIN hits USING (page_id)""")
+def op2(spark, d):
+    """Verdict of every page's URL."""
+    return filter_urls(table(spark, d, "pages"), RULES)
+
+
+@query("op3_language_id")
+def op3(spark, d):
+    """Language of every whole document, learned outside the held-out fold."""
+    docs = table(spark, d, "documents")
+    return identify(docs, train(docs))
+
+
+_ALNUM = "regexp_extract_all(coalesce({0}, ''), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(LOWER.format("text"))
+
+
+@query("op8_decontaminate", f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), b AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
+g AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g
+      FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+k AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM g) WHERE len(w) >= n)),
+h AS (SELECT doc_id, i, k.n, item_id FROM k JOIN g USING (n, g)),
+p AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
+q AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items FROM (SELECT DISTINCT doc_id, item_id::varchar AS x FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items, sha256('')) AS items_sha256,
+       coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN q USING (doc_id)""")
+def op8(spark, d):
+    """Benchmark windows in every whole document."""
+    return contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op4_norm_bucket_topk", """
+WITH v AS (SELECT vec_id, [floor(1024 * x::double)::bigint FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)])::bigint AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op4(spark, d):
+    """Ten highest inner products of every hundredth vector."""
+    return top_k(table(spark, d, "embeddings"))
+
+
+@query("op5_training_order_shards")
+def op5(spark, d):
+    """Shards of all documents in a permuted order; the place of every sequence."""
+    return materialise(table(spark, d, "documents"), f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}")
+
+
+@query("op10_lp_packing")
+def op10(spark, d):
+    """All documents packed into sequences of 2048 tokens."""
+    return pack(table(spark, d, "documents"))

@@ -114,6 +114,11 @@ class Words:
             out += h[j:j + n]
         return mix(out)
 
+    def hash_of(self, at: int, k: int) -> np.uint64:
+        """The hash that ``windows(k)`` has at one position."""
+        part = Words(0, 0, self.data, self.offsets, self.first, self.last, self.hashes[at:at + k], self.starts)
+        return part.windows(k)[0]
+
     def complete(self, k: int) -> np.ndarray:
         """Positions from which ``k`` words follow within the same document."""
         n = max(0, len(self.hashes) - k + 1)
