@@ -6,11 +6,13 @@ import uuid
 from collections.abc import Callable
 
 from gapfill.frames import checkpoint_dir
+from gapfill.llm import quality, toxicity
 from gapfill.llm.decontaminate import contamination
 from gapfill.llm.langid import identify, train
 from gapfill.llm.minhash import near_duplicates
 from gapfill.llm.packing import pack
 from gapfill.llm.shards import materialise
+from gapfill.llm.substring import repeated_passages
 from gapfill.llm.topk import top_k
 from gapfill.llm.urlfilter import SOFT, SOFT_LIMIT, STRICT, filter_urls
 
@@ -122,3 +124,23 @@ def op5(spark, d):
 def op10(spark, d):
     """All documents packed into sequences of 2048 tokens."""
     return pack(table(spark, d, "documents"))
+
+
+@query("op9_pairwise_quality")
+def op9(spark, d):
+    """Quality of every whole document, learned outside the held-out fold."""
+    docs = table(spark, d, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, d, "labels")))
+
+
+@query("op1_toxicity")
+def op1(spark, d):
+    """Toxicity of every whole document, learned outside the held-out fold."""
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, d, "labels")))
+
+
+@query("op7_compact_windows")
+def op7(spark, d):
+    """Passages of 50 words or more that stand near-equal in an earlier document."""
+    return repeated_passages(table(spark, d, "documents"))
