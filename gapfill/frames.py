@@ -74,6 +74,18 @@ def check_key(df: DataFrame, key: str | Sequence[str]) -> None:
         raise ValueError(f"key {key} is not unique: {bad[0].asDict()}")
 
 
+def check_same_rows(df: DataFrame, other: DataFrame, key: str | Sequence[str], what: str) -> None:
+    """Raise ``ValueError`` unless both frames hold the same keys, each of them once."""
+    key = as_key(key)
+    side = lambda f, n: f.select(*key, F.lit(n).alias("__side"))
+    count = lambda n: F.count_if(F.col("__side") == n)
+    bad = (side(df, 0).unionByName(side(other, 1)).groupBy(*key).agg(count(0).alias("here"), count(1).alias("there"))
+           .where((F.col("here") != 1) | (F.col("there") != 1) | F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)))
+           .limit(1).collect())
+    if bad:
+        raise ValueError(f"{what} does not hold the same rows as the original: {bad[0].asDict()}")
+
+
 def quoted(name: str) -> str:
     """A column name inside SQL text."""
     return "`" + name.replace("`", "``") + "`"
@@ -159,7 +171,9 @@ def checkpoint_dir(spark) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="gapfill-checkpoint-")
+    # one folder for the session
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gapfill-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ All of it is column expressions, so a corpus is one narrow projection.
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -80,7 +82,7 @@ def cell_text(c: Column, data_type: T.DataType) -> Column:
 def fragment(df: DataFrame, column: str) -> Column:
     """``"name":value``, or NULL for a missing cell."""
     c = F.col(column)
-    return F.when(c.isNotNull(), F.concat(F.lit(f'"{column}":'), cell_text(c, df.schema[column].dataType)))
+    return F.when(c.isNotNull(), F.concat(F.lit(json.dumps(column, ensure_ascii=False) + ":"), cell_text(c, df.schema[column].dataType)))
 
 
 def _close(body: Column, columns: Sequence[str]) -> Column:
@@ -118,7 +120,7 @@ def decode_rows(df: DataFrame, text: str, schema: T.StructType) -> DataFrame:
 
 def prompt_text(df: DataFrame, columns: Sequence[str], target: Column) -> Column:
     """Observed fields as context, then the opened target field."""
-    parts = F.array_compact(F.array(*[fragment(df, c) for c in columns], F.concat(F.lit('"'), target, F.lit('":'))))
+    parts = F.array_compact(F.array(*[fragment(df, c) for c in columns], F.concat(string_text(target), F.lit(":"))))
     # the target is missing, hence not among the observed fragments
     return F.concat(F.lit("{"), F.array_join(parts, ","))
 

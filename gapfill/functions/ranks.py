@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from gapfill.frames import quoted
+
 MAX_BUCKETS = 1024
 MAX_LITERAL_CATEGORIES = 255
 _SAMPLE_SEED = 7
@@ -113,4 +115,17 @@ def with_code(df: DataFrame, column: str, out: str, domain: DataFrame | None = N
     if short is not None:
         return df.withColumn(out, literal_code(F.col(column), short, dtype))
     codes = code_table(domain, column).select(F.col("value").alias("__v"), F.col("code").cast("double").alias(out))
-    return df.join(codes, F.col(column) == F.col("__v"), "left").drop("__v")
+    return lookup(df, F.col(column), codes, "__v").drop("__v")
+
+
+NULL_SHARES = 256
+
+
+def lookup(df: DataFrame, at: Column, table: DataFrame, key: str) -> DataFrame:
+    """Left join with a table unique by ``key``; rows whose ``at`` is NULL are dealt over many reducers instead of one."""
+    names = [quoted(c) for c in df.columns]
+    df = df.withColumn("__look", at)
+    spread = F.when(F.col("__look").isNull(), F.pmod(F.xxhash64(*names), F.lit(NULL_SHARES))).otherwise(F.lit(0)).cast("int")
+    return (df.withColumn("__share", spread)
+            .join(table.withColumn("__zero", F.lit(0)), (F.col("__look") == F.col(key)) & (F.col("__share") == F.col("__zero")), "left")
+            .drop("__look", "__share", "__zero"))

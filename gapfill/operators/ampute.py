@@ -212,7 +212,7 @@ def _pattern_hits(df, key, kinds, columns, proportion, patterns, seed):
         raise ValueError(f"patterns name unknown columns: {sorted(unknown)}")
     scorable = [c for c in kinds if kinds[c] in (NUMERICAL, CATEGORICAL)]
     weights = {i: p.score_weights([c for c in columns if c in scorable]) for i, p in enumerate(patterns)}
-    freqs = [p.freq if p.freq is not None else 1.0 / len(patterns) for p in patterns]
+    freqs = [p.freq if p.freq is not None else 1.0 for p in patterns]
     df = df.withColumns({"__u_pattern": uniform(seed, "pattern", key) if len(patterns) > 1 else F.lit(0.0),
                          "__u_miss": uniform(seed, "miss", key)})
     df = df.withColumn("__pattern", assign_pattern(F.col("__u_pattern"), freqs))

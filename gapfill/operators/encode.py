@@ -12,7 +12,8 @@ from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, column_kinds, split_k
 from gapfill.functions.rand import uniform
 from gapfill.functions.ranks import MAX_BUCKETS, literal_code, sorted_categories, uniform_rank, with_code
 
-MAX_CATEGORIES = 255
+# bound of what is held as a list on the driver and in expressions; a parameter of every caller
+MAX_CATEGORIES = 10_000
 
 
 def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
@@ -79,7 +80,7 @@ class TabularPreprocessor:
     modes: dict[str, object] = field(default_factory=dict)
     columns: list[str] = field(default_factory=list)
     types: dict[str, object] = field(default_factory=dict)
-    max_vocabulary: int = 4096
+    max_vocabulary: int = MAX_CATEGORIES
 
     def fit(self, df: DataFrame, key, columns: Sequence[str] | None = None) -> "TabularPreprocessor":
         kinds = column_kinds(df, key)

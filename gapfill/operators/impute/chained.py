@@ -12,6 +12,7 @@ is cut by a reliable checkpoint after every round.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapfill.frames import NUMERICAL, cut_lineage, split_kinds
-from gapfill.functions.ranks import code_table, literal_code, sorted_categories, with_code
+from gapfill.functions.ranks import code_table, literal_code, lookup, sorted_categories, with_code
 from gapfill.functions.vectors import chunks, combine
 from gapfill.operators.encode import categories, onehot, onehot_decode, ordinal_decode
 from gapfill.operators.impute.base import Imputer, Model
@@ -141,7 +142,7 @@ class EncodedColumns:
             elif encoder == "onehot":
                 parts = onehot(c, values[c])
             else:
-                parts = [literal_code(F.col(c), values[c], "string")]
+                parts = [literal_code(F.col(c), values[c], fit_frame.schema[c].dataType)]
             for e in parts:
                 self.names.append(f"x{len(self.names)}")
                 self.expr.append(e.alias(self.names[-1]))
@@ -164,8 +165,8 @@ class EncodedColumns:
         table = code_table(self.fit_frame, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
         last = table.agg(F.max("__code")).first()[0]
         code = F.least(F.greatest(F.rint(F.col(own[0])), F.lit(0.0)), F.lit(last))
-        df = df.withColumn("__at", F.when(F.col(c).isNull(), code)).join(table, F.col("__at") == F.col("__code"), "left")
-        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__at", "__code", "__value")
+        df = lookup(df, F.when(F.col(c).isNull(), code), table, "__code")
+        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__code", "__value")
 
 
 class MICEImputer(Imputer):
@@ -351,6 +352,9 @@ class TreeChainImputer(Imputer):
                 inputs = [x for x in usable if x != c]
                 train = VectorAssembler(inputCols=[f"s_{x}" for x in inputs], outputCol="features").transform(
                     state.where(~F.col(f"g_{c}"))).select("features", F.col(f"s_{c}").alias("label"))
+                if kinds[c] != NUMERICAL:
+                    # the class count is known: without it Spark guesses from the data, up to 100
+                    train = train.withMetadata("label", {"ml_attr": {"type": "nominal", "num_vals": max(2, len(values[c]))}})
                 for step in self._steps(train, r, c, inputs, kinds, values):
                     model.steps.append(step)
                 state = model.apply(state, [s for s in model.steps if s.round == r and s.column == c])
@@ -376,7 +380,7 @@ class TreeChainImputer(Imputer):
             return [TreeStep(r, c, inputs, self._classifier(seed).fit(train))]
         train = train.persist()
         steps = [TreeStep(r, c, inputs, self._regressor(seed).fit(
-            train.withColumn("label", (F.col("label") == float(i)).cast("double"))), i) for i in range(len(values[c]))]
+            train.select("features", (F.col("label") == float(i)).cast("double").alias("label"))), i) for i in range(len(values[c]))]
         train.unpersist()
         return steps
 
@@ -391,14 +395,14 @@ class TreeChainModel(Model):
         self.dummy_regression = dummy_regression
         self.steps: list[TreeStep] = []
 
-    def initial(self, df: DataFrame) -> DataFrame:
-        """Key, state ``s_``, previous round ``b_`` and gap flag ``g_`` per column."""
+    def initial(self, df: DataFrame, carry: bool = False) -> DataFrame:
+        """Key (or with ``carry`` every column), state ``s_``, previous round ``b_`` and gap flag ``g_`` per column."""
         out = []
         for c in self.start:
-            code = F.col(c).cast("double") if self.kinds[c] == NUMERICAL else literal_code(F.col(c), self.values[c], "string")
+            code = F.col(c).cast("double") if self.kinds[c] == NUMERICAL else literal_code(F.col(c), self.values[c], df.schema[c].dataType)
             out += [F.coalesce(code, F.lit(self.start[c])).alias(f"s_{c}"),
                     F.coalesce(code, F.lit(self.start[c])).alias(f"b_{c}"), F.col(c).isNull().alias(f"g_{c}")]
-        return df.select(*self.key, *out)
+        return df.select(*(["*"] if carry else self.key), *out)
 
     def apply(self, state: DataFrame, steps: list[TreeStep]) -> DataFrame:
         if not steps:
@@ -420,7 +424,7 @@ class TreeChainModel(Model):
         return out.select(*keep)
 
     def _transform(self, df):
-        state = self.initial(df)
+        state = self.initial(df, carry=True)
         groups: list[list[TreeStep]] = []
         for s in self.steps:
             if groups and groups[-1][0].round == s.round and groups[-1][0].column == s.column:
@@ -431,34 +435,46 @@ class TreeChainModel(Model):
             state = self.apply(state, g)
             if (i + 1) % self.CHECKPOINT_STEPS == 0 and i + 1 < len(groups):
                 state = cut_lineage(state)
-        out = df.join(state.select(*self.key, *[f"s_{c}" for c in self.start]), self.key)
         fills = {}
         for c in self.start:
             if self.kinds[c] == NUMERICAL:
                 fills[c] = F.coalesce(F.col(c).cast("double"), F.col(f"s_{c}"))
             else:
                 fills[c] = F.coalesce(F.col(c), ordinal_decode(F.col(f"s_{c}"), self.values[c]))
-        return out.withColumns(fills)
+        return state.withColumns(fills).select(*df.columns)
 
 
 def _subset(max_features) -> str:
-    if isinstance(max_features, (int, float)):
-        return str(float(max_features)) if max_features <= 1 else str(int(max_features))
+    """Spark's name of a feature share: an integer is a number of features, a fraction a part of them."""
+    if isinstance(max_features, int):
+        return str(max_features)
+    if isinstance(max_features, float):
+        return str(max_features) if max_features <= 1 else str(int(max_features))
     return {"sqrt": "sqrt", "log2": "log2", None: "all"}[max_features]
 
 
 class MissForestImputer(TreeChainImputer):
-    """Chained random forests. Spark trees need a depth bound, at most 30."""
+    """Chained random forests.
+
+    Spark trees need a depth bound; the default is the largest it takes. ``max_bins`` is the number of split candidates
+    of a feature. Categories enter other columns' models as ordinals; with ``categorical_encoder='onehot'`` a category is
+    predicted dummy by dummy.
+    """
 
     def __init__(self, n_estimators: int = 100, max_iter: int = 10, max_features="sqrt", min_samples_leaf: int = 1,
-                 max_depth: int = 10, tol: float = 1e-3, seed: int = 42, dummy_regression: bool = False):
+                 max_depth: int = 30, tol: float = 1e-3, seed: int = 42, dummy_regression: bool = False, max_bins: int = 32,
+                 categorical_encoder: str = "ordinal"):
+        if categorical_encoder not in ("ordinal", "onehot"):
+            raise ValueError("categorical_encoder is 'ordinal' or 'onehot'")
+        dummy_regression = dummy_regression or categorical_encoder == "onehot"
+        self.max_bins, self.categorical_encoder = max_bins, categorical_encoder
         self.n_estimators, self.max_iter, self.max_features = n_estimators, max_iter, max_features
         self.min_samples_leaf, self.max_depth, self.tol, self.seed = min_samples_leaf, max_depth, tol, seed
         self.dummy_regression = dummy_regression
 
     def _options(self, seed):
         return dict(numTrees=self.n_estimators, featureSubsetStrategy=_subset(self.max_features),
-                    minInstancesPerNode=self.min_samples_leaf, maxDepth=self.max_depth, seed=seed)
+                    minInstancesPerNode=self.min_samples_leaf, maxDepth=self.max_depth, maxBins=self.max_bins, seed=seed)
 
     def _regressor(self, seed):
         return RandomForestRegressor(**self._options(seed))
@@ -470,12 +486,19 @@ class MissForestImputer(TreeChainImputer):
 class XGBoostImputer(TreeChainImputer):
     """Chained boosted trees.
 
-    Spark boosting has no L2 leaf penalty; ``min_gain`` is the nearest knob.
+    Spark boosting has no L2 leaf penalty: ``reg_lambda`` is accepted, has no effect, and a warning says so;
+    ``min_gain`` is the nearest knob. ``categorical_encoder`` is accepted likewise: features are always ordinals.
     Categories are boosted one dummy at a time, as Spark boosts two classes only.
     """
 
     def __init__(self, n_estimators: int = 100, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 0.8,
-                 colsample_bytree: float = 0.8, min_gain: float = 0.0, max_iter: int = 10, tol: float = 1e-3, seed: int = 42):
+                 colsample_bytree: float = 0.8, min_gain: float = 0.0, max_iter: int = 10, tol: float = 1e-3, seed: int = 42,
+                 max_bins: int = 32, reg_lambda: float | None = None, categorical_encoder: str = "ordinal"):
+        if categorical_encoder not in ("ordinal", "onehot"):
+            raise ValueError("categorical_encoder is 'ordinal' or 'onehot'")
+        if reg_lambda:
+            warnings.warn("Spark boosted trees have no L2 leaf penalty: reg_lambda has no effect, see min_gain", stacklevel=2)
+        self.max_bins, self.reg_lambda, self.categorical_encoder = max_bins, reg_lambda, categorical_encoder
         self.n_estimators, self.max_depth, self.learning_rate = n_estimators, max_depth, learning_rate
         self.subsample, self.colsample_bytree, self.min_gain = subsample, colsample_bytree, min_gain
         self.max_iter, self.tol, self.seed = max_iter, tol, seed
@@ -484,4 +507,4 @@ class XGBoostImputer(TreeChainImputer):
     def _regressor(self, seed):
         return GBTRegressor(maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=self.learning_rate,
                             subsamplingRate=self.subsample, featureSubsetStrategy=_subset(self.colsample_bytree),
-                            minInfoGain=self.min_gain, seed=seed)
+                            minInfoGain=self.min_gain, maxBins=self.max_bins, seed=seed)

@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 
 from gapfill.frames import NUMERICAL, split_kinds
 from gapfill.functions.rand import uniform
-from gapfill.functions.ranks import code_table, default_buckets, literal_code, sorted_categories, with_code
+from gapfill.functions.ranks import code_table, default_buckets, literal_code, lookup, sorted_categories, with_code
 from gapfill.operators.impute.base import Imputer, Model
 from gapfill.operators.impute.statistical import long_values
 
@@ -484,8 +484,8 @@ class KNNModel(Model):
             found = F.get(F.array(*[F.lit(v) for v in values]), code.cast("int"))
             return df.withColumn(c, F.coalesce(F.col(c), found))
         table = code_table(self.fit_frame, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
-        df = df.withColumn("__at", F.when(F.col(c).isNull(), code)).join(table, F.col("__at") == F.col("__code"), "left")
-        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__at", "__code", "__value")
+        df = lookup(df, F.when(F.col(c).isNull(), code), table, "__code")
+        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__code", "__value")
 
 
 def _mode_codes(encoded: DataFrame, columns: Sequence[str]) -> dict[str, float]:

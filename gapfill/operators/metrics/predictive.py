@@ -24,10 +24,10 @@ PARALLEL_FITS = 4
 FRAMES = ("X", "X_imputed", "X_missing")
 
 
-def target_cardinality(df: DataFrame, target: str) -> int:
+def target_cardinality(df: DataFrame, target: str, threshold: int = CLASSIFICATION_THRESHOLD) -> int:
     """Distinct target values: a sketch decides clear cases, exact counting the close ones."""
     approx = df.agg(F.approx_count_distinct(target)).first()[0]
-    if approx > 4 * CLASSIFICATION_THRESHOLD:
+    if approx > 4 * threshold:
         return approx
     return df.select(target).where(F.col(target).isNotNull()).distinct().count()
 
@@ -36,7 +36,7 @@ def infer_task_type(df: DataFrame, target: str, threshold: int = CLASSIFICATION_
     """Text and boolean targets are classes, numbers are when they are few."""
     if not isinstance(df.schema[target].dataType, T.NumericType):
         return CLASSIFICATION
-    return CLASSIFICATION if target_cardinality(df, target) <= threshold else REGRESSION
+    return CLASSIFICATION if target_cardinality(df, target, threshold) <= threshold else REGRESSION
 
 
 def kfold(df: DataFrame, key, n_folds: int = 10, seed: int = 42, exact: bool = False, out: str = "fold") -> DataFrame:
@@ -177,15 +177,18 @@ def cross_predictions(true, imputed, target, key, y, features, missing=None, est
     base = folds
     for name, frame in frames.items():
         frame, inputs = _fill_for_trees(frame, features, lows, flag=name == "X_missing")
-        vec = VectorAssembler(inputCols=inputs, outputCol=name).transform(frame).select(*key, name)
+        vec = VectorAssembler(inputCols=inputs, outputCol=f"__vec_{name}").transform(frame).select(*key, f"__vec_{name}")
         base = base.join(vec, key)
+    if task == CLASSIFICATION:
+        # the class count is known: without it Spark guesses from the data, up to 100
+        base = base.withMetadata("y", {"ml_attr": {"type": "nominal", "num_vals": max(2, classes)}})
     base = base.persist()
     estimator = estimator or default_estimator(task, classes, seed, max_iter)
 
     def run(job):
         name, fold = job
         est = estimator.copy()
-        est = est.setFeaturesCol(name).setLabelCol("y")
+        est = est.setFeaturesCol(f"__vec_{name}").setLabelCol("y")
         model = est.fit(base.where(F.col("fold") != fold))
         return (model.transform(base.where(F.col("fold") == fold))
                 .select(F.lit(name).alias("frame"), "fold", *key, "y", F.col("prediction").cast("double")))

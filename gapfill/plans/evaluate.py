@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import as_key, column_kinds, pair_frames, split_kinds
+from gapfill.frames import as_key, check_same_rows, column_kinds, normalise, pair_frames, split_kinds
 from gapfill.operators.metrics.distribution import evaluate_distribution
 from gapfill.operators.metrics.predictive import predictive_comparison
 from gapfill.operators.metrics.reconstruction import evaluate_reconstruction
@@ -71,9 +71,16 @@ def evaluate(*, X: DataFrame, X_imputed: DataFrame, key, missing_mask: DataFrame
     """Score a filled table against the original.
 
     The three tables are joined once on the key; the paired frame is what every
-    metric reads. With ``y`` (key + ``target``) models are compared as well.
+    metric reads. NaN is NULL. Lost, extra or repeated rows are an error. With ``y`` (key + ``target``) models are compared as well.
     """
     key = as_key(key)
+    X, X_imputed = normalise(X, key), normalise(X_imputed, key)
+    check_same_rows(X, X_imputed, key, "X_imputed")
+    if X_missing is not None:
+        X_missing = normalise(X_missing, key)
+        check_same_rows(X, X_missing, key, "X_missing")
+    if missing_mask is not None:
+        check_same_rows(X, missing_mask, key, "missing_mask")
     kinds = column_kinds(X, key)
     if columns is not None:
         kinds = {c: kinds[c] for c in columns}

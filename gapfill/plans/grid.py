@@ -71,10 +71,17 @@ def experiment_grid(scenarios: DataFrame, imputers: dict[str, str], rates: Seque
     return out.select("imputer", "pool", "scenario", "rate", F.explode("seeds").alias("seed"))
 
 
+def run_status(results: DataFrame) -> DataFrame:
+    """One status per run, whatever its attempts and evaluation seeds: ok over running over failed."""
+    had = lambda status: F.max(F.col("status") == status)
+    status = F.when(had("ok"), "ok").when(had("running"), "running").when(had("failed"), "failed")
+    return results.groupBy(*RUN_KEY).agg(status.alias("status"))
+
+
 def progress_rollup(grid: DataFrame, results: DataFrame) -> DataFrame:
     """Counts per imputer, dataset, mechanism and rate, with subtotals at every level."""
     dataset, mechanism = scenario_parts(F.col("scenario"))
-    joined = grid.join(results.select(*RUN_KEY, "status").distinct(), list(RUN_KEY), "left")
+    joined = grid.join(run_status(results), list(RUN_KEY), "left")
     joined = joined.withColumns({"dataset": dataset, "mechanism": mechanism})
     return joined.rollup("imputer", "dataset", "mechanism", "rate").agg(
         F.count(F.lit(1)).alias("total"),
@@ -94,8 +101,10 @@ def listing(grid: DataFrame) -> DataFrame:
 
 
 def leaderboard(results: DataFrame, by: Sequence[str] = ("mechanism", "rate"), score: str = "overall") -> DataFrame:
-    """Mean and spread of the score per imputer, ranked inside each group."""
-    board = results.where(F.col("status") == "ok").groupBy("imputer", *by).agg(
+    """Mean and spread of the runs' scores per imputer, ranked inside each group; a run's score is the mean of its evaluation seeds."""
+    own = list(dict.fromkeys([*RUN_KEY, *by]))
+    runs = results.where(F.col("status") == "ok").groupBy(*own).agg(F.avg(score).alias(score))
+    board = runs.groupBy("imputer", *by).agg(
         F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"), F.count(score).alias("runs"))
     place = Window.partitionBy(*by).orderBy(F.col("mean_score").desc_nulls_last())
     return board.withColumn("place", F.rank().over(place))
@@ -107,7 +116,9 @@ def run_scores(results: DataFrame) -> DataFrame:
 
 
 def failures(results: DataFrame) -> DataFrame:
-    return results.where(F.col("status") == "failed").select(*RUN_KEY, "error")
+    """Failed attempts of the runs that have not succeeded since."""
+    done = results.where(F.col("status") == "ok").select(*RUN_KEY).distinct()
+    return results.where(F.col("status") == "failed").join(done, list(RUN_KEY), "left_anti").select(*RUN_KEY, "error")
 
 
 def run_experiment(spark: SparkSession, catalog: Catalog, scenario: Scenario, imputer: Imputer, rate: float, seed: int,
@@ -170,8 +181,9 @@ def run_grid(spark: SparkSession, grid: DataFrame, scenarios: Iterable[Scenario]
             found = [(*head, "ok", None, r["evaluation_seed"], r["overall_reconstruction"], r["overall_distribution"],
                       r.get("overall_predictive"), r["overall"], r["report"]) for r in rows]
         except Exception as e:  # noqa: BLE001 - one run must not end the grid
-            found = [(*head, "failed", f"{type(e).__name__}: {e}"[:500], None, None, None, None, None, None)]
-        records += found
+            found = [(*head, "failed", f"{type(e).__name__}: {e}", None, None, None, None, None, None)]
         if path:
             write_results(spark.createDataFrame(found, RESULT_SCHEMA), path)
-    return spark.createDataFrame(records, RESULT_SCHEMA)
+        else:
+            records += found
+    return read_results(spark, path) if path else spark.createDataFrame(records, RESULT_SCHEMA)

@@ -58,12 +58,12 @@ def masked_mse(spark, d):
 def _embedding_frame(spark, d):
     e = read(spark, d, "embeddings")
     v = F.col("embedding").cast("array<double>")
-    return e.select("vec_id", F.slice(v, 1, 10).alias("logits"), (F.col("vec_id") % 10).cast("int").alias("target"),
+    return e.select("vec_id", v.alias("logits"), (F.col("vec_id") % 64).cast("int").alias("target"),
                     (uniform(42, "obs", "vec_id") < 0.7).alias("seen"), F.slice(v, 1, 32).alias("mu"), F.slice(v, 33, 32).alias("logvar"),
                     F.element_at(v, 11).alias("p"), F.element_at(v, 12).alias("t"))
 
 
-EMB = f"""ef AS (SELECT vec_id, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS logits, CAST(vec_id % 10 AS INTEGER) AS target, {u('obs', 'vec_id')} < 0.7 AS seen,
+EMB = f"""ef AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS logits, CAST(vec_id % 64 AS INTEGER) AS target, {u('obs', 'vec_id')} < 0.7 AS seen,
   list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)) AS mu, list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE)) AS logvar,
   CAST(embedding[11] AS DOUBLE) AS p, CAST(embedding[12] AS DOUBLE) AS t FROM embeddings)"""
 CE = "sum(CASE WHEN seen THEN ln(list_sum(list_transform(logits, lambda x: exp(x)))) - logits[target + 1] ELSE 0 END) / (sum(CAST(seen AS INTEGER)) + 1e-8)"
