@@ -74,36 +74,43 @@ def _pattern(last: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
     return out
 
 
-def configuration_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 200, step: float = 0.3,
-                     rate: float = 8.0, tries: int = 48) -> dict[tuple[int, ...], float]:
+def configuration_lp(lengths: np.ndarray, demand: np.ndarray, capacity: int, phases: int = 6, rounds: int = 80, step: float = 0.1,
+                     rate: float = 1.5, tries: int = 48) -> dict[tuple[int, ...], float]:
     """Fractional patterns ``{indexes of lengths, ascending: how often}`` covering every length's demand evenly.
 
-    Multiplicative weights: a length's price starts at its share of the capacity and falls exponentially with the part of
-    its demand already covered. Each round prices all patterns by one knapsack, and takes a little of the best pattern
-    around each of the dearest lengths, never more than ``step`` of any demand.
+    Multiplicative weights: a length's price falls exponentially with the part of its demand already covered, compared
+    with the others. Each round prices all patterns by one knapsack, and takes a little of the best pattern around each of
+    the dearest lengths, never more than ``step`` of any demand. A phase ends when all is covered; its mean prices start the
+    next (the first starts from the shares of the capacity), and only the last phase's patterns count.
     """
-    covered = np.zeros(len(lengths))
+    base = lengths / capacity
     out: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        part = covered / demand
-        if part.min() >= 1:
-            break
-        price = lengths / capacity * np.exp(-rate * (part - part.min()))
-        price[part >= 1] = 0
-        best, last = _knapsack(price, lengths, capacity)
-        # dearest for their size first
-        for k in np.argsort(price / lengths, kind="stable")[::-1][:tries].tolist():
-            if covered[k] >= demand[k]:
-                continue
-            taken = np.array(sorted([k, *_pattern(last, lengths, capacity - int(lengths[k]))]))
-            if price[taken].sum() < best[capacity] * 0.98:
-                continue
-            kinds, times = np.unique(taken, return_counts=True)
-            amount = float((np.minimum(step * demand[kinds], np.maximum(demand[kinds] - covered[kinds], 0)) / times).min())
-            if amount > 0:
-                covered[kinds] += amount * times
-                key = tuple(taken.tolist())
-                out[key] = out.get(key, 0.0) + amount
+    for phase in range(phases):
+        covered, out = np.zeros(len(lengths)), {}
+        total, seen = np.zeros(len(lengths)), 0
+        for _ in range(rounds * (2 if phase == phases - 1 else 1)):
+            part = np.minimum(covered / demand, 1)
+            if part.min() >= 1:
+                break
+            price = base * np.exp(-rate * (part - part.mean()))
+            total, seen = total + price, seen + 1
+            value = np.where(part < 1, price, 0)
+            best, last = _knapsack(value, lengths, capacity)
+            # dearest for their size first
+            for k in np.argsort(value / lengths, kind="stable")[::-1][:tries].tolist():
+                if covered[k] >= demand[k]:
+                    continue
+                taken = np.array(sorted([k, *_pattern(last, lengths, capacity - int(lengths[k]))]))
+                if value[taken].sum() < best[capacity] * 0.98:
+                    continue
+                kinds, times = np.unique(taken, return_counts=True)
+                amount = float((np.minimum(step * demand[kinds], np.maximum(demand[kinds] - covered[kinds], 0)) / times).min())
+                if amount > 0:
+                    covered[kinds] += amount * times
+                    key = tuple(taken.tolist())
+                    out[key] = out.get(key, 0.0) + amount
+        base = total / max(1, seen)
+        base = base / base.max()
     return out
 
 

@@ -20,9 +20,8 @@ def pick(ids: DataFrame, label: str, per_label: int, doc_id: str = "doc_id") ->
 
 
 def labelled_texts(docs: DataFrame, picked: DataFrame, doc_id: str, text: str, bound: int) -> list[tuple]:
-    """(doc_id, label, text) of the picked ids, in id order, at most ``bound`` rows (more only if ids repeat)."""
-    label = next(c for c in picked.columns if c != doc_id)
-    few = F.broadcast(picked.select(F.col(doc_id).alias("__id"), F.col(label).alias("__label")).limit(bound))
+    """(doc_id, label, text) of the picked (id, label) rows, in id order, at most ``bound`` rows (more only if ids repeat)."""
+    few = F.broadcast(picked.toDF("__id", "__label").limit(bound))
     rows = (docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("__text")).where(F.col("__text").isNotNull())
             .join(few, F.col("__doc") == F.col("__id")).select("__id", "__label", "__text").limit(bound).collect())
     return sorted((tuple(r) for r in rows), key=lambda r: (r[0], str(r[1]), r[2]))

@@ -83,11 +83,12 @@ def _sigmoid(x):
 def forward(p: dict, x: np.ndarray, token: np.ndarray, inside: np.ndarray, keep: bool = False):
     """Logit of every window; with ``keep`` also what ``backward`` needs."""
     steps, n = token.shape
+    kind = p["out"].dtype
     states, cache = [], {}
     for name, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
         g, u = x @ p["w" + name] + p["b" + name], p["u" + name]
-        h = np.zeros((n, HIDDEN), np.float32)
-        out = np.empty((steps, n, HIDDEN), np.float32)
+        h = np.zeros((n, HIDDEN), kind)
+        out = np.empty((steps, n, HIDDEN), kind)
         held = []
         for t in order:
             a, own = h @ u, g[token[t]]
@@ -123,7 +124,7 @@ def backward(p: dict, x: np.ndarray, token: np.ndarray, inside: np.ndarray, kept
     d_x = np.zeros_like(x)
     for k, (name, order) in enumerate((("f", range(steps)), ("b", range(steps - 1, -1, -1)))):
         u = p["u" + name]
-        d_u, d_g, d_h = np.zeros_like(u), np.zeros((len(x), 3 * HIDDEN), np.float32), 0.0
+        d_u, d_g, d_h = np.zeros_like(u), np.zeros((len(x), 3 * HIDDEN), p["out"].dtype), 0.0
         for t, (h, z, r, new, a) in zip(reversed(list(order)), reversed(cache[name])):
             d_h = d_h + d_state[t][:, k * HIDDEN:(k + 1) * HIDDEN]
             m = inside[t][:, None]
