@@ -81,7 +81,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int
             if not wide and any(len(x) and int(x.max()) > 0xFFFF for x in body):
                 raise ValueError("ids beyond 16 bits: use wide=True")
             yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array([x.astype(kind).tobytes() for x in body], pa.binary()))
-    rows = staged(ids.mapInArrow(narrow, ids.schema), "sequences")
+    rows = staged(ids.mapInArrow(narrow, ids.schema), "sequences", level=9)
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     # one number per file of the staged table, which is one per task that wrote it
     sizes = sorted(placed.groupBy("__file").agg(F.count(F.lit(1))).collect())
@@ -105,7 +105,7 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int
             shard = slot[order] // shard_rows
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             body = batch.column("ids").to_pylist()
-            pack = zstandard.ZstdCompressor(level=1).compress
+            pack = zstandard.ZstdCompressor(level=6).compress
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
                     own = order[lo:hi]
@@ -135,14 +135,13 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int
             for row in range(table.num_rows):
                 slot = table.column("slot")[row].values
                 yield pa.RecordBatch.from_arrays(
-                    [table.column(c)[row].values for c in names]
-                    + [slot, pa.array(np.full(len(slot), shard), pa.int32()), pa.array((slot.to_numpy() - base) * stride, pa.int64())],
-                    names=[*names, "slot", "shard", "byte_offset"])
+                    [table.column(c)[row].values for c in names] + [slot], names=[*names, "slot"])
     fields = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     lists = f"doc_id array<{id_type}>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>"
     dealt = placed.mapInArrow(deal, f"shard int, slot array<long>, {lists}, body binary")
     ranged = dealt.repartitionById(max(1, -(-total // shard_rows)), F.col("shard")).sortWithinPartitions("shard")
-    return staged(ranged.mapInArrow(write, f"{fields}, slot long, shard int, byte_offset long"), "slots")
+    done = staged(ranged.mapInArrow(write, f"{fields}, slot long"), "slots")
+    return done.withColumns({"shard": F.floor(F.col("slot") / shard_rows).cast("int"), "byte_offset": F.col("slot") % shard_rows * stride})
 
 
 def read_slots(folder: str, first: int = 0, count: int | None = None):

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from gapfill.frames import checkpoint_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     """Write ``df`` below ``spark.checkpoint.dir`` and read it back: lineage ends, lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
