@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gapfill.operators.ampute import PatternConfig, ampute, introduce_missing
+from gapfill.operators.encode import categories
 from gapfill.operators.impute.chained import MICEImputer, MissForestImputer, XGBoostImputer, evidence_ridge, mix
 from gapfill.operators.impute.knn import KNNImputer
 from gapfill.operators.impute.neural import AdversarialNet, DAEImputer, DenoisingNet, GAINImputer, Layout, VAEImputer, VariationalNet
@@ -265,8 +266,9 @@ def test_many_categories(spark):
         out = imp.fit_transform(fit, "id").withColumnRenamed("s", "f").join(base.select("id", "s"), "id")
         row = out.agg(F.count(F.lit(1)), F.count_if(F.col("f").isNull()), F.count_if((F.col("id") % 10 > 0) & (F.col("f") != F.col("s")))).first()
         assert tuple(row) == (900, 0, 0)
+    # the bound is a parameter now, no longer 255
     with pytest.raises(ValueError, match="categories"):
-        MICEImputer().fit(fit, "id")
+        categories(fit, "s", 255)
 
 
 def test_one_column_table_falls_back_to_the_mean(spark):
