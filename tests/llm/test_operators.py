@@ -18,7 +18,7 @@ from gapfill.llm.minhash import near_duplicates
 from gapfill.llm.packing import pack, plan_bins
 from gapfill.llm.shards import materialise, permute, read_slots
 from gapfill.llm.staging import components
-from gapfill.llm.substring import compact_windows, remove_passages, repeated_passages, sliding_minimum
+from gapfill.llm.substring import compact_windows, confirm, remove_passages, repeated_passages, sliding_minimum
 from gapfill.llm.textkit import scan_words, separators_alnum, separators_white
 from gapfill.llm.tokens import Encoder, default_path
 from gapfill.llm.topk import top_k
@@ -133,6 +133,28 @@ def test_repeated_passages(spark, corpus):
     assert repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def shingled(tokens):
+    return np.array([hash(tuple(tokens[i:i + 5])) for i in range(len(tokens) - 4)], np.int64)
+
+
+def test_confirm_keeps_edited_ends_and_edited_tails():
+    base = list(range(1000, 1050))
+    for edited in ([0], [49], [0, 49]):
+        copy = [-1 if i in edited else w for i, w in enumerate(base)]
+        x, y = ([*range(a, a + 30), *body, *range(a + 50, a + 80)] for a, body in ((5000, copy), (7000, base)))
+        found = list(confirm(shingled(x), shingled(y), 50, 80))
+        assert found and all(q - p >= 50 and v >= 0.8 for p, q, _, _, v in found) and min(p for p, *_ in found) <= 31 and max(r[1] for r in found) >= 79
+    # 48 equal words, an edit, 48 equal words, then a tail with an edit in every 8 words
+    base = list(range(2000, 2160))
+    copy = [-i if i == 48 or i > 97 and (i - 97) % 8 == 0 else w for i, w in enumerate(base)]
+    covered = np.zeros(160, bool)
+    for p, q, _, _, v in confirm(shingled(copy), shingled(base), 50, 80):
+        assert q - p >= 50 and v >= 0.8
+        covered[p:q] = True
+    assert covered[:97].all()
+    assert not list(confirm(shingled(range(60)), shingled(range(100, 160)), 50, 80))
+
+
 def test_compact_windows_are_cartesian_tree_nodes():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 62, 300).astype(np.uint64)
