@@ -133,6 +133,20 @@ def test_repeated_passages(spark, corpus):
     assert repeated_passages(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_passages_recall_of_edited_passages(spark):
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.getrandbits(48)}" for _ in range(n)]
+    rows = []
+    for i in range(200):
+        base = fresh(60 if i % 2 else 50)
+        copy = list(base)
+        for at in ([30, 31] if i % 2 else [rng.randrange(15, 35)]):    # similarity 50/62 and 41/51
+            copy[at] = "edited"
+        rows += [(i, " ".join(fresh(40) + base + fresh(40))), (1000 + i, " ".join(fresh(30) + copy + fresh(50)))]
+    out = repeated_passages(docs_of(spark, rows)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in out} == {(1000 + i, i) for i in range(200)}
+
+
 def shingled(tokens):
     return np.array([hash(tuple(tokens[i:i + 5])) for i in range(len(tokens) - 4)], np.int64)
 
