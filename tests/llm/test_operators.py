@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gapfill.llm import quality, toxicity
+from gapfill.llm import quality, substring, toxicity
 from gapfill.llm.decontaminate import contamination, decontaminate
 from gapfill.llm.langid import identify, keep_identified, train
 from gapfill.llm.minhash import near_duplicates
@@ -147,6 +147,24 @@ def test_repeated_passages_recall_of_edited_passages(spark):
     assert {(r["doc_id"], r["source_id"]) for r in out} == {(1000 + i, i) for i in range(200)}
 
 
+@pytest.mark.parametrize("block", [512, 16])
+def test_repeated_passages_around_a_very_common_phrase(spark, monkeypatch, block):
+    monkeypatch.setattr(substring, "BLOCK", block)
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.getrandbits(48)}" for _ in range(n)]
+    phrase, rows = fresh(35), []
+    for i in range(80):
+        base = fresh(10) + phrase + fresh(10)
+        rows += [(i, " ".join(fresh(40) + base + fresh(40))), (1000 + i, " ".join(fresh(30) + base + fresh(50)))]
+    # one passage twice in a document, and in an earlier one
+    twice = fresh(60)
+    rows += [(200, " ".join(twice)), (201, " ".join(twice + fresh(60) + twice))]
+    out = repeated_passages(docs_of(spark, rows)).collect()
+    covered = {(r["doc_id"], r["source_id"]) for r in out if r["start_word"] <= 30 and r["end_word"] >= 85}
+    assert covered >= {(1000 + i, i) for i in range(80)}
+    assert {r["start_word"] for r in out if r["doc_id"] == 201} == {0, 120}
+
+
 def shingled(tokens):
     return np.array([hash(tuple(tokens[i:i + 5])) for i in range(len(tokens) - 4)], np.int64)
 
