@@ -128,8 +128,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ngram: int = 13, percen
     return _joined(rows, grams, percent)
 
 
-def _joined(rows: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """The same result without a broadcast: windows of documents meet benchmark windows by their words."""
+def _joined_hits(texts: DataFrame, grams: DataFrame) -> DataFrame:
+    """(row, at, n, item, ...): the benchmark windows in rows (row, text) without a broadcast, met by their words; ``at`` counts words."""
     lengths = sorted(r[0] for r in grams.select("n").distinct().collect())
 
     def windows(batches):
@@ -148,10 +148,14 @@ def _joined(rows: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
                              pa.array(words.windows(n)[part].astype(np.int64)),
                              pa.array([_gram_words(words, p, n) for p in part.tolist()], pa.binary())],
                             names=["row", "at", "n", "gram", "words"])
+    return texts.mapInArrow(windows, "row string, at int, n int, gram long, words binary").join(grams, ["n", "gram", "words"])
+
+
+def _joined(rows: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """The result of ``contamination`` without a broadcast."""
     # rows with the same id and text have the same result
     keyed = rows.withColumn("row", F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256))
-    hits = (keyed.select("row", "text").dropDuplicates(["row"]).mapInArrow(windows, "row string, at int, n int, gram long, words binary")
-            .join(grams, ["n", "gram", "words"]))
+    hits = _joined_hits(keyed.select("row", "text").dropDuplicates(["row"]), grams)
     # hit words: cover the places of one row by running ends, then count
     place = hits.groupBy("row").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set("item").alias("items"))
     spans = F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")),
@@ -178,15 +182,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                   item_id: str = "item_id", item_text: str = "text", max_grams: int = 2_000_000) -> DataFrame:
     """``docs`` without contaminated rows (``mode='documents'``), or with the hit words cut out of every text (``'spans'``).
 
-    All columns stay. A cut goes from the first to the last byte of a run of hit words. A benchmark of more than
-    ``max_grams`` windows is an error here; use ``contamination`` and a join then. Null texts are kept.
+    All columns stay. A cut goes from the first to the last byte of a run of hit words. With more than
+    ``max_grams`` benchmark windows these are joined with the windows of the texts, with the same result. Null texts are kept.
     """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
-    index, _ = _index(benchmark, ngram, item_id, item_text, max_grams)
-    if index is None:
-        raise ValueError(f"more than {max_grams} benchmark windows: join with contamination() instead")
-    place = docs.columns.index(text)
+    index, grams = _index(benchmark, ngram, item_id, item_text, max_grams)
+    place, names = docs.columns.index(text), docs.columns
 
     def cut(words: Words, d: int, flags: np.ndarray) -> str:
         a, b = words.starts[d], words.starts[d + 1]
@@ -205,8 +207,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         keep = separators_alnum()
         for batch in batches:
             for words in scan_words(batch.column(place), keep):
-                _, n_hit, _, bad, flags = _judge(words, window_hits(words, index.value), percent)
                 part = batch.slice(words.lo, words.hi - words.lo)
+                if index is not None:
+                    hits = window_hits(words, index.value)
+                else:
+                    hits = [(words.starts[d] + h["at"], h["n"], ()) for d, found in enumerate(part.column(part.num_columns - 1).to_pylist()) for h in found or ()]
+                    part = part.select(names)
+                _, n_hit, _, bad, flags = _judge(words, hits, percent)
                 if mode == "documents":
                     yield part.filter(pa.array(~bad))
                 elif n_hit.any():
@@ -216,4 +223,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                                                       for i in range(part.num_columns)], schema=part.schema)
                 else:
                     yield part
-    return docs.mapInArrow(run, docs.schema)
+    if index is not None:
+        return docs.mapInArrow(run, docs.schema)
+    # equal texts have the same hits
+    keyed = docs.withColumn("__row", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    hits = _joined_hits(keyed.select(F.col("__row").alias("row"), F.col(text).alias("text")).dropDuplicates(["row"]), grams)
+    hits = hits.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("at", "n")).alias("__hits"))
+    return keyed.join(hits.hint("merge"), "__row", "left").select(*[keyed[c] for c in names], "__hits").mapInArrow(run, docs.schema)

@@ -245,6 +245,14 @@ def test_contamination(spark, corpus):
     assert contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_decontaminate_joins_a_large_benchmark(spark, corpus):
+    bench = spark.createDataFrame([("a", " ".join(corpus[3][1].split()[:40])), ("b", "one two, three"), ("c", None)], "item_id string, text string")
+    docs = docs_of(spark, corpus + [(90, "He said: One--two three!!"), (90, "He said: One--two three!!"), (None, None), (91, "one two " + "x " * 90 + "one two three")])
+    for mode in ("documents", "spans"):
+        want = sorted(map(repr, decontaminate(docs, bench, mode).collect()))
+        assert sorted(map(repr, decontaminate(docs, bench, mode, max_grams=0).collect())) == want and want != sorted(map(repr, docs.collect()))
+
+
 def test_url_filter(spark):
     urls = {1: "https://A.Example.org/es/x?y", 2: "http://example.org/en/12", 3: "http://x.net/casino?a", 4: "http://x.net/free-bets", 5: "http://x.net/free-free",
             6: "http://x.net/freebets/win", 7: None, 8: "no scheme casino", 9: "http://shop.com/de/1", 10: "http://badorg/", 11: "http://org?/", 12: "ftp://h#://z/"}
