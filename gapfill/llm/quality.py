@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gapfill.llm.sampling import fold, pick
+from gapfill.llm.staging import staged
 from gapfill.llm.textkit import Words, scan_words, separators_white
 
 THRESHOLD = 0.7
@@ -72,14 +73,27 @@ def feature_rows(docs: DataFrame, columns: list[str], text: str) -> DataFrame:
     return rows.mapInArrow(run, f"{fields}, x array<double>")
 
 
+def raw_scores(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, raw): weighted statistics of rows (doc_id, text), before the cut."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        keep, m = separators_white(), known.value
+        for batch in batches:
+            for words in scan_words(batch.column(1), keep):
+                raw = ((features(words) - m["mean"]) / m["spread"]) @ m["w"]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(words.lo, words.hi - words.lo), pa.array(raw)], names=["doc_id", "raw"])
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, raw double")
+
+
 def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
           held_out: int = 2, folds: int = 4) -> dict[str, np.ndarray | float]:
-    """Weights, scaling and cut from at most ``per_label`` labelled rows of each label outside the held-out fold.
+    """Weights and scaling from at most ``per_label`` labelled rows of each label outside the held-out fold, the cut from all of them.
 
-    The cut is the quantile of the training scores at the share of label 0 among all training labels.
+    The cut is the quantile, at the share of label 0, of the scores of all labelled rows outside the fold. Its rank is off
+    by at most a 100,000th of these rows.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label")).where(fold("doc_id", folds) != held_out)
-    counts = dict(known.where("label IS NOT NULL").groupBy("label").count().collect())
     few = F.broadcast(pick(known, "label", per_label).limit(2 * per_label))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(few, "doc_id")
     rows = sorted(feature_rows(own, ["doc_id", "label"], "text").limit(2 * per_label).collect(), key=lambda r: (r[0], r[1], r[2]))
@@ -89,18 +103,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 3000, doc_id: str
     mean, spread = x.mean(0), x.std(0) + 1e-3
     x = (x - mean) / spread
     w = fit_pairs(x, y)
-    raw = x @ w
-    share = counts.get(0, 0) / max(1, sum(counts.values()))
-    weight = np.array([counts.get(k, 0) / max(1, int((y == k).sum())) for k in y])
-    order = np.argsort(raw, kind="stable")
-    part = np.cumsum(weight[order]) / weight.sum()
-    at = min(int(np.searchsorted(part, share)), len(raw) - 1)
-    # the widest gap close by, so that the cut does not run through a cluster
-    reach = max(1, len(raw) // 50)
-    near = raw[order][max(0, at - reach):at + reach + 1]
-    gap = int(np.diff(near).argmax()) if len(near) > 1 else 0
-    cut = float(near[gap:gap + 2].mean())
-    return {"w": w, "mean": mean, "spread": spread, "cut": cut}
+    model = {"w": w, "mean": mean, "spread": spread, "cut": 0.0}
+    # scores first: the join then carries no texts
+    scored = raw_scores(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(fold("doc_id", folds) != held_out), model)
+    scored = staged(scored.join(known.where("label IS NOT NULL"), "doc_id").select("label", "raw"), "scores")
+    n, bad = scored.agg(F.count(F.lit(1)), F.count_if(F.col("label") == 0)).first()
+    cut = scored.agg(F.percentile_approx("raw", bad / n, 100_000)).first()[0]
+    return {**model, "cut": cut}
 
 
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", held_out: int = 2, folds: int = 4) -> DataFrame:

@@ -388,6 +388,13 @@ def test_quality_ranks_held_out_rows(spark):
     assert quality.score(odd.limit(0), quality.train(odd, labels)).count() == 0
 
 
+def test_quality_cut_is_the_quantile_of_all_labelled_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(3000)
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality.score(docs, quality.train(docs, labels, per_label=40)).join(labels, "doc_id").where("NOT held_out AND quality IS NOT NULL").collect()
+    assert abs(sum(r["predicted"] == 0 for r in rows) - sum(r["quality"] == 0 for r in rows)) <= 1 and len(rows) > 500
+
+
 def test_toxicity_finds_the_words_of_its_labels(spark):
     rng = random.Random(8)
     rows, labels = [], []
