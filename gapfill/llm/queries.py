@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.sql import functions as F
+
 from gapfill.frames import checkpoint_dir
-from gapfill.llm import quality, toxicity
+from gapfill.llm import pieces, quality, toxicity
 from gapfill.llm.decontaminate import contamination
 from gapfill.llm.langid import identify, train
 from gapfill.llm.minhash import near_duplicates
@@ -144,3 +146,11 @@ def op1(spark, d):
 def op7(spark, d):
     """Passages of 50 words or more that stand near-equal in an earlier document."""
     return repeated_passages(table(spark, d, "documents"))
+
+
+@query("op12_sentencepiece")
+def op12(spark, d):
+    """Ids of every whole document and the text they spell, as digests."""
+    out = pieces.decode(pieces.encode(table(spark, d, "documents")))
+    return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
