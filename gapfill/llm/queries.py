@@ -11,7 +11,9 @@ from gapfill.frames import checkpoint_dir
 from gapfill.llm import pieces, quality, toxicity
 from gapfill.llm.decontaminate import contamination
 from gapfill.llm.langid import identify, train
+from gapfill.llm.lexical import search
 from gapfill.llm.minhash import near_duplicates
+from gapfill.llm.negatives import mine
 from gapfill.llm.packing import pack
 from gapfill.llm.shards import materialise
 from gapfill.llm.substring import repeated_passages
@@ -154,3 +156,36 @@ def op12(spark, d):
     out = pieces.decode(pieces.encode(table(spark, d, "documents")))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+_TERMS = "regexp_extract_all(coalesce({0}, ''), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')".format(LOWER.format("text"))
+
+
+@query("op13_max_sketch_search", f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents), b AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::bigint AS n_terms FROM d),
+f AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) SEMI JOIN b USING (t) GROUP BY doc_id, n, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint AS w FROM f, s GROUP BY t, n_docs),
+i AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))) AS i FROM f JOIN w USING (t), s),
+r AS (SELECT item_id, doc_id, sum(i)::bigint AS score FROM b JOIN i USING (t) GROUP BY item_id, doc_id HAVING sum(i) > 0)
+SELECT * FROM (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score FROM r) WHERE rank <= 10""")
+def op13(spark, d):
+    """Ten best documents of every benchmark item."""
+    return search(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op11_hard_negatives", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * x::double)::bigint FOR x IN embedding] AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike, list_sum([p[1] * p[2] FOR p IN list_zip(a.v, c.v)])::bigint AS score
+      FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM s WHERE alike) WHERE r <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id)::int AS rank,
+             s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT * FROM n WHERE rank <= 10""")
+def op11(spark, d):
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one."""
+    moved = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return mine(table(spark, d, "embeddings").withColumn("label", moved))
