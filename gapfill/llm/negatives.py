@@ -80,6 +80,12 @@ class Goal:
         self.need = -np.inf if low is None else low / 100 - SLACK * (1 + abs(low))
         self.most = np.inf if high is None else high / 100 + SLACK * (1 + abs(high))
 
+    def threshold(self, lo: np.ndarray, hi: np.ndarray) -> float:
+        """What a score must reach: ``k`` rows held, or ``k`` candidates that surely lie inside the window, are at least as good."""
+        if self.low is not None:
+            lo = lo[(lo >= self.low / 100 + SLACK * (1 + abs(self.low))) & (hi <= self.high / 100 - SLACK * (1 + abs(self.high)))]
+        return self.need if len(lo) < self.k else max(self.need, float(np.partition(lo, len(lo) - self.k)[len(lo) - self.k]))
+
     def add(self, score: np.ndarray, ids: np.ndarray) -> None:
         keep = score >= self.need
         if self.low is not None:
@@ -127,7 +133,7 @@ class Anchors:
                 lo, hi = least[up] - spread, most[up] + spread
                 over = np.zeros(len(ids), bool)
                 for goal in self.goals[i]:
-                    over |= (hi >= goal.need) & (lo <= goal.most)
+                    over |= (hi >= goal.threshold(lo[fits], hi[fits])) & (lo <= goal.most)
                 some = np.flatnonzero(over & fits)
                 waiting[up] -= 1
                 if not waiting[up]:
