@@ -53,11 +53,11 @@ def normalise(df: DataFrame, key: str | Sequence[str] = ()) -> DataFrame:
     skip = set(as_key(key))
     out = []
     for f in df.schema.fields:
-        c = F.col(f.name)
+        c = col(f.name)
         if f.name not in skip:
             column_kind(f.dataType)
             if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-                c = F.when(~F.isnan(c), c)
+                c = F.when(~F.isnan(col(c)), c)
             elif isinstance(f.dataType, T.DecimalType):
                 c = c.cast("double")
         out.append(c.alias(f.name))
@@ -67,8 +67,8 @@ def normalise(df: DataFrame, key: str | Sequence[str] = ()) -> DataFrame:
 def check_key(df: DataFrame, key: str | Sequence[str]) -> None:
     """Raise ``ValueError`` when the key is not unique or holds NULL."""
     key = as_key(key)
-    bad = (df.groupBy(*key).count()
-           .where((F.col("count") > 1) | F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)))
+    bad = (df.groupBy(*each(key)).count()
+           .where((F.col("count") > 1) | F.greatest(*[col(k).isNull() for k in key], F.lit(False)))
            .limit(1).collect())
     if bad:
         raise ValueError(f"key {key} is not unique: {bad[0].asDict()}")
@@ -77,10 +77,10 @@ def check_key(df: DataFrame, key: str | Sequence[str]) -> None:
 def check_same_rows(df: DataFrame, other: DataFrame, key: str | Sequence[str], what: str) -> None:
     """Raise ``ValueError`` unless both frames hold the same keys, each of them once."""
     key = as_key(key)
-    side = lambda f, n: f.select(*key, F.lit(n).alias("__side"))
+    side = lambda f, n: f.select(*each(key), F.lit(n).alias("__side"))
     count = lambda n: F.count_if(F.col("__side") == n)
-    bad = (side(df, 0).unionByName(side(other, 1)).groupBy(*key).agg(count(0).alias("here"), count(1).alias("there"))
-           .where((F.col("here") != 1) | (F.col("there") != 1) | F.greatest(*[F.col(k).isNull() for k in key], F.lit(False)))
+    bad = (side(df, 0).unionByName(side(other, 1)).groupBy(*each(key)).agg(count(0).alias("here"), count(1).alias("there"))
+           .where((F.col("here") != 1) | (F.col("there") != 1) | F.greatest(*[col(k).isNull() for k in key], F.lit(False)))
            .limit(1).collect())
     if bad:
         raise ValueError(f"{what} does not hold the same rows as the original: {bad[0].asDict()}")
@@ -96,6 +96,33 @@ def quoted_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def col(name: str | Column) -> Column:
+    """The column of exactly this name, dots and backticks included; a column stays as it is."""
+    return name if isinstance(name, Column) else F.col(quoted(name))
+
+
+def each(names: Sequence[str | Column]) -> list[Column]:
+    return [col(n) for n in names]
+
+
+def plain_names(names: Sequence[str]) -> dict[str, str]:
+    """``{name: inner name}``: names that Spark would read as paths (dots, backticks) get another one, all others stay."""
+    taken = set(names)
+    out = {}
+    for i, n in enumerate(names):
+        inner = n
+        if "." in n or "`" in n:
+            inner = f"__c{i}"
+            while inner in taken:
+                inner += "_"
+        out[n] = inner
+    return out
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df if all(a == b for a, b in names.items()) else df.toDF(*[names.get(c, c) for c in df.columns])
+
+
 def mask_name(column: str) -> str:
     return f"{column}__missing"
 
@@ -104,24 +131,24 @@ def missing_mask(df: DataFrame, key: str | Sequence[str], columns: Sequence[str]
     """Key plus one boolean ``<c>__missing`` per column."""
     key = as_key(key)
     columns = list(columns) if columns is not None else list(column_kinds(df, key))
-    return df.select(*key, *[F.col(c).isNull().alias(mask_name(c)) for c in columns])
+    return df.select(*each(key), *[col(c).isNull().alias(mask_name(c)) for c in columns])
 
 
 def any_missing(columns: Sequence[str]) -> Column:
     cond = F.lit(False)
     for c in columns:
-        cond = cond | F.col(c).isNull()
+        cond = cond | col(c).isNull()
     return cond
 
 
 def preserve_observed(df: DataFrame, predictions: dict[str, Column]) -> DataFrame:
     """Replace missing cells only; observed cells pass through untouched."""
-    return df.withColumns({c: F.coalesce(F.col(c), p) for c, p in predictions.items()})
+    return df.withColumns({c: F.coalesce(col(c), p) for c, p in predictions.items()})
 
 
 def count_missing(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Missing cells per column plus ``'*'`` = incomplete rows, in one pass."""
-    aggs = [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
+    aggs = [F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
     row = df.agg(F.count_if(any_missing(columns)).alias("rows"), *aggs).first()
     return {"*": row["rows"], **{c: row[f"m{i}"] for i, c in enumerate(columns)}}
 
@@ -132,9 +159,9 @@ def missing_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     One wide aggregate, then the single result row is laid out as a long table.
     """
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(any_missing(columns)).alias("rows")]
-    aggs += [F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
-    total = sum((F.col(f"m{i}") for i in range(len(columns))), F.lit(0).cast("bigint"))
-    entries = [(c, F.col("n"), F.col(f"m{i}")) for i, c in enumerate(columns)]
+    aggs += [F.count_if(col(c).isNull()).alias(f"m{i}") for i, c in enumerate(columns)]
+    total = sum((col(f"m{i}") for i in range(len(columns))), F.lit(0).cast("bigint"))
+    entries = [(c, F.col("n"), col(f"m{i}")) for i, c in enumerate(columns)]
     entries += [("rows", F.col("n"), F.col("rows")), ("cells", F.col("n") * len(columns), total)]
     long = F.array(*[F.struct(F.lit(name).alias("column"), n.alias("n"), m.alias("n_missing"))
                      for name, n, m in entries])
@@ -152,14 +179,14 @@ def pair_frames(true: DataFrame, imputed: DataFrame, key: str | Sequence[str],
     side, so the join cannot be skewed.
     """
     key = as_key(key)
-    out = true.select(*key, *[F.col(c).alias(f"{c}__true") for c in columns])
-    out = out.join(imputed.select(*key, *[F.col(c).alias(f"{c}__imp") for c in columns]), key)
+    out = true.select(*each(key), *[col(c).alias(f"{c}__true") for c in columns])
+    out = out.join(imputed.select(*each(key), *[col(c).alias(f"{c}__imp") for c in columns]), key)
     if mask is None:
         if missing is None:
             raise ValueError("either mask or missing is needed")
         mask = missing_mask(missing, key, columns)
     have = [mask_name(c) for c in columns if mask_name(c) in mask.columns]
-    out = out.join(mask.select(*key, *have), key)
+    out = out.join(mask.select(*each(key), *each(have)), key)
     absent = {mask_name(c): F.lit(False) for c in columns if mask_name(c) not in have}
     return out.withColumns(absent) if absent else out
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gapfill.frames import NUMERICAL, any_missing, as_key, column_kind
+from gapfill.frames import NUMERICAL, any_missing, as_key, col, column_kind, each
 from gapfill.functions.rand import uniform
 
 
@@ -36,7 +36,7 @@ def number_text(c: Column, data_type: T.DataType) -> Column:
     if not isinstance(data_type, (T.FloatType, T.DoubleType, T.DecimalType)):
         return c.cast("string")
     c = c.cast("double")
-    digits, size = _shortest(c), F.abs(c)
+    digits, size = _shortest(c), F.abs(col(c))
     decimal = F.regexp_replace(digits.try_cast(T.DecimalType(38, 21)).cast("string"), "0+$", "")
     decimal = F.when(decimal.endswith("."), F.concat(decimal, F.lit("0"))).otherwise(decimal)
     parts = F.split(digits, "[eE]")
@@ -81,7 +81,7 @@ def cell_text(c: Column, data_type: T.DataType) -> Column:
 
 def fragment(df: DataFrame, column: str) -> Column:
     """``"name":value``, or NULL for a missing cell."""
-    c = F.col(column)
+    c = col(column)
     return F.when(c.isNotNull(), F.concat(F.lit(json.dumps(column, ensure_ascii=False) + ":"), cell_text(c, df.schema[column].dataType)))
 
 
@@ -105,16 +105,16 @@ def shuffled_rows(df: DataFrame, key, columns: Sequence[str], epochs: int = 1, s
                       for c in columns])
     present = F.filter(F.array_sort(parts), lambda p: p["f"].isNotNull())
     body = F.array_join(F.transform(present, lambda p: p["f"]), ",")
-    return df.select(*key, "epoch", _close(body, columns).alias(out))
+    return df.select(*each(key), "epoch", _close(body, columns).alias(out))
 
 
 def decode_rows(df: DataFrame, text: str, schema: T.StructType) -> DataFrame:
     """Typed columns out of JSON text; unknown fields are ignored, broken text gives nothing."""
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields] + [T.StructField("__bad", T.StringType())])
-    parsed = F.from_json(F.trim(F.col(text)), raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    parsed = F.from_json(F.trim(col(text)), raw, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
     df = df.withColumn("__row", parsed)
     good = F.col("__row.__bad").isNull()
-    cells = {f.name: F.when(good, F.col("__row")[f.name].try_cast(f.dataType)) for f in schema.fields}
+    cells = {f.name: F.when(good, F.col("__row").getField(f.name).try_cast(f.dataType)) for f in schema.fields}
     return df.withColumns(cells).drop("__row")
 
 
@@ -127,9 +127,9 @@ def prompt_text(df: DataFrame, columns: Sequence[str], target: Column) -> Column
 
 def completion_prompts(df: DataFrame, key, columns: Sequence[str]) -> DataFrame:
     """(key, target, prompt): one row per missing cell."""
-    missing = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in columns]))
+    missing = F.array_compact(F.array(*[F.when(col(c).isNull(), F.lit(c)) for c in columns]))
     out = df.withColumn("target", F.explode(missing))
-    return out.select(*as_key(key), "target", prompt_text(df, columns, F.col("target")).alias("prompt"))
+    return out.select(*each(as_key(key)), "target", prompt_text(df, columns, F.col("target")).alias("prompt"))
 
 
 def extract_value(completed: Column, prompt: Column, numeric: Column) -> Column:

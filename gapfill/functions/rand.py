@@ -13,12 +13,14 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gapfill.frames import col
+
 _TWO32 = 4294967296.0
 
 
 def _text(key) -> list[Column]:
     cols = [key] if isinstance(key, (str, Column)) else list(key)
-    return [(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols]
+    return [(col(c) if isinstance(c, str) else c).cast("string") for c in cols]
 
 
 def digest(seed: int, tag: str, key) -> Column:

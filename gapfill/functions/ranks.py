@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gapfill.frames import quoted
+from gapfill.frames import col, each, quoted
 
 MAX_BUCKETS = 1024
 MAX_LITERAL_CATEGORIES = 255
@@ -26,16 +26,16 @@ def offset_rank(df: DataFrame, bucket: str, order: Sequence, out: str,
                 group: Sequence[str] = ()) -> DataFrame:
     """0-based rank of every row inside ``group`` under (bucket, order)."""
     group = list(group)
-    totals = df.groupBy(*group, bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-                           F.col(bucket).alias("__b"),
+    totals = df.groupBy(*each(group), bucket).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*each(group)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[col(g).alias(f"__g{i}") for i, g in enumerate(group)],
+                           col(bucket).alias("__b"),
                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    local = Window.partitionBy(*group, bucket).orderBy(*order)
+    local = Window.partitionBy(*each(group), bucket).orderBy(*each(order))
     ranked = df.withColumn("__local", F.row_number().over(local) - 1)
-    same = F.col(bucket).eqNullSafe(F.col("__b"))
+    same = col(bucket).eqNullSafe(F.col("__b"))
     for i, g in enumerate(group):
-        same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+        same = same & col(g).eqNullSafe(col(f"__g{i}"))
     # null-safe keys: NULL groups are ranked like any other, and no filter recomputes the bucket
     return (ranked.join(totals, same, "inner")
             .withColumn(out, F.col("__local") + F.col("__offset"))
@@ -61,8 +61,8 @@ def default_buckets(df: DataFrame) -> int:
 
 def sample_values(distinct: DataFrame, value: str, n: int) -> list:
     """At most ``n`` evenly random members of a distinct column (bounded top-n by hash)."""
-    h = F.xxhash64(F.lit(_SAMPLE_SEED), F.col(value))
-    return sorted(r[0] for r in distinct.orderBy(h).limit(n).select(value).collect())
+    h = F.xxhash64(F.lit(_SAMPLE_SEED), col(value))
+    return sorted(r[0] for r in distinct.orderBy(h).limit(n).select(col(value)).collect())
 
 
 def order_bucket(value: Column, bounds: list, data_type: T.DataType) -> Column:
@@ -75,7 +75,7 @@ def order_bucket(value: Column, bounds: list, data_type: T.DataType) -> Column:
 
 def sorted_categories(df: DataFrame, column: str, limit: int = MAX_LITERAL_CATEGORIES) -> list | None:
     """Sorted distinct values when there are at most ``limit`` of them, else ``None``."""
-    distinct = df.select(column).where(F.col(column).isNotNull()).distinct()
+    distinct = df.select(col(column)).where(col(column).isNotNull()).distinct()
     found = sample_values(distinct, column, limit + 1)
     return found if len(found) <= limit else None
 
@@ -87,7 +87,7 @@ def code_table(df: DataFrame, column: str) -> DataFrame:
     distinct values, the ranks are exact.
     """
     dtype = df.schema[column].dataType
-    distinct = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
+    distinct = df.select(col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
     bounds = sample_values(distinct, "value", default_buckets(df) - 1)
     bucketed = distinct.withColumn("__bucket", order_bucket(F.col("value"), bounds, dtype))
     return offset_rank(bucketed, "__bucket", ["value"], "code").select("value", "code")
@@ -113,9 +113,9 @@ def with_code(df: DataFrame, column: str, out: str, domain: DataFrame | None = N
     dtype = df.schema[column].dataType
     short = sorted_categories(domain, column)
     if short is not None:
-        return df.withColumn(out, literal_code(F.col(column), short, dtype))
+        return df.withColumn(out, literal_code(col(column), short, dtype))
     codes = code_table(domain, column).select(F.col("value").alias("__v"), F.col("code").cast("double").alias(out))
-    return lookup(df, F.col(column), codes, "__v").drop("__v")
+    return lookup(df, col(column), codes, "__v").drop("__v")
 
 
 NULL_SHARES = 256
@@ -127,5 +127,5 @@ def lookup(df: DataFrame, at: Column, table: DataFrame, key: str) -> DataFrame:
     df = df.withColumn("__look", at)
     spread = F.when(F.col("__look").isNull(), F.pmod(F.xxhash64(*names), F.lit(NULL_SHARES))).otherwise(F.lit(0)).cast("int")
     return (df.withColumn("__share", spread)
-            .join(table.withColumn("__zero", F.lit(0)), (F.col("__look") == F.col(key)) & (F.col("__share") == F.col("__zero")), "left")
+            .join(table.withColumn("__zero", F.lit(0)), (F.col("__look") == col(key)) & (F.col("__share") == F.col("__zero")), "left")
             .drop("__look", "__share", "__zero"))

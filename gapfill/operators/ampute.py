@@ -16,8 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import (CATEGORICAL, NUMERICAL, as_key, column_kinds, count_missing,
-                            mask_name, normalise)
+from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, col, column_kinds, count_missing, each, mask_name, normalise
 from gapfill.functions.rand import uniform
 from gapfill.functions.ranks import with_code
 
@@ -130,22 +129,22 @@ def _scores(df: DataFrame, weights: dict[int, dict[str, float]], pattern: str, o
     used = sorted({c for w in weights.values() for c in w})
     aggs = []
     for c in used:
-        aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+        aggs += [F.avg(col(c)).alias(f"m_{c}"), F.stddev_pop(col(c)).alias(f"s_{c}")]
     stats = df.agg(*aggs).first()
 
     def z(c):
         mean, std = stats[f"m_{c}"], stats[f"s_{c}"]
-        return (F.col(c) - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)
+        return (col(c) - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)
 
     raw = F.lit(None).cast("double")
     for i, w in weights.items():
         if w:
             total = reduce(lambda a, b: a + b, [F.lit(x) * z(c) for c, x in w.items()])
-            raw = F.when(F.col(pattern) == i, total).otherwise(raw)
+            raw = F.when(col(pattern) == i, total).otherwise(raw)
     df = df.withColumn("__raw", raw)
     aggs = []
     for i in weights:
-        own = F.when(F.col(pattern) == i, F.col("__raw"))
+        own = F.when(col(pattern) == i, F.col("__raw"))
         aggs += [F.avg(own).alias(f"m{i}"), F.stddev_pop(own).alias(f"s{i}")]
     stats2 = df.agg(*aggs).first()
     scaled = F.lit(None).cast("double")
@@ -153,7 +152,7 @@ def _scores(df: DataFrame, weights: dict[int, dict[str, float]], pattern: str, o
         if w:
             mean, std = stats2[f"m{i}"], stats2[f"s{i}"]
             own = (F.col("__raw") - F.lit(mean)) / F.lit(std) if std else F.lit(0.0)
-            scaled = F.when(F.col(pattern) == i, own).otherwise(scaled)
+            scaled = F.when(col(pattern) == i, own).otherwise(scaled)
     return df.withColumn(out, scaled).drop("__raw")
 
 
@@ -187,10 +186,10 @@ def ampute(df: DataFrame, key, proportion: float = 0.3, patterns=None,
     work = work.withColumns(flags)
     others = [c for c in kinds if c not in columns]
     return work.select(
-        *key,
-        *[F.when(~F.col(mask_name(c)), F.col(c)).alias(c) for c in columns], *others,
-        *[F.col(c).alias(f"{c}__true") for c in columns],
-        *[mask_name(c) for c in columns])
+        *each(key),
+        *[F.when(~col(mask_name(c)), col(c)).alias(c) for c in columns], *each(others),
+        *[col(c).alias(f"{c}__true") for c in columns],
+        *[col(mask_name(c)) for c in columns])
 
 
 def _default_hits(df, key, columns, proportion, seed) -> tuple[DataFrame, dict[str, Column]]:
@@ -202,7 +201,7 @@ def _default_hits(df, key, columns, proportion, seed) -> tuple[DataFrame, dict[s
     df = df.withColumns({"__hit": hit, **{d: uniform(seed, f"cell:{c}", key) for c, d in draws.items()}})
     df = df.withColumns({"__least": F.least(*draws.values()), "__most": F.greatest(*draws.values())})
     # half of the cells on average; the smallest draw always goes, the largest never
-    return df, {c: F.col("__hit") & ((F.col(d) < 0.5) | (F.col(d) == F.col("__least"))) & (F.col(d) < F.col("__most"))
+    return df, {c: F.col("__hit") & ((col(d) < 0.5) | (col(d) == F.col("__least"))) & (col(d) < F.col("__most"))
                 for c, d in draws.items()}
 
 
@@ -218,7 +217,7 @@ def _pattern_hits(df, key, kinds, columns, proportion, patterns, seed):
     df = df.withColumn("__pattern", assign_pattern(F.col("__u_pattern"), freqs))
     shifts: dict[int, float] = {}
     if any(weights.values()):
-        coded = df.select("*", *[F.col(c).cast("double").alias(f"__w_{c}")
+        coded = df.select("*", *[col(c).cast("double").alias(f"__w_{c}")
                                  for c in {c for w in weights.values() for c in w}
                                  if kinds[c] == NUMERICAL])
         for c in sorted({c for w in weights.values() for c in w}):
@@ -251,4 +250,4 @@ def introduce_missing(df: DataFrame, key, proportion: float = 0.3, patterns=None
     key = as_key(key)
     both = ampute(df, key, proportion, patterns, seed)
     columns = list(column_kinds(df, key))
-    return (both.select(*key, *columns), both.select(*key, *[mask_name(c) for c in columns]))
+    return (both.select(*each(key), *each(columns)), both.select(*each(key), *[col(mask_name(c)) for c in columns]))

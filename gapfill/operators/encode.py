@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, column_kinds, split_kinds
+from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, col, column_kinds, each, split_kinds
 from gapfill.functions.rand import uniform
 from gapfill.functions.ranks import MAX_BUCKETS, literal_code, sorted_categories, uniform_rank, with_code
 
@@ -27,7 +27,7 @@ def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
 
 def onehot(column: str, values: Sequence) -> list[Column]:
     """One dummy per category; a missing cell makes all of its dummies missing."""
-    c = F.col(column)
+    c = col(column)
     return [F.when(c.isNull(), None).otherwise((c == F.lit(v)).cast("double")) for v in values]
 
 
@@ -59,9 +59,9 @@ def union_encode(frames: Sequence[DataFrame], columns: Sequence[str]) -> list[Da
     """Ordinal-encode several frames over the union of their values."""
     out = list(frames)
     for c in columns:
-        domain = frames[0].select(c).distinct()
+        domain = frames[0].select(col(c)).distinct()
         for f in frames[1:]:
-            domain = domain.unionByName(f.select(c).distinct())
+            domain = domain.unionByName(f.select(col(c)).distinct())
         out = [ordinal_encode(f, c, domain) for f in out]
     return out
 
@@ -90,8 +90,8 @@ class TabularPreprocessor:
         aggs = []
         for c in num:
             # scaling is measured on mean-filled data: the mean stays, the spread shrinks
-            aggs += [F.avg(c).alias(f"m_{c}"),
-                     F.sqrt(F.var_pop(c) * F.count(c) / F.count(F.lit(1))).alias(f"s_{c}")]
+            aggs += [F.avg(col(c)).alias(f"m_{c}"),
+                     F.sqrt(F.var_pop(col(c)) * F.count(col(c)) / F.count(F.lit(1))).alias(f"s_{c}")]
         if aggs:
             row = df.agg(*aggs).first()
             self.means = {c: row[f"m_{c}"] for c in num}
@@ -112,16 +112,16 @@ class TabularPreprocessor:
 
     def scaled(self, c: str) -> Column:
         """Mean-filled and standardised."""
-        return (F.coalesce(F.col(c).cast("double"), F.lit(self.means[c])) - F.lit(self.means[c])) / F.lit(self.stds[c])
+        return (F.coalesce(col(c).cast("double"), F.lit(self.means[c])) - F.lit(self.means[c])) / F.lit(self.stds[c])
 
     def index(self, c: str) -> Column:
         """Vocabulary index of the mode-filled value."""
-        filled = F.coalesce(F.col(c), F.lit(self.modes.get(c)))
+        filled = F.coalesce(col(c), F.lit(self.modes.get(c)))
         code = literal_code(filled, self.vocab[c], self.types[c])
         return F.coalesce(code + 1, F.lit(0.0)).cast("int")
 
     def transform(self, df: DataFrame, key) -> DataFrame:
-        return df.select(*as_key(key), *[self.scaled(c).alias(c) for c in self.numeric],
+        return df.select(*each(as_key(key)), *[self.scaled(c).alias(c) for c in self.numeric],
                          *[self.index(c).alias(c) for c in self.categorical])
 
     def inverse_transform(self, df: DataFrame, key) -> DataFrame:
@@ -130,10 +130,10 @@ class TabularPreprocessor:
         for c in self.columns:
             if c in self.vocab:
                 arr = F.array(*[F.lit(v) for v in self.vocab[c]])
-                out.append(F.when(F.col(c) > 0, F.element_at(arr, F.greatest(F.col(c), F.lit(1)).cast("int"))).alias(c))
+                out.append(F.when(col(c) > 0, F.element_at(arr, F.greatest(col(c), F.lit(1)).cast("int"))).alias(c))
             else:
-                out.append((F.col(c) * F.lit(self.stds[c]) + F.lit(self.means[c])).alias(c))
-        return df.select(*as_key(key), *out)
+                out.append((col(c) * F.lit(self.stds[c]) + F.lit(self.means[c])).alias(c))
+        return df.select(*each(as_key(key)), *out)
 
 
 def swap_noise(df: DataFrame, key, columns: Sequence[str], noise: float = 0.15, seed: int = 42,
@@ -151,16 +151,16 @@ def swap_noise(df: DataFrame, key, columns: Sequence[str], noise: float = 0.15,
     blocks = blocks or MAX_BUCKETS
     block = F.floor(uniform(seed, "block", key) * blocks).cast("int")
     df = df.withColumns({"__block": block, "__order": uniform(seed, "order", key)})
-    inside = Window.partitionBy("__block").orderBy("__order", *key)
+    inside = Window.partitionBy("__block").orderBy("__order", *each(key))
     so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.lead(F.lit(1)).over(inside).isNull()
     # the last row of a block takes the first one's values
-    partner = {f"__p_{c}": F.when(last, F.first(c).over(so_far)).otherwise(F.lead(c).over(inside))
+    partner = {f"__p_{c}": F.when(last, F.first(col(c)).over(so_far)).otherwise(F.lead(col(c)).over(inside))
                for c in columns}
     df = df.withColumns(partner)
     hit = {f"{c}__swapped": uniform(seed, f"swap:{c}", key) < noise for c in columns}
     df = df.withColumns(hit)
-    df = df.withColumns({c: F.when(F.col(f"{c}__swapped"), F.col(f"__p_{c}")).otherwise(F.col(c)) for c in columns})
+    df = df.withColumns({c: F.when(col(f"{c}__swapped"), col(f"__p_{c}")).otherwise(col(c)) for c in columns})
     return df.drop("__block", "__order", *partner)
 
 

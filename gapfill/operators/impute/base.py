@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from gapfill.frames import (CATEGORICAL, NUMERICAL, as_key, column_kinds, count_missing, normalise)
+from gapfill.frames import (CATEGORICAL, NUMERICAL, as_key, column_kinds, count_missing, each, normalise, plain_names, renamed)
 
 
 class Imputer:
@@ -15,6 +15,8 @@ class Imputer:
 
     #: trained models refuse a table without gaps; baselines take it and skip the check
     needs_missing = True
+    #: names with dots or backticks are replaced inside; an imputer that shows names to its user keeps them
+    plain = True
 
     def get_params(self) -> dict:
         names = list(inspect.signature(type(self).__init__).parameters)[1:]
@@ -29,15 +31,18 @@ class Imputer:
         return self
 
     def fit(self, df: DataFrame, key, columns: Sequence[str] | None = None) -> "Model":
-        key = as_key(key)
-        df = normalise(df, key)
+        outer = list(df.columns)
+        inner = plain_names(outer) if self.plain else {c: c for c in outer}
+        key = [inner[k] for k in as_key(key)]
+        df = normalise(renamed(df, inner), key)
         kinds = column_kinds(df, key)
-        columns = [c for c in (columns or kinds) if kinds[c] in (NUMERICAL, CATEGORICAL)]
+        columns = [c for c in ([inner[c] for c in columns] if columns else kinds) if kinds[c] in (NUMERICAL, CATEGORICAL)]
         missing = count_missing(df, columns) if self.needs_missing else None
         if missing is not None and not missing["*"]:
             raise ValueError("the input has no missing values")
         model = self._fit(df, key, {c: kinds[c] for c in columns}, missing)
         model._bind(df, key, columns, {c: kinds[c] for c in columns})
+        model.outer = outer
         return model
 
     def fit_transform(self, df: DataFrame, key, columns: Sequence[str] | None = None) -> DataFrame:
@@ -57,9 +62,11 @@ class Model:
     def transform(self, df: DataFrame) -> DataFrame:
         if not hasattr(self, "input_columns"):
             raise RuntimeError("the model is not fitted")
-        if list(df.columns) != self.input_columns:
-            raise ValueError(f"columns differ from fit: expected {self.input_columns}, got {list(df.columns)}")
-        return self._transform(normalise(df, self.key)).select(*self.input_columns)
+        if list(df.columns) != self.outer:
+            raise ValueError(f"columns differ from fit: expected {self.outer}, got {list(df.columns)}")
+        inner = dict(zip(self.outer, self.input_columns))
+        out = self._transform(normalise(renamed(df, inner), self.key)).select(*each(self.input_columns))
+        return renamed(out, dict(zip(self.input_columns, self.outer)))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         raise NotImplementedError

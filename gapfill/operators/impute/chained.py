@@ -12,7 +12,6 @@ is cut by a reliable checkpoint after every round.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,13 +19,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import NUMERICAL, cut_lineage, split_kinds
+from gapfill.frames import NUMERICAL, col, cut_lineage, each, split_kinds
 from gapfill.functions.ranks import code_table, literal_code, lookup, sorted_categories, with_code
 from gapfill.functions.vectors import chunks, combine
+from gapfill.operators.boosting import DUMMIES, SQUARED, Boosted, HistogramBooster
 from gapfill.operators.encode import categories, onehot, onehot_decode, ordinal_decode
 from gapfill.operators.impute.base import Imputer, Model
 from gapfill.operators.impute.statistical import column_modes
@@ -123,6 +123,15 @@ def replay(x: np.ndarray, means: np.ndarray, steps: Sequence[LinearStep], h: np.
     return x, before
 
 
+def fill_by_code(df: DataFrame, c: str, code: Column, domain: DataFrame) -> DataFrame:
+    """Gaps of ``c`` become the category of the rounded code, from a joined table of all codes."""
+    table = code_table(domain, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
+    last = table.agg(F.max("__code")).first()[0]
+    at = F.least(F.greatest(F.rint(code), F.lit(0.0)), F.lit(last))
+    df = lookup(df, F.when(col(c).isNull(), at), table, "__code")
+    return df.withColumn(c, F.coalesce(col(c), F.col("__value"))).drop("__code", "__value")
+
+
 class EncodedColumns:
     """Numeric coordinates of a mixed table and the way back.
 
@@ -136,13 +145,13 @@ class EncodedColumns:
         self.names, self.expr, self.owner = [], [], []
         for c, kind in kinds.items():
             if kind == NUMERICAL:
-                parts = [F.col(c).cast("double")]
+                parts = [col(c).cast("double")]
             elif c in self.long:
-                parts = [F.col(f"__code_{c}")]
+                parts = [col(f"__code_{c}")]
             elif encoder == "onehot":
                 parts = onehot(c, values[c])
             else:
-                parts = [literal_code(F.col(c), values[c], fit_frame.schema[c].dataType)]
+                parts = [literal_code(col(c), values[c], fit_frame.schema[c].dataType)]
             for e in parts:
                 self.names.append(f"x{len(self.names)}")
                 self.expr.append(e.alias(self.names[-1]))
@@ -157,16 +166,12 @@ class EncodedColumns:
         """Replace the gaps of ``c`` by what its coordinates say."""
         own = [n for n, o in zip(self.names, self.owner) if o == c]
         if self.kinds[c] == NUMERICAL:
-            return df.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(own[0])))
+            return df.withColumn(c, F.coalesce(col(c).cast("double"), col(own[0])))
         if c not in self.long:
-            scores = [F.col(n) for n in own]
+            scores = [col(n) for n in own]
             guess = onehot_decode(scores, self.values[c]) if self.encoder == "onehot" else ordinal_decode(scores[0], self.values[c])
-            return df.withColumn(c, F.coalesce(F.col(c), guess))
-        table = code_table(self.fit_frame, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
-        last = table.agg(F.max("__code")).first()[0]
-        code = F.least(F.greatest(F.rint(F.col(own[0])), F.lit(0.0)), F.lit(last))
-        df = lookup(df, F.when(F.col(c).isNull(), code), table, "__code")
-        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__code", "__value")
+            return df.withColumn(c, F.coalesce(col(c), guess))
+        return fill_by_code(df, c, col(own[0]), self.fit_frame)
 
 
 class MICEImputer(Imputer):
@@ -193,7 +198,7 @@ class MICEImputer(Imputer):
         p = len(enc.names)
         aggs = []
         for x in enc.names:
-            aggs += [F.avg(x), F.count_if(F.col(x).isNull()), F.max(F.abs(F.col(x)))]
+            aggs += [F.avg(col(x)), F.count_if(col(x).isNull()), F.max(F.abs(col(x)))]
         row = base.agg(*aggs).first()
         model.empty_columns = [enc.owner[j] for j in range(p) if row[3 * j] is None]
         model.means = np.array([row[3 * j] if row[3 * j] is not None else 0.0 for j in range(p)])
@@ -270,7 +275,7 @@ class LinearChainModel(Model):
         self.means = np.zeros(len(enc.names))
 
     def batch_frame(self, df: DataFrame, *extra) -> DataFrame:
-        h = [F.xxhash64(F.lit(self.seed), *self.key).alias("__h")] if self.seed is not None else []
+        h = [F.xxhash64(F.lit(self.seed), *each(self.key)).alias("__h")] if self.seed is not None else []
         return self.enc.prepare(df).select(*extra, *self.enc.expr, *h)
 
     def filler(self):
@@ -314,14 +319,15 @@ class TreeStep:
 class TreeChainImputer(Imputer):
     """Shared engine of the forest and boosting imputers.
 
-    Categories are modelled by a classifier on sorted codes, or by one regressor
-    per dummy column with ``dummy_regression``.
+    Categories enter all models as sorted codes. ``categorical_encoder`` says how they are predicted: ``ordinal`` regresses on the
+    codes and rounds, for any number of categories; ``onehot`` regresses on the dummies and takes the largest; ``classes`` is a
+    classifier.
     """
 
     max_iter = 3
     tol = 1e-3
     seed = 42
-    dummy_regression = False
+    categorical_encoder = "ordinal"
 
     def _regressor(self, seed):
         raise NotImplementedError
@@ -331,13 +337,16 @@ class TreeChainImputer(Imputer):
 
     def _fit(self, df, key, kinds, missing):
         num, cat = split_kinds(kinds)
-        values = {c: categories(df, c) for c in cat}
-        row = df.agg(*[F.avg(c).alias(c) for c in num], *[F.max(F.abs(F.col(c).cast("double"))).alias(f"__max_{c}") for c in num],
+        # only codes need no list of the categories
+        pick = sorted_categories if self.categorical_encoder == "ordinal" else categories
+        values = {c: pick(df, c) for c in cat}
+        row = df.agg(*[F.avg(col(c)).alias(c) for c in num], *[F.max(F.abs(col(c).cast("double"))).alias(f"__max_{c}") for c in num],
                      F.count(F.lit(1)).alias("__n")).first()
         modes = column_modes(df, cat) if cat else {}
-        start = {c: row[c] for c in num if row[c] is not None}
-        start.update({c: float(values[c].index(modes[c])) for c in cat if c in modes})
-        model = TreeChainModel(key, kinds, values, start, self.dummy_regression)
+        model = TreeChainModel(key, kinds, values, df)
+        model.start = {c: row[c] for c in num if row[c] is not None}
+        model.start.update({c: model.code_of(c, modes[c]) for c in cat if c in modes})
+        start = model.start
         model.empty_columns = [c for c in kinds if c not in start]
         usable = [c for c in kinds if c in start]
         order = [c for c in sorted(kinds, key=lambda c: missing[c]) if missing[c] and c in start]
@@ -350,37 +359,36 @@ class TreeChainImputer(Imputer):
             begin = state
             for c in order:
                 inputs = [x for x in usable if x != c]
-                train = VectorAssembler(inputCols=[f"s_{x}" for x in inputs], outputCol="features").transform(
-                    state.where(~F.col(f"g_{c}"))).select("features", F.col(f"s_{c}").alias("label"))
-                if kinds[c] != NUMERICAL:
-                    # the class count is known: without it Spark guesses from the data, up to 100
-                    train = train.withMetadata("label", {"ml_attr": {"type": "nominal", "num_vals": max(2, len(values[c]))}})
-                for step in self._steps(train, r, c, inputs, kinds, values):
+                for step in self._steps(state.where(~col(f"g_{c}")), r, c, inputs, model):
                     model.steps.append(step)
                 state = model.apply(state, [s for s in model.steps if s.round == r and s.column == c])
-            change = F.greatest(*[F.abs(F.col(f"s_{c}") - F.col(f"b_{c}")) for c in order], F.lit(0.0)) if order else F.lit(0.0)
+            change = F.greatest(*[F.abs(col(f"s_{c}") - col(f"b_{c}")) for c in order], F.lit(0.0)) if order else F.lit(0.0)
             state = cut_lineage(state)
             # the state carries the previous round's values in b_ columns
             moved = state.agg(F.max(change)).first()[0] or 0.0
             model.history.append((r, float(moved)))
-            state = state.withColumns({f"b_{c}": F.col(f"s_{c}") for c in usable})
+            state = state.withColumns({f"b_{c}": col(f"s_{c}") for c in usable})
             begin.unpersist()
             if moved < self.tol * scale:
                 break
         model.n_rounds = 1 + max([s.round for s in model.steps], default=-1)
         return model
 
-    def _steps(self, train, r, c, inputs, kinds, values):
-        seed = self.seed + 1000 * r
-        if kinds[c] == NUMERICAL:
+    def _steps(self, rows, r, c, inputs, model):
+        seed, values = self.seed + 1000 * r, model.values.get(c)
+        train = VectorAssembler(inputCols=[f"s_{x}" for x in inputs], outputCol="features").transform(rows).select(
+            "features", col(f"s_{c}").alias("label"))
+        if model.kinds[c] == NUMERICAL or self.categorical_encoder == "ordinal":
             return [TreeStep(r, c, inputs, self._regressor(seed).fit(train))]
-        if len(values[c]) < 2:
+        if len(values) < 2:
             return []
-        if not self.dummy_regression:
+        if self.categorical_encoder == "classes":
+            # the class count is known: without it Spark guesses from the data, up to 100
+            train = train.withMetadata("label", {"ml_attr": {"type": "nominal", "num_vals": max(2, len(values))}})
             return [TreeStep(r, c, inputs, self._classifier(seed).fit(train))]
         train = train.persist()
         steps = [TreeStep(r, c, inputs, self._regressor(seed).fit(
-            train.select("features", (F.col("label") == float(i)).cast("double").alias("label"))), i) for i in range(len(values[c]))]
+            train.select("features", (F.col("label") == float(i)).cast("double").alias("label"))), i) for i in range(len(values))]
         train.unpersist()
         return steps
 
@@ -390,38 +398,54 @@ class TreeChainModel(Model):
 
     CHECKPOINT_STEPS = 12
 
-    def __init__(self, key, kinds, values, start, dummy_regression):
-        self.key, self.kinds, self.values, self.start = key, kinds, values, start
-        self.dummy_regression = dummy_regression
+    def __init__(self, key, kinds, values, fit_frame):
+        self.key, self.kinds, self.values, self.fit_frame = key, kinds, values, fit_frame
+        self.start: dict[str, float] = {}
         self.steps: list[TreeStep] = []
 
+    def long(self, c: str) -> bool:
+        """Too many categories for a list: codes are joined from a table."""
+        return self.kinds[c] != NUMERICAL and self.values[c] is None
+
+    def code_of(self, c: str, value) -> float:
+        if not self.long(c):
+            return float(self.values[c].index(value))
+        return float(code_table(self.fit_frame, c).where(F.col("value") == F.lit(value)).first()["code"])
+
     def initial(self, df: DataFrame, carry: bool = False) -> DataFrame:
         """Key (or with ``carry`` every column), state ``s_``, previous round ``b_`` and gap flag ``g_`` per column."""
-        out = []
+        names, out = list(df.columns), []
         for c in self.start:
-            code = F.col(c).cast("double") if self.kinds[c] == NUMERICAL else literal_code(F.col(c), self.values[c], df.schema[c].dataType)
-            out += [F.coalesce(code, F.lit(self.start[c])).alias(f"s_{c}"),
-                    F.coalesce(code, F.lit(self.start[c])).alias(f"b_{c}"), F.col(c).isNull().alias(f"g_{c}")]
-        return df.select(*(["*"] if carry else self.key), *out)
+            if self.kinds[c] == NUMERICAL:
+                code = col(c).cast("double")
+            elif self.long(c):
+                df, code = with_code(df, c, f"__code_{c}", self.fit_frame), col(f"__code_{c}")
+            else:
+                code = literal_code(col(c), self.values[c], df.schema[c].dataType)
+            filled = F.coalesce(code, F.lit(self.start[c]))
+            out += [filled.alias(f"s_{c}"), filled.alias(f"b_{c}"), col(c).isNull().alias(f"g_{c}")]
+        return df.select(*each(names if carry else self.key), *out)
 
     def apply(self, state: DataFrame, steps: list[TreeStep]) -> DataFrame:
         if not steps:
             return state
         c, keep = steps[0].column, state.columns
-        out = VectorAssembler(inputCols=[f"s_{x}" for x in steps[0].inputs], outputCol="features").transform(state)
-        for s in steps:
-            m = s.model.copy()
-            m.setPredictionCol(f"__p{s.dummy or 0}")
-            if hasattr(m, "setRawPredictionCol"):
-                m.setRawPredictionCol("__raw").setProbabilityCol("__prob")
-            out = m.transform(out)
-        if steps[0].dummy is None:
-            predicted = F.col("__p0")
+        if isinstance(steps[0].model, Boosted):
+            out, predicted = state, steps[0].model.column([col(f"s_{x}") for x in steps[0].inputs])
         else:
-            votes = F.array(*[F.col(f"__p{s.dummy}") for s in steps])
-            predicted = (F.array_position(votes, F.array_max(votes)) - 1).cast("double")
-        out = out.withColumn(f"s_{c}", F.when(F.col(f"g_{c}"), predicted).otherwise(F.col(f"s_{c}")))
-        return out.select(*keep)
+            out = VectorAssembler(inputCols=[f"s_{x}" for x in steps[0].inputs], outputCol="features").transform(state)
+            for s in steps:
+                m = s.model.copy()
+                m.setPredictionCol(f"__p{s.dummy or 0}")
+                if hasattr(m, "setRawPredictionCol"):
+                    m.setRawPredictionCol("__raw").setProbabilityCol("__prob")
+                out = m.transform(out)
+            predicted = F.col("__p0")
+            if steps[0].dummy is not None:
+                votes = F.array(*[col(f"__p{s.dummy}") for s in steps])
+                predicted = (F.array_position(votes, F.array_max(votes)) - 1).cast("double")
+        out = out.withColumn(f"s_{c}", F.when(col(f"g_{c}"), predicted).otherwise(col(f"s_{c}")))
+        return out.select(*each(keep))
 
     def _transform(self, df):
         state = self.initial(df, carry=True)
@@ -438,10 +462,12 @@ class TreeChainModel(Model):
         fills = {}
         for c in self.start:
             if self.kinds[c] == NUMERICAL:
-                fills[c] = F.coalesce(F.col(c).cast("double"), F.col(f"s_{c}"))
+                fills[c] = F.coalesce(col(c).cast("double"), col(f"s_{c}"))
+            elif not self.long(c):
+                fills[c] = F.coalesce(col(c), ordinal_decode(col(f"s_{c}"), self.values[c]))
             else:
-                fills[c] = F.coalesce(F.col(c), ordinal_decode(F.col(f"s_{c}"), self.values[c]))
-        return state.withColumns(fills).select(*df.columns)
+                state = fill_by_code(state, c, col(f"s_{c}"), self.fit_frame)
+        return state.withColumns(fills).select(*each(df.columns))
 
 
 def _subset(max_features) -> str:
@@ -453,24 +479,27 @@ def _subset(max_features) -> str:
     return {"sqrt": "sqrt", "log2": "log2", None: "all"}[max_features]
 
 
+ENCODERS = ("onehot", "ordinal", "classes")
+
+
 class MissForestImputer(TreeChainImputer):
     """Chained random forests.
 
     Spark trees need a depth bound; the default is the largest it takes. ``max_bins`` is the number of split candidates
-    of a feature. Categories enter other columns' models as ordinals; with ``categorical_encoder='onehot'`` a category is
-    predicted dummy by dummy.
+    of a feature. ``onehot`` costs one forest per category, so the default predicts categories by one classifier.
     """
 
     def __init__(self, n_estimators: int = 100, max_iter: int = 10, max_features="sqrt", min_samples_leaf: int = 1,
                  max_depth: int = 30, tol: float = 1e-3, seed: int = 42, dummy_regression: bool = False, max_bins: int = 32,
-                 categorical_encoder: str = "ordinal"):
-        if categorical_encoder not in ("ordinal", "onehot"):
-            raise ValueError("categorical_encoder is 'ordinal' or 'onehot'")
-        dummy_regression = dummy_regression or categorical_encoder == "onehot"
+                 categorical_encoder: str = "classes"):
+        if categorical_encoder not in ENCODERS:
+            raise ValueError(f"categorical_encoder is one of {ENCODERS}")
+        # the longer name of the same choice
+        categorical_encoder = "onehot" if dummy_regression else categorical_encoder
+        self.dummy_regression = categorical_encoder == "onehot"
         self.max_bins, self.categorical_encoder = max_bins, categorical_encoder
         self.n_estimators, self.max_iter, self.max_features = n_estimators, max_iter, max_features
         self.min_samples_leaf, self.max_depth, self.tol, self.seed = min_samples_leaf, max_depth, tol, seed
-        self.dummy_regression = dummy_regression
 
     def _options(self, seed):
         return dict(numTrees=self.n_estimators, featureSubsetStrategy=_subset(self.max_features),
@@ -484,27 +513,28 @@ class MissForestImputer(TreeChainImputer):
 
 
 class XGBoostImputer(TreeChainImputer):
-    """Chained boosted trees.
+    """Chained histogram boosting with an L2 penalty of leaf values.
 
-    Spark boosting has no L2 leaf penalty: ``reg_lambda`` is accepted, has no effect, and a warning says so;
-    ``min_gain`` is the nearest knob. ``categorical_encoder`` is accepted likewise: features are always ordinals.
-    Categories are boosted one dummy at a time, as Spark boosts two classes only.
+    ``onehot`` trains the dummies of a category together, one tree each per round; ``ordinal`` one tree on the codes, for any number of
+    categories.
     """
 
     def __init__(self, n_estimators: int = 100, max_depth: int = 4, learning_rate: float = 0.1, subsample: float = 0.8,
-                 colsample_bytree: float = 0.8, min_gain: float = 0.0, max_iter: int = 10, tol: float = 1e-3, seed: int = 42,
-                 max_bins: int = 32, reg_lambda: float | None = None, categorical_encoder: str = "ordinal"):
-        if categorical_encoder not in ("ordinal", "onehot"):
-            raise ValueError("categorical_encoder is 'ordinal' or 'onehot'")
-        if reg_lambda:
-            warnings.warn("Spark boosted trees have no L2 leaf penalty: reg_lambda has no effect, see min_gain", stacklevel=2)
+                 colsample_bytree: float = 0.8, reg_lambda: float = 1.0, min_gain: float = 0.0, max_iter: int = 10, tol: float = 1e-3,
+                 seed: int = 42, max_bins: int = 255, categorical_encoder: str = "onehot"):
+        if categorical_encoder not in ("onehot", "ordinal"):
+            raise ValueError("categorical_encoder is 'onehot' or 'ordinal'")
         self.max_bins, self.reg_lambda, self.categorical_encoder = max_bins, reg_lambda, categorical_encoder
         self.n_estimators, self.max_depth, self.learning_rate = n_estimators, max_depth, learning_rate
         self.subsample, self.colsample_bytree, self.min_gain = subsample, colsample_bytree, min_gain
         self.max_iter, self.tol, self.seed = max_iter, tol, seed
-        self.dummy_regression = True
 
-    def _regressor(self, seed):
-        return GBTRegressor(maxIter=self.n_estimators, maxDepth=self.max_depth, stepSize=self.learning_rate,
-                            subsamplingRate=self.subsample, featureSubsetStrategy=_subset(self.colsample_bytree),
-                            minInfoGain=self.min_gain, maxBins=self.max_bins, seed=seed)
+    def _steps(self, rows, r, c, inputs, model):
+        dummies = model.kinds[c] != NUMERICAL and self.categorical_encoder == "onehot"
+        booster = HistogramBooster(self.n_estimators, self.max_depth, self.learning_rate, self.reg_lambda, self.min_gain, subsample=self.subsample,
+                                   colsample=self.colsample_bytree, max_bins=self.max_bins, seed=self.seed + 1000 * r)
+        kind, classes = (DUMMIES, len(model.values[c])) if dummies else (SQUARED, 1)
+        if dummies and classes < 2:
+            return []
+        fit = booster.fit(rows, [[col(f"s_{x}") for x in inputs]], col(f"s_{c}"), each(model.key), kind, classes)
+        return [TreeStep(r, c, inputs, fit)]

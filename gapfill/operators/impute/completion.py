@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import as_key, column_kinds, cut_lineage, normalise
+from gapfill.frames import as_key, col, column_kinds, cut_lineage, each, normalise, plain_names, quoted, renamed
 from gapfill.functions.jsontext import extract_value, numeric_columns, prompt_text
 from gapfill.functions.ranks import default_buckets
 from gapfill.operators.impute.base import Imputer, Model
@@ -47,6 +47,7 @@ class CompletionImputer(Imputer):
     """Retries escalate per cell: attempt ``i`` uses the ``i``-th temperature and top-k."""
 
     needs_missing = False
+    plain = False
 
     def __init__(self, complete: Completer, max_retries: int = 3, temperature: float | None = None, top_k: int | None = None,
                  retry_temperatures: Sequence[float] = (0.4, 0.7, 1.0), retry_top_ks: Sequence[int] = (100, 200, 0)):
@@ -85,8 +86,8 @@ class CompletionModel(Model):
     def _rounds(self, df):
         cols, key, limit = self.columns, self.key, self.params["max_retries"]
         types = {c: df.schema[c].dataType for c in cols}
-        state = df.select(*df.columns, *[F.lit(0).alias(f"__a_{c}") for c in cols], F.lit(False).alias("__filled"))
-        gaps = sum((F.col(c).isNull().cast("bigint") for c in cols), F.lit(0))
+        state = df.select(*each(df.columns), *[F.lit(0).alias(f"__a_{c}") for c in cols], F.lit(False).alias("__filled"))
+        gaps = sum((col(c).isNull().cast("bigint") for c in cols), F.lit(0))
         row = df.agg(F.count_if(gaps > 0).alias("rows"), F.sum(gaps).alias("cells")).first()
         rows_total, cells_total = row["rows"], row["cells"] or 0
         done, self.steps = [], []
@@ -95,7 +96,7 @@ class CompletionModel(Model):
         state = state.withColumn("target", attempt.next_target)
         done.append(state.where(F.col("target").isNull()))
         # completing is the heavy part, whatever the table's size in bytes
-        state = state.where(F.col("target").isNotNull()).repartition(default_buckets(df), *key)
+        state = state.where(F.col("target").isNotNull()).repartition(default_buckets(df), *each(key))
         number = 0
         while True:
             state = cut_lineage(attempt.run(state))
@@ -113,9 +114,9 @@ class CompletionModel(Model):
             state = state.where(F.col("target").isNotNull())
             if not s["open"]:
                 break
-        out = done[0].select(*df.columns)
+        out = done[0].select(*each(df.columns))
         for part in done[1:]:
-            out = out.unionByName(part.select(*df.columns))
+            out = out.unionByName(part.select(*each(df.columns)))
         self.result = out
 
     def _attempt(self, df, cols, types, limit) -> "Attempt":
@@ -131,7 +132,7 @@ class CompletionModel(Model):
             for texts in complete(prompts()):
                 yield held.pop(0).assign(completed=list(texts))
 
-        target, count = F.col("target"), {c: F.col(f"__a_{c}") for c in cols}
+        target, count = F.col("target"), {c: col(f"__a_{c}") for c in cols}
         settings = {"temperature": self._escalated(self.params["retry_temperatures"], self.params["temperature"], "double"),
                     "top_k": self._escalated(self.params["retry_top_ks"], self.params["top_k"], "int")}
         asked = {"prompt": prompt_text(df, cols, target), "attempt": F.coalesce(*[F.when(target == c, a) for c, a in count.items()])}
@@ -143,10 +144,10 @@ class CompletionModel(Model):
         for c in cols:
             mine, text = target == c, F.col("__value")
             typed = text.try_cast("double").cast(types[c]) if types[c].simpleString() in whole else text.try_cast(types[c])
-            after[c] = F.when(mine & filled, typed).otherwise(F.col(c))
+            after[c] = F.when(mine & filled, typed).otherwise(col(c))
             after[f"__a_{c}"] = F.when(mine & ~filled, count[c] + 1).otherwise(count[c])
         keep = [*df.columns, *[f"__a_{c}" for c in cols]]
-        nxt = F.coalesce(*[F.when(F.col(c).isNull() & (count[c] <= limit), F.lit(c)) for c in cols])
+        nxt = F.coalesce(*[F.when(col(c).isNull() & (count[c] <= limit), F.lit(c)) for c in cols])
         return Attempt(run, asked, settings, value, after, keep, nxt)
 
 
@@ -163,10 +164,12 @@ class Attempt:
     next_target: Column
 
     def run(self, state: DataFrame) -> DataFrame:
-        asked = state.select(*self.keep, "target", *[e.alias(n) for n, e in self.asked.items()]).withColumns(self.settings)
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema.fields) + ", completed string"
-        got = asked.mapInPandas(self.complete, ddl).withColumn("__value", self.value).withColumns(self.after)
-        return got.select(*self.keep, "__filled", "__gave_up").withColumn("target", self.next_target)
+        asked = state.select(*each(self.keep), "target", *[e.alias(n) for n, e in self.asked.items()]).withColumns(self.settings)
+        # the way through Python takes no names with dots
+        inner = plain_names(asked.columns)
+        ddl = ", ".join(f"{quoted(inner[f.name])} {f.dataType.simpleString()}" for f in asked.schema.fields) + ", completed string"
+        got = renamed(asked, inner).mapInPandas(self.complete, ddl).toDF(*asked.columns, "completed").withColumn("__value", self.value).withColumns(self.after)
+        return got.select(*each(self.keep), "__filled", "__gave_up").withColumn("target", self.next_target)
 
 
 def fill_by_completion(df: DataFrame, key, complete: Completer, **options) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapfill.frames import NUMERICAL, split_kinds
+from gapfill.frames import NUMERICAL, col, each, split_kinds
 from gapfill.functions.rand import uniform
 from gapfill.functions.ranks import code_table, default_buckets, literal_code, lookup, sorted_categories, with_code
 from gapfill.operators.impute.base import Imputer, Model
@@ -227,14 +227,14 @@ class KNNImputer(Imputer):
         widths = dict.fromkeys(kinds, 1)
         if onehot:
             for c in cat:
-                n = len(values[c]) if values[c] is not None else df.select(c).where(F.col(c).isNotNull()).distinct().count()
+                n = len(values[c]) if values[c] is not None else df.select(col(c)).where(col(c).isNotNull()).distinct().count()
                 widths[c] = max(1, n)
         model = KNNModel(self.get_params(), Space(list(kinds), widths, set(cat) if onehot else set()), values)
         model.fit_frame, model.key, model.kinds = df, key, kinds
         n = df.count()
         model.fits = n * 8 * (len(kinds) + len(key)) <= self.max_broadcast_bytes
         encoded = model.encode(df)
-        row = encoded.agg(*[F.avg(c).alias(c) for c in kinds]).first()
+        row = encoded.agg(*[F.avg(col(c)).alias(c) for c in kinds]).first()
         model.means = {c: row[c] for c in kinds if row[c] is not None}
         model.mode_codes = _mode_codes(encoded, cat) if cat and onehot else {}
         model.empty_columns = [c for c in kinds if row[c] is None]
@@ -250,24 +250,24 @@ class KNNModel(Model):
 
     def encode(self, df: DataFrame) -> DataFrame:
         """Key and numeric coordinates; categories by their position among the fitted ones."""
-        out = df.select(*self.key, *self.kinds)
+        out = df.select(*each(self.key), *each(self.kinds))
         for c, kind in self.kinds.items():
             if kind == NUMERICAL:
-                out = out.withColumn(c, F.col(c).cast("double"))
+                out = out.withColumn(c, col(c).cast("double"))
             elif self.values[c] is not None:
-                out = out.withColumn(c, literal_code(F.col(c), self.values[c], df.schema[c].dataType))
+                out = out.withColumn(c, literal_code(col(c), self.values[c], df.schema[c].dataType))
             else:
                 out = with_code(out, c, "__code", self.fit_frame).drop(c).withColumnRenamed("__code", c)
-        return out.select(*self.key, *self.kinds)
+        return out.select(*each(self.key), *each(self.kinds))
 
     def _transform(self, df):
         targets = [c for c in self.kinds if c not in self.empty_columns]
-        gaps = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in targets])
+        gaps = reduce(lambda a, b: a | b, [col(c).isNull() for c in targets])
         recipients = self.encode(df.where(gaps))
         # a category the model never saw has no code, but it is not a gap
-        flags = df.where(gaps).select(*self.key, *[F.col(c).isNull().alias(f"__gap_{c}") for c in targets])
+        flags = df.where(gaps).select(*each(self.key), *[col(c).isNull().alias(f"__gap_{c}") for c in targets])
         recipients = recipients.join(flags, self.key) if any(k != NUMERICAL for k in self.kinds.values()) else \
-            recipients.withColumns({f"__gap_{c}": F.col(c).isNull() for c in targets})
+            recipients.withColumns({f"__gap_{c}": col(c).isNull() for c in targets})
         donors = self.encode(self.fit_frame)
         found = self._by_broadcast(recipients, donors, targets) if self.fits else \
             self._by_boxes(recipients, donors, targets)
@@ -306,37 +306,37 @@ class KNNModel(Model):
 
         key_ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in recipients.schema.fields if f.name in key)
         # few bytes, much arithmetic: a fixed number of partitions keeps adaptive execution from merging them
-        spread = recipients.repartition(default_buckets(recipients), *self.key)
+        spread = recipients.repartition(default_buckets(recipients), *each(self.key))
         return spread.mapInPandas(run, key_ddl + "".join(f", `__nn_{t}` {NEIGHBOURS}" for t in targets))
 
     # --- donors in boxes ---
 
     def _by_boxes(self, recipients, donors, targets):
-        found = recipients.select(*self.key)
+        found = recipients.select(*each(self.key))
         for t in targets:
-            hits = self._neighbours(recipients.where(F.col(f"__gap_{t}")), donors.where(F.col(t).isNotNull()), t)
+            hits = self._neighbours(recipients.where(col(f"__gap_{t}")), donors.where(col(t).isNotNull()), t)
             found = found.join(hits, self.key, "left")
         return found
 
     def _neighbours(self, recipients: DataFrame, donors: DataFrame, target: str) -> DataFrame:
         """(key, __nn_<target>) through the two rounds of box visits."""
         space, k, features = self.space, self.k, self.space.without(target)
-        nothing = recipients.select(*self.key, F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
+        nothing = recipients.select(*each(self.key), F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
         if not features:
             return nothing
         dkeys = [f"__d{i}" for i in range(len(self.key))]
         # Only the k smallest keys among donors with equal coordinates can ever be chosen.
-        first = Window.partitionBy(*features).orderBy(*self.key)
-        donors = (donors.select(*[F.col(c).alias(d) for c, d in zip(self.key, dkeys)], *self.key,
-                                *features, F.col(target).alias("value"))
+        first = Window.partitionBy(*each(features)).orderBy(*each(self.key))
+        donors = (donors.select(*[col(c).alias(d) for c, d in zip(self.key, dkeys)], *each(self.key),
+                                *each(features), col(target).alias("value"))
                   .withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= k).drop("__rn", *self.key))
         # Recipients with equal coordinates share their neighbours.
         rep = F.struct(*self.key)
-        distinct = recipients.groupBy(*features).agg(F.min(rep).alias("rep")).persist()
+        distinct = recipients.groupBy(*each(features)).agg(F.min(rep).alias("rep")).persist()
         n = donors.count()
         leaves = max(1, min(self.params["max_boxes"], -(-n // self.params["box_rows"])))
         wanted = max(TREE_SAMPLE, TREE_SAMPLE_PER_BOX * leaves)
-        sample = donors.where(uniform(0, "tree", dkeys) < min(1.0, wanted / max(1, n))).select(*features).toPandas()
+        sample = donors.where(uniform(0, "tree", dkeys) < min(1.0, wanted / max(1, n))).select(*each(features)).toPandas()
         tree = build_tree(space, features, sample.to_numpy(dtype=float), leaves)
         spark = recipients.sparkSession
         shared_tree = spark.sparkContext.broadcast(tree)
@@ -349,8 +349,8 @@ class KNNModel(Model):
                   else donors.withColumn("cell", F.lit(0))).persist()
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(features):
-            aggs += [F.min(c).alias(f"lo_{i}"), F.max(c).alias(f"hi_{i}"),
-                     (F.count(c) == F.count(F.lit(1))).alias(f"full_{i}")]
+            aggs += [F.min(col(c)).alias(f"lo_{i}"), F.max(col(c)).alias(f"hi_{i}"),
+                     (F.count(col(c)) == F.count(F.lit(1))).alias(f"full_{i}")]
         boxes = Boxes(donors.groupBy("cell").agg(*aggs).toPandas(), len(features), len(tree[0]), self.params["box_rows"])
         if not boxes.n[0]:
             return nothing
@@ -381,7 +381,7 @@ class KNNModel(Model):
                     new = (cell[rows] != leaf) | (chunk[rows] != part)
                     yield pdf.iloc[rows[new]].drop(columns="radius").assign(cell=leaf[new], chunk=part[new])
 
-        asked = round1.where("last").select("rep", *features, "cell", "chunk", "radius")
+        asked = round1.where("last").select("rep", *each(features), "cell", "chunk", "radius")
         second_visit = asked.mapInPandas(rest, _ddl(asked.drop("radius")))
         round2 = self._match(second_visit, donors, features, dkeys, carry=False)
         hits = round1.where(F.col("d2").isNotNull()).select("rep", *dkeys, "d2", "value").unionByName(round2)
@@ -390,9 +390,9 @@ class KNNModel(Model):
         # at most k neighbours per group
         lists = hits.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "d2", "value"))),
                                                     lambda s: F.struct(s["d2"].alias("d2"), s["value"].alias("value"))).alias("nn"))
-        known = distinct.join(lists, "rep").select(*[F.col(c).alias(f"__f_{c}") for c in features], "nn")
-        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__f_{c}")) for c in features], F.lit(True))
-        return recipients.join(known, same, "left").select(*self.key, F.col("nn").alias(f"__nn_{target}"))
+        known = distinct.join(lists, "rep").select(*[col(c).alias(f"__f_{c}") for c in features], "nn")
+        same = reduce(lambda a, b: a & b, [col(c).eqNullSafe(col(f"__f_{c}")) for c in features], F.lit(True))
+        return recipients.join(known, same, "left").select(*each(self.key), F.col("nn").alias(f"__nn_{target}"))
 
     def _match(self, visits: DataFrame, donors: DataFrame, features, dkeys, carry: bool) -> DataFrame:
         """Search every visited (box, chunk); crowded ones are salted by visitor."""
@@ -403,7 +403,7 @@ class KNNModel(Model):
         donors = donors.join(crowd, unit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
         names = [f"k{i}" for i in range(len(self.key))]
         # struct keys travel as plain columns through Arrow
-        flat = visits.select(*[F.col("rep")[c].alias(n) for c, n in zip(self.key, names)], *features, *unit, "salt")
+        flat = visits.select(*[F.col("rep")[c].alias(n) for c, n in zip(self.key, names)], *each(features), *unit, "salt")
         types = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
         dtypes = {f.name: f.dataType.simpleString() for f in donors.schema.fields}
         out_cols = [*names, *dkeys, "d2", "value"] + ([*features, "cell", "chunk", "radius", "last"] if carry else [])
@@ -437,7 +437,7 @@ class KNNModel(Model):
         unit = [*unit, "salt"]
         left, right = (f.repartition(self.search_partitions, *unit) for f in (flat, donors))
         got = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(run, ddl)
-        rep = F.struct(*[F.col(n).alias(c) for c, n in zip(self.key, names)]).alias("rep")
+        rep = F.struct(*[col(n).alias(c) for c, n in zip(self.key, names)]).alias("rep")
         rest = [c for c in out_cols if c not in names]
         return got.select(rep, *rest)
 
@@ -470,10 +470,10 @@ class KNNModel(Model):
         return F.when(F.size(nn) > 0, F.get(codes, (F.array_position(votes, F.array_max(votes)) - 1).cast("int")))
 
     def _fill(self, df: DataFrame, c: str) -> DataFrame:
-        nn = F.col(f"__nn_{c}")
+        nn = col(f"__nn_{c}")
         if self.kinds[c] == NUMERICAL:
             value = F.coalesce(self._average(nn, lambda v: v), F.lit(self.means[c]))
-            return df.withColumn(c, F.coalesce(F.col(c).cast("double"), value))
+            return df.withColumn(c, F.coalesce(col(c).cast("double"), value))
         if c in self.space.blocks:
             code = F.coalesce(self._vote(nn), F.lit(self.mode_codes.get(c)))
         else:
@@ -482,10 +482,10 @@ class KNNModel(Model):
         if values is not None:
             # averages and votes never leave the range of the codes
             found = F.get(F.array(*[F.lit(v) for v in values]), code.cast("int"))
-            return df.withColumn(c, F.coalesce(F.col(c), found))
+            return df.withColumn(c, F.coalesce(col(c), found))
         table = code_table(self.fit_frame, c).select(F.col("value").alias("__value"), F.col("code").cast("double").alias("__code"))
-        df = lookup(df, F.when(F.col(c).isNull(), code), table, "__code")
-        return df.withColumn(c, F.coalesce(F.col(c), F.col("__value"))).drop("__code", "__value")
+        df = lookup(df, F.when(col(c).isNull(), code), table, "__code")
+        return df.withColumn(c, F.coalesce(col(c), F.col("__value"))).drop("__code", "__value")
 
 
 def _mode_codes(encoded: DataFrame, columns: Sequence[str]) -> dict[str, float]:

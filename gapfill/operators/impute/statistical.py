@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapfill.frames import any_missing, preserve_observed, split_kinds
+from gapfill.frames import any_missing, col, preserve_observed, split_kinds
 from gapfill.operators.impute.base import Imputer, Model
 
 SKETCH_ACCURACY = 100_000
@@ -17,7 +17,7 @@ SKETCH_ACCURACY = 100_000
 
 def long_values(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
     """(column, value) for the observed cells of ``columns``."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast(cast).alias("value")) for c in columns])
     return df.select(F.inline(cells)).where(F.col("value").isNotNull())
 
 
@@ -47,15 +47,15 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     probs = F.array(F.lit(0.5 - slack), F.lit(0.5 + slack))
     aggs = []
     for c in columns:
-        aggs += [F.count(c).alias(f"n_{c}"),
-                 F.percentile_approx(F.col(c).cast("double"), probs, SKETCH_ACCURACY).alias(f"q_{c}")]
+        aggs += [F.count(col(c)).alias(f"n_{c}"),
+                 F.percentile_approx(col(c).cast("double"), probs, SKETCH_ACCURACY).alias(f"q_{c}")]
     row = df.agg(*aggs).first()
     live = [c for c in columns if row[f"n_{c}"]]
     if not live:
         return {}
-    below = [F.count_if(F.col(c).cast("double") < row[f"q_{c}"][0]).alias(f"b_{c}") for c in live]
+    below = [F.count_if(col(c).cast("double") < row[f"q_{c}"][0]).alias(f"b_{c}") for c in live]
     base = df.agg(*below).first()
-    inside = df.select(*[F.when(F.col(c).cast("double").between(*row[f"q_{c}"]), F.col(c)).alias(c) for c in live])
+    inside = df.select(*[F.when(col(c).cast("double").between(*row[f"q_{c}"]), col(c)).alias(c) for c in live])
     counts = long_values(inside, live, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     upto = counts.withColumn("upto", F.sum("n").over(order))
@@ -83,7 +83,7 @@ class StatisticalImputer(Imputer):
         num, cat = split_kinds(kinds)
         fills: dict[str, object] = {}
         exact_median = self.numeric_strategy == "median" and not self.approx
-        middle = F.avg if self.numeric_strategy == "mean" else (lambda c: F.percentile_approx(c, 0.5, 10000))
+        middle = F.avg if self.numeric_strategy == "mean" else (lambda c: F.percentile_approx(col(c), 0.5, 10000))
         aggs = [F.count_if(any_missing(list(kinds))).alias("__gaps")]
         aggs += [middle(c).alias(c) for c in num if not exact_median]
         row = df.agg(*aggs).first()
@@ -113,7 +113,7 @@ class StatisticalModel(Model):
             if self.kinds[c] == "numerical" and types[c] in whole and self.round_integers:
                 out[c] = F.lit(round(v)).cast(types[c])
             elif self.kinds[c] == "numerical" and types[c] in whole:
-                df = df.withColumn(c, F.col(c).cast("double"))
+                df = df.withColumn(c, col(c).cast("double"))
                 out[c] = F.lit(v)
             else:
                 out[c] = F.lit(v)

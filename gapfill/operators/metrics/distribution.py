@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapfill.frames import quoted, quoted_text
+from gapfill.frames import col, quoted, quoted_text
 from gapfill.operators.metrics.reconstruction import with_average
 from gapfill.operators.moments import (MAX_EXPRESSION_COLUMNS, covariance_expressions, covariance_matrix, covariances)
 
@@ -72,7 +72,7 @@ def _bounds(pair: DataFrame, columns: Sequence[str], buckets: int) -> dict[str,
     if buckets <= 1:
         return {c: [] for c in columns}
     probs = F.array(*[F.lit(j / buckets) for j in range(1, buckets)])
-    row = pair.agg(*[F.percentile_approx(F.col(f"{c}__true").cast("double"), probs, 10 * buckets).alias(c)
+    row = pair.agg(*[F.percentile_approx(col(f"{c}__true").cast("double"), probs, 10 * buckets).alias(c)
                      for c in columns]).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
@@ -241,7 +241,7 @@ def evaluate_distribution(pair: DataFrame, numeric: Sequence[str], categorical:
         chosen = {c: stats[c] for c in live}
         kw = ks_wasserstein(pair, live, chosen)
         parts.append(kw.select(F.inline(F.array(*[
-            F.struct(F.lit(FAMILY).alias("family"), F.lit(m).alias("metric"), F.col("column"), F.col(m).alias("value"))
+            F.struct(F.lit(FAMILY).alias("family"), F.lit(m).alias("metric"), F.col("column"), col(m).alias("value"))
             for m in ("wasserstein_distance", "ks_statistic")]))))
         parts.append(kl_numeric(pair, live, chosen).select(
             F.lit(FAMILY).alias("family"), F.lit("kl_divergence_numeric").alias("metric"), "column",

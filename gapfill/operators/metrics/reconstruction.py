@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import quoted, quoted_text
+from gapfill.frames import col, quoted, quoted_text
 
 FAMILY = "reconstruction"
 EMPTY = "family string, metric string, column string, value double"
@@ -80,6 +80,6 @@ def evaluate_reconstruction(pair: DataFrame, numeric: Sequence[str], categorical
 def unfilled_cells(pair: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, n_masked, n_unfilled) for reporting cells an imputer left empty."""
     wide = reconstruction_wide(pair, [], columns)
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("n_masked"),
-                      F.col(f"u_{c}").alias("n_unfilled")) for c in columns]
+    cells = [F.struct(F.lit(c).alias("column"), col(f"n_{c}").alias("n_masked"),
+                      col(f"u_{c}").alias("n_unfilled")) for c in columns]
     return wide.select(F.inline(F.array(*cells)))

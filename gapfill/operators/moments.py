@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import quoted
+from gapfill.frames import col, quoted
 from gapfill.functions.vectors import chunks, combine
 
 MAX_EXPRESSION_COLUMNS = 12
@@ -45,7 +45,7 @@ def covariances(df: DataFrame, groups: Sequence[Sequence[str]]) -> list[list[lis
 
 def wide_covariance(df: DataFrame, columns: Sequence[str]) -> list[list[float | None]]:
     """Many columns: every task adds up its centred Gram matrix, Spark adds the tasks."""
-    centre = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    centre = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
     shift = np.array([v if v is not None else 0.0 for v in centre], dtype=float)
     p = len(columns)
 
@@ -59,7 +59,7 @@ def wide_covariance(df: DataFrame, columns: Sequence[str]) -> list[list[float |
             total += z.T @ z
         yield pd.DataFrame(chunks(np.concatenate([total.ravel(), gaps])), columns=["chunk", "part"])
 
-    doubles = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    doubles = df.select(*[col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     flat, _ = combine(doubles.mapInPandas(gram, "chunk int, part array<double>"))
     g, gaps = flat[: (p + 1) ** 2].reshape(p + 1, p + 1), flat[(p + 1) ** 2:]
     n = g[0, 0]

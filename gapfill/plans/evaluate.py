@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gapfill.frames import as_key, check_same_rows, column_kinds, normalise, pair_frames, split_kinds
+from gapfill.frames import as_key, check_same_rows, col, column_kinds, normalise, pair_frames, split_kinds
 from gapfill.operators.metrics.distribution import evaluate_distribution
 from gapfill.operators.metrics.predictive import predictive_comparison
 from gapfill.operators.metrics.reconstruction import evaluate_reconstruction
@@ -67,7 +67,7 @@ def evaluate_pair(pair: DataFrame, numeric: Sequence[str], categorical: Sequence
 def evaluate(*, X: DataFrame, X_imputed: DataFrame, key, missing_mask: DataFrame | None = None,
              X_missing: DataFrame | None = None, y: DataFrame | None = None, target: str | None = None,
              estimator=None, columns: Sequence[str] | None = None, n_folds: int = 10, seed: int = 42,
-             max_iter: int = 20) -> EvaluationResults:
+             max_iter: int = 100) -> EvaluationResults:
     """Score a filled table against the original.
 
     The three tables are joined once on the key; the paired frame is what every
@@ -136,7 +136,7 @@ def scores(metrics: DataFrame, predictive: DataFrame | None = None) -> DataFrame
         return base.withColumn("overall", parts / 2.0)
     # one row from each side, folded into one
     both = base.unionByName(predictive_scores(predictive), allowMissingColumns=True)
-    both = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    both = both.agg(*[F.max(col(c)).alias(c) for c in both.columns])
     return both.withColumn("overall", (parts + F.col("overall_predictive")) / 3.0)
 
 
@@ -158,7 +158,7 @@ def nested_json(metrics: DataFrame, predictive: DataFrame | None = None, digits:
 
     docs = docs.select("family", as_object(F.col("doc")).alias("j"))
     s = scores(metrics, predictive)
-    summary = F.to_json(F.struct(*[rounded(F.col(c)).alias(c) for c in s.columns]))
+    summary = F.to_json(F.struct(*[rounded(col(c)).alias(c) for c in s.columns]))
     docs = docs.unionByName(s.select(F.lit("summaries").alias("family"), summary.alias("j")))
     if predictive is not None:
         p = predictive.groupBy("frame").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapfill.frames import column_kinds, mask_name, split_kinds
+from gapfill.frames import col, column_kinds, each, mask_name, split_kinds
 from gapfill.operators.ampute import PatternConfig, ampute
 from gapfill.operators.impute.base import Imputer
 from gapfill.operators.metrics.predictive import predictive_comparison
@@ -94,7 +94,7 @@ def progress_rollup(grid: DataFrame, results: DataFrame) -> DataFrame:
 def listing(grid: DataFrame) -> DataFrame:
     """Per pool: what would run. The option lists are short by construction."""
     def names(c, order=F.array_sort):
-        return F.array_join(F.transform(order(F.collect_set(c)), lambda x: x.cast("string")), ", ")
+        return F.array_join(F.transform(order(F.collect_set(col(c))), lambda x: x.cast("string")), ", ")
     return grid.groupBy("pool").agg(F.count(F.lit(1)).alias("experiments"), names("imputer").alias("imputers"),
                                     names("scenario").alias("scenarios"), names("rate").alias("rates"),
                                     names("seed").alias("seeds"))
@@ -103,10 +103,10 @@ def listing(grid: DataFrame) -> DataFrame:
 def leaderboard(results: DataFrame, by: Sequence[str] = ("mechanism", "rate"), score: str = "overall") -> DataFrame:
     """Mean and spread of the runs' scores per imputer, ranked inside each group; a run's score is the mean of its evaluation seeds."""
     own = list(dict.fromkeys([*RUN_KEY, *by]))
-    runs = results.where(F.col("status") == "ok").groupBy(*own).agg(F.avg(score).alias(score))
-    board = runs.groupBy("imputer", *by).agg(
+    runs = results.where(F.col("status") == "ok").groupBy(*each(own)).agg(F.avg(score).alias(score))
+    board = runs.groupBy("imputer", *each(by)).agg(
         F.avg(score).alias("mean_score"), F.stddev_pop(score).alias("std_score"), F.count(score).alias("runs"))
-    place = Window.partitionBy(*by).orderBy(F.col("mean_score").desc_nulls_last())
+    place = Window.partitionBy(*each(by)).orderBy(F.col("mean_score").desc_nulls_last())
     return board.withColumn("place", F.rank().over(place))
 
 
@@ -135,11 +135,11 @@ def run_experiment(spark: SparkSession, catalog: Catalog, scenario: Scenario, im
     kinds = column_kinds(features, key)
     columns = list(columns or [c for c, k in kinds.items() if k != "temporal"])
     numeric, categorical = split_kinds({c: kinds[c] for c in columns})
-    holed = ampute(features.select(*key, *columns), key, rate, scenario.patterns, seed).persist()
-    table = holed.select(*key, *columns)
+    holed = ampute(features.select(*each(key), *each(columns)), key, rate, scenario.patterns, seed).persist()
+    table = holed.select(*each(key), *each(columns))
     filled = imputer.fit(table, key).transform(table)
-    pair = (filled.select(*key, *[F.col(c).alias(f"{c}__imp") for c in columns])
-            .join(holed.select(*key, *[f"{c}__true" for c in columns], *[mask_name(c) for c in columns]), key).persist())
+    pair = (filled.select(*each(key), *[col(c).alias(f"{c}__imp") for c in columns])
+            .join(holed.select(*each(key), *[col(f"{c}__true") for c in columns], *[col(mask_name(c)) for c in columns]), key).persist())
     # a handful of rows per column: from here on only numbers
     metrics = evaluate_pair(pair, numeric, categorical)
     metrics = spark.createDataFrame(metrics.collect(), metrics.schema)

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gapfill.frames import as_key, normalise
+from gapfill.frames import as_key, each, normalise
 from gapfill.functions.ranks import MAX_BUCKETS, offset_rank
 
 
@@ -60,7 +60,7 @@ class LoadedDataset:
 
     @property
     def y(self) -> DataFrame:
-        return self.frame.select(*self.key, self.target)
+        return self.frame.select(*each(self.key), self.target)
 
 
 def read_table(spark: SparkSession, path: str, format: str = "parquet", schema: str | None = None) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gapfill.frames import col
+
 RUN_KEY = ("imputer", "scenario", "rate", "seed")
 RESULT_SCHEMA = ("imputer string, scenario string, dataset string, mechanism string, rate double, seed bigint, "
                  "pool string, status string, error string, evaluation_seed bigint, overall_reconstruction double, "
@@ -41,5 +43,5 @@ def fingerprint(fields: dict | Sequence[str]) -> Column:
     if isinstance(fields, dict):
         cols = [c.alias(n) for n, c in sorted(fields.items())]
     else:
-        cols = [F.col(n) for n in sorted(fields)]
+        cols = [col(n) for n in sorted(fields)]
     return F.sha2(F.to_json(F.struct(*cols)), 256)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, column_kinds, count_missing, normalise
+from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, column_kinds, count_missing, each, normalise
 from gapfill.operators.impute.completion import CompletionModel, ImputationStep
 from gapfill.operators.impute.neural import NeuralImputer, NeuralModel
 
@@ -42,4 +42,4 @@ def streamed_fit(imputer: NeuralImputer, df: DataFrame, key) -> Iterator[Trainin
 def streamed_transform(model: CompletionModel, df: DataFrame) -> Iterator[ImputationStep | DataFrame]:
     """Fill progress as it happens; the filled table comes last."""
     yield from model.rounds(df)
-    yield model.result.select(*model.input_columns)
+    yield model.result.select(*each(model.input_columns))

@@ -100,6 +100,5 @@ def test_unset_frequency_counts_as_one(spark):
 
 def test_feature_subsets_and_accepted_options(spark):
     assert (_subset(1), _subset(1.0), _subset(0.5), _subset("sqrt")) == ("1", "1.0", "0.5", "sqrt")
-    with pytest.warns(UserWarning, match="reg_lambda"):
-        XGBoostImputer(reg_lambda=1.0, categorical_encoder="onehot")
+    assert XGBoostImputer().reg_lambda == 1.0 and XGBoostImputer().categorical_encoder == "onehot"
     assert MissForestImputer(categorical_encoder="onehot").dummy_regression
