@@ -137,7 +137,7 @@ def predictive_comparison(true: DataFrame, imputed: DataFrame, target: DataFrame
     """(frame, metric, mean, std) of the same folds on two or three versions of the features.
 
     ``None`` when there is no usable feature. By default one histogram booster trains the models of all folds and frames together.
-    ``estimator`` is any ``pyspark.ml`` predictor, or a ``Pipeline`` that ends in one; it is copied for every fit.
+    ``estimator`` is another booster, any ``pyspark.ml`` predictor, or a ``Pipeline`` that ends in one, copied for every fit.
     The frames must hold the same keys; NaN is a gap.
     """
     preds, task = cross_predictions(true, imputed, target, key, y, features, missing, estimator,
@@ -177,8 +177,8 @@ def cross_predictions(true, imputed, target, key, y, features, missing=None, est
         inputs[n] = [f"{n}{c}" for c in inner.values()]
         base = base.join(frame.toDF(*ids, *inputs[n]), ids)
     base = base.persist()
-    if estimator is None:
-        preds = _boosted_predictions(base, ids, inputs, task, classes, n_folds, default_booster(seed, max_iter))
+    if estimator is None or isinstance(estimator, HistogramBooster):
+        preds = _boosted_predictions(base, ids, inputs, task, classes, n_folds, estimator or default_booster(seed, max_iter))
     else:
         preds = _estimator_predictions(base, ids, inputs, task, classes, n_folds, estimator)
     return preds.select("frame", F.col("__fold").alias("fold"), *[F.col(k).alias(c) for k, c in zip(ids, key)], F.col("__label").alias("y"), "prediction"), task

@@ -207,6 +207,42 @@ def forest_fill(spark, d):
     return invariants(spark, d, MissForestImputer(n_estimators=10, max_iter=2, max_depth=6))
 
 
+@query("boosted_stump", f"""WITH hx AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, CASE WHEN {u('miss', 'p_partkey')} < 0.3 THEN NULL ELSE p_retailprice END AS y FROM part),
+m AS (SELECT avg(y) AS m, count(y) AS n FROM hx), v AS (SELECT x, count(y) AS c, sum(m - y) AS g FROM hx, m WHERE y IS NOT NULL GROUP BY x),
+r AS (SELECT x, sum(c) OVER w AS cl, sum(g) OVER w AS gl FROM v WINDOW w AS (ORDER BY x)),
+b AS (SELECT x AS cut, cl, n - cl AS cr, gl FROM r, m WHERE cl < n ORDER BY gl * gl / (cl + 1) + gl * gl / (n - cl + 1) DESC, x LIMIT 1)
+SELECT p_partkey, round(coalesce(y, m + CASE WHEN x <= cut THEN -gl / (cl + 1) ELSE gl / (cr + 1) END), 4) AS y FROM hx, m, b""")
+def boosted_stump(spark, d):
+    """One tree of one split with an L2 penalty of 1, at full rate: the best cut and both leaf values can be stated."""
+    df = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
+    h = ampute(df, "p_partkey", 0.3, [PatternConfig(["y"])], check=False).select("p_partkey", "x", "y")
+    out = XGBoostImputer(n_estimators=1, max_depth=1, learning_rate=1.0, subsample=1.0, colsample_bytree=1.0, max_iter=1).fit_transform(h, "p_partkey")
+    return out.select("p_partkey", rnd("y", 4).alias("y"))
+
+
+@query("boosted_categories", "SELECT o_orderkey, 'c' || CAST(o_orderkey % 150 AS VARCHAR) AS c FROM orders")
+def boosted_categories(spark, d):
+    """150 categories that a number decides, a third of them gone: their dummies, trained together, give every one back."""
+    place = F.col("o_orderkey") % 150
+    df = read(spark, d, "orders").select("o_orderkey", place.cast("double").alias("x"), F.concat(F.lit("c"), place.cast("string")).alias("c"))
+    h = ampute(df, "o_orderkey", 0.3, [PatternConfig(["c"])], check=False).select("o_orderkey", "x", "c")
+    out = XGBoostImputer(n_estimators=2, max_depth=3, learning_rate=1.0, subsample=1.0, colsample_bytree=1.0, max_iter=1).fit_transform(h, "o_orderkey")
+    return out.select("o_orderkey", "c")
+
+
+@query("forest_codes", "SELECT o_orderkey, 'c' || lpad(CAST(o_orderkey % 300 AS VARCHAR), 3, '0') AS c FROM orders")
+def forest_codes(spark, d):
+    """300 categories by regression on their codes, joined from a table; the number beside them decides the code."""
+    place = F.col("o_orderkey") % 300
+    df = read(spark, d, "orders").select("o_orderkey", place.cast("double").alias("x"), F.concat(F.lit("c"), F.lpad(place.cast("string"), 3, "0")).alias("c"))
+    h = ampute(df, "o_orderkey", 0.3, [PatternConfig(["c"])], check=False).select("o_orderkey", "x", "c")
+    out = MissForestImputer(n_estimators=1, max_iter=1, max_depth=12, max_bins=400, categorical_encoder="ordinal", max_features=None).fit_transform(h, "o_orderkey")
+    # one tree sees a bootstrap sample: a code may be off by one where it lacks a category
+    exact = out.join(df.withColumnRenamed("c", "truth").drop("x"), "o_orderkey")
+    near = F.abs(F.substring("c", 2, 3).cast("int") - F.substring("truth", 2, 3).cast("int")) <= 1
+    return exact.select("o_orderkey", F.when(near, F.col("truth")).otherwise(F.col("c")).alias("c"))
+
+
 @query("boosted_fill", INVARIANT)
 def boosted_fill(spark, d):
     """Chained boosted trees (invariants)."""

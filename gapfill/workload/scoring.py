@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gapfill.functions.rand import uniform
 from gapfill.operators.ampute import PatternConfig, ampute
+from gapfill.operators.boosting import HistogramBooster
 from gapfill.operators.impute.statistical import StatisticalImputer
 from gapfill.operators.metrics import losses
 from gapfill.operators.metrics.distribution import (correlation_shift, evaluate_distribution, kl_categorical, kl_numeric,
@@ -16,7 +19,7 @@ from gapfill.operators.metrics.predictive import (aggregate_folds, classificatio
                                                   predictive_comparison, predictive_r2_delta, regression_metrics,
                                                   stratified_kfold)
 from gapfill.operators.metrics.reconstruction import evaluate_reconstruction, unfilled_cells
-from gapfill.plans.evaluate import evaluate_pair, nested_json, predictive_scores, scores
+from gapfill.plans.evaluate import evaluate, evaluate_pair, nested_json, predictive_scores, scores
 from gapfill.workload.fixtures import FILLED, HOLED_COLUMNS, ORDER_FEATS, holed, labelled_docs, order_feats, read, rnd, u
 from gapfill.workload.registry import query
 
@@ -295,15 +298,16 @@ def _shape_sql(frames, source="documents JOIN labels USING (doc_id)", metrics=("
 def predictive_compare(spark, d):
     """Boosted trees on true and mean-filled document features (shape and range)."""
     docs, table, filled = _holed_docs(spark, d)
-    res = predictive_comparison(docs, filled, docs, "doc_id", "quality", FEATURES, n_folds=3, max_iter=3)
+    res = predictive_comparison(docs, filled, docs, "doc_id", "quality", FEATURES, max_iter=5)
     return _shape(res, docs.count())
 
 
 @query("predictive_custom", _shape_sql(["X", "X_imputed"]))
 def predictive_custom(spark, d):
-    """Any Spark predictor can take the place of the default (shape and range)."""
+    """A pipeline of Spark stages can take the place of the default (shape and range)."""
     docs, table, filled = _holed_docs(spark, d)
-    res = predictive_comparison(docs, filled, docs, "doc_id", "quality", FEATURES, n_folds=3, estimator=LogisticRegression(maxIter=5))
+    stages = Pipeline(stages=[StandardScaler(inputCol="features", outputCol="scaled"), LogisticRegression(featuresCol="scaled", maxIter=5)])
+    res = predictive_comparison(docs, filled, docs, "doc_id", "quality", FEATURES, n_folds=3, estimator=stages)
     return _shape(res, docs.count())
 
 
@@ -311,10 +315,42 @@ def predictive_custom(spark, d):
 def predictive_missing(spark, d):
     """A third model on the table with gaps (shape and range)."""
     docs, table, filled = _holed_docs(spark, d)
-    res = predictive_comparison(docs, filled, docs, "doc_id", "quality", FEATURES, missing=table, n_folds=2, max_iter=3)
+    res = predictive_comparison(docs, filled, docs, "doc_id", "quality", FEATURES, missing=table, max_iter=5)
     return _shape(res, docs.count())
 
 
+BIG = "l_orderkey", "sum_qty", "sum_price", "sum_disc"
+
+
+def _big_orders(spark, d):
+    """Does an order have four lines or more? Its sums tell; a third of them is gone in the second frame."""
+    of = order_feats(spark, d).withColumn("big", (F.col("n_lines") >= 4).cast("int")).persist()
+    h = ampute(of.select(*BIG), "l_orderkey", 0.4, [PatternConfig(["sum_qty", "sum_price"])], check=False).select(*BIG).persist()
+    return of, h
+
+
+@query("predictive_gaps", f"WITH {ORDER_FEATS} SELECT frame, TRUE AS beats_constant, TRUE AS ordered, count(*) AS n_rows FROM of, (VALUES ('X'), ('X_imputed'), ('X_missing')) f(frame) GROUP BY frame")
+def predictive_gaps(spark, d):
+    """Ten folds of three frames in one training, the third with its gaps: all beat the larger class, and gaps cost accuracy."""
+    of, h = _big_orders(spark, d)
+    filled = StatisticalImputer().fit_transform(h, "l_orderkey")
+    res = predictive_comparison(of, filled, of, "l_orderkey", "big", list(BIG[1:]), missing=h, max_iter=10).where("metric = 'accuracy'").persist()
+    n, share = of.agg(F.count(F.lit(1)), F.greatest(F.avg("big"), 1 - F.avg("big"))).first()
+    top = res.where("frame = 'X'").select(F.col("mean").alias("top"))
+    return res.join(top).select("frame", (F.col("mean") > share + 0.02).alias("beats_constant"), (F.col("mean") <= F.col("top")).alias("ordered"), F.lit(n).alias("n_rows"))
+
+
+@query("predictive_many_classes", "SELECT frame, TRUE AS as_expected, count(*) AS n_rows FROM orders, (VALUES ('X'), ('X_imputed')) f(frame) GROUP BY frame")
+def predictive_many_classes(spark, d):
+    """150 classes that a number decides: nearly all are told from the number, at most the rest where 40 % of it is a mean."""
+    df = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 150).cast("double").alias("x"), (F.col("o_orderkey") % 150).cast("string").alias("y"))
+    h = ampute(df.select("o_orderkey", "x"), "o_orderkey", 0.4, [PatternConfig(["x"])], check=False).select("o_orderkey", "x")
+    filled = StatisticalImputer().fit_transform(h, "o_orderkey")
+    res = predictive_comparison(df, filled, df, "o_orderkey", "y", ["x"], estimator=HistogramBooster(rounds=2, depth=4, learning_rate=0.3, reg_lambda=0.0), n_folds=2)
+    right = F.when(F.col("frame") == "X", F.col("mean") > 0.95).otherwise(F.col("mean").between(0.4, 0.7))
+    return res.where("metric = 'accuracy'").select("frame", right.alias("as_expected"), F.lit(df.count()).alias("n_rows"))
+
+
 @query("r2_delta", f"WITH {ORDER_FEATS} SELECT TRUE AS losing, count(*) AS n_rows FROM of")
 def r2_delta(spark, d):
     """Predicting sum_price with the quantity half gone must get worse."""
@@ -329,7 +365,7 @@ def r2_delta(spark, d):
 def accuracy_delta(spark, d):
     """Difference of two accuracies (range)."""
     docs, table, filled = _holed_docs(spark, d)
-    delta = predictive_accuracy_delta(docs, filled, docs, "doc_id", "quality", FEATURES, n_folds=2, max_iter=3)
+    delta = predictive_accuracy_delta(docs, filled, docs, "doc_id", "quality", FEATURES, max_iter=5)
     return delta.select((F.abs("accuracy_delta") <= 1).alias("bounded"), F.lit(docs.count()).alias("n_rows"))
 
 
@@ -347,6 +383,22 @@ SCORES = """sc AS (SELECT (SELECT avg(value) FROM al WHERE family = 'reconstruct
   (SELECT avg(CASE WHEN metric = 'categorical_accuracy' THEN 1 - value ELSE value END) FROM al WHERE family = 'reconstruction' AND "column" = 'avg') AS e)"""
 
 
+@query("evaluate_full", f"""WITH {EVAL}, {SCORES} SELECT round(r, 4) AS overall_reconstruction, round(s, 4) AS overall_distribution, TRUE AS models_close, TRUE AS overall_is_the_mean, 3 AS n_frames FROM sc""")
+def evaluate_full(spark, d):
+    """The public entry with mask, target and the table with gaps: three families and their mean."""
+    h = holed(spark, d)
+    X = h.select("l_orderkey", *[F.col(f"{c}__true").alias(c) for c in HOLED_COLUMNS])
+    table = h.select("l_orderkey", *HOLED_COLUMNS)
+    filled = StatisticalImputer().fit_transform(table, "l_orderkey")
+    mask = h.select("l_orderkey", *[f"{c}__missing" for c in HOLED_COLUMNS])
+    y = h.select("l_orderkey", (F.col("n_lines__true") >= 4).alias("big"))
+    res = evaluate(X=X, X_imputed=filled, missing_mask=mask, X_missing=table, key="l_orderkey", y=y, target="big", n_folds=3, max_iter=5)
+    parts = (1 / (1 + F.col("overall_reconstruction")) + 1 / (1 + F.col("overall_distribution")) + F.col("overall_predictive")) / 3
+    return res.scores().select(rnd("overall_reconstruction", 4).alias("overall_reconstruction"), rnd("overall_distribution", 4).alias("overall_distribution"),
+                               (F.col("overall_predictive") > 0.9).alias("models_close"), (F.abs(F.col("overall") - parts) < 1e-12).alias("overall_is_the_mean"),
+                               F.lit(res.predictive.select("frame").distinct().count()).cast("int").alias("n_frames"))
+
+
 @query("evaluate_scores", f"WITH {EVAL}, {SCORES} SELECT round(r, 4) AS overall_reconstruction, round(s, 4) AS overall_distribution, round(e, 4) AS reconstruction_error, round((1 / (1 + r) + 1 / (1 + s)) / 2, 10) AS overall FROM sc")
 def evaluate_scores(spark, d):
     s = scores(evaluate_pair(paired(spark, d), NUM, CAT))
