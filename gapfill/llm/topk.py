@@ -19,7 +19,7 @@ NARROW = 0.75
 def _vectors(rows: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
     """(vec_id, dim, vec, norm): floor(scale * x) as 64-bit integers; unusable vectors are left out."""
     x = F.transform(F.col("vec"), lambda v: v.cast("double"))
-    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < 2.0 ** 31))
+    fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v * scale) < 2.0 ** 63))
     whole = F.transform(x, lambda v: F.floor(v * scale).cast("long"))
     return (rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
             .where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & F.coalesce(fine, F.lit(False)))
@@ -44,11 +44,14 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows of ``a`` and ``b``; through doubles where they stay exact."""
-    top = int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if top < 1 << 53:
+    """Exact integer products of all rows of ``a`` and ``b``; through doubles where they stay exact, what no long can hold becomes the nearest long."""
+    top = float(np.abs(a.astype(np.float64)).max(initial=0)) * float(np.abs(b.astype(np.float64)).max(initial=0)) * max(1, a.shape[1])
+    if top < 2.0 ** 53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if top < 2.0 ** 62:
+        return a @ b.T
+    exact = a.astype(object) @ b.T.astype(object)
+    return np.clip(exact, np.iinfo(np.int64).min, np.iinfo(np.int64).max).astype(np.int64)
 
 
 NONE = np.iinfo(np.int64).min
@@ -126,14 +129,17 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     The bucket of the longest vectors gives each query a first score to beat; blocks of queries then meet every part of the
     buckets, one row per block and part, and keep only their ``k`` best there.
 
-    Defined results: null vectors or ids, and vectors with null, non-finite or (after scaling) 32-bit overflowing components
-    take no part; vectors of unequal length are filled up with zeros; rows with the query's own id are never its
+    Defined results: null vectors or ids, and vectors with null or non-finite components, or scaled ones beyond a long,
+    take no part; products beyond a long become the nearest long; vectors of unequal length are filled up with zeros; rows with the query's own id are never its
     candidates; equal scores go to the smaller id; repeated candidate rows each take a rank, repeated query rows count once;
     fewer candidates give fewer ranks. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = staged(_vectors(vectors, vec_id, vector, scale), "vectors")
-    n, width = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    n, width, top = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0)),
+                             F.coalesce(F.max(F.array_max(F.transform("vec", lambda v: F.abs(v.cast("double"))))), F.lit(0.0))).first()
+    # as narrow as all components allow
+    kind = "<i4" if top < 2 ** 31 else "<i8"
     parts = max(1, min(-(-n // bucket), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (16 * bucket))))
 
     def bucketed(batches):
@@ -143,7 +149,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
             return pa.RecordBatch.from_arrays(
                 [pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("norm")[0].as_py()], pa.float64()),
                  pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([table.column("norm").to_numpy().tobytes()], pa.binary()),
-                 pa.array([_matrix(table.column("vec"), width).astype(np.int32).tobytes()], pa.binary())], names=["part", "longest", "ids", "norms", "vecs"])
+                 pa.array([_matrix(table.column("vec"), width).astype(kind).tobytes()], pa.binary())], names=["part", "longest", "ids", "norms", "vecs"])
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -161,7 +167,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
         bucketed, "part int, longest double, ids binary, norms binary, vecs binary"), "buckets")
 
     def unpack(ids, vecs, norms):
-        return np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.int32).reshape(-1, max(width, 1)).astype(np.int64), np.frombuffer(norms, np.float64)
+        return np.frombuffer(ids, np.int64), np.frombuffer(vecs, kind).reshape(-1, max(width, 1)).astype(np.int64), np.frombuffer(norms, np.float64)
     # one bucket at most: fixed in size
     seed = spark.sparkContext.broadcast(
         [tuple(r) for r in buckets.orderBy(F.desc("longest"), "part").limit(1).select("ids", "vecs", "norms").collect()])
@@ -175,7 +181,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
                 for row in seed.value:
                     search_bucket(*unpack(*row), block, k)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.tobytes()], pa.binary()) for x in (block.ids, block.vecs.astype(np.int32), block.norms, block.need)],
+                    [pa.array([x.tobytes()], pa.binary()) for x in (block.ids, block.vecs.astype(kind), block.norms, block.need)],
                     names=["q_ids", "q_vecs", "q_norms", "need"])
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "vec"])
     asked = asked.mapInArrow(blocks, "q_ids binary, q_vecs binary, q_norms binary, need binary")

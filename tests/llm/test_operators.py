@@ -147,6 +147,35 @@ def test_repeated_passages_recall_of_edited_passages(spark):
     assert {(r["doc_id"], r["source_id"]) for r in out} == {(1000 + i, i) for i in range(200)}
 
 
+def test_other_texts_of_one_id_stay_whole(spark):
+    rng = random.Random(13)
+    fresh = lambda n: [f"w{rng.getrandbits(48)}" for _ in range(n)]
+    base = fresh(60)
+    rows = [(1, " ".join(base + fresh(20))), (2, " ".join(base)), (2, " ".join(fresh(100))), (None, " ".join(base))]
+    docs = docs_of(spark, rows)
+    cut = sorted(len((r["text"] or "").split()) for r in remove_passages(docs, repeated_passages(docs)).collect())
+    assert cut == [0, 60, 80, 100]
+
+
+def test_low_diversity_blocks_against_all_pairs():
+    """Cells of a few words over and over: whatever any earlier cell confirms of a window is confirmed by the links."""
+    rng = np.random.default_rng(14)
+    grams = [rng.integers(0, n, 60).astype(np.int64) for n in rng.integers(2, 12, 60)]
+    doc = np.sort(rng.integers(0, 25, 60))
+    links = list(substring.block_links(doc, grams, np.zeros(60, int), 50, 80))
+
+    def words(pairs):
+        held = {}
+        for i, j in pairs:
+            for p, q, *_ in confirm(grams[i], grams[j], 50, 80):
+                held.setdefault(i, set()).update(range(p, q))
+        return held
+    every = words((i, j) for i in range(60) for j in range(60) if doc[j] < doc[i])
+    some = words(links)
+    assert len(every) > 10 and set(some) == set(every)
+    assert sum(map(len, some.values())) > 0.95 * sum(map(len, every.values()))
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_repeated_passages_around_a_very_common_phrase(spark, monkeypatch, block):
     monkeypatch.setattr(substring, "BLOCK", block)
@@ -286,7 +315,7 @@ def test_top_k(spark):
                                                        (505, []), (506, [1e30] * 8), (None, [1.0] * 8), (7, rows[9][1]), (20, rows[20][1])]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
     use = [(i, [math.floor(1024 * x) for x in v] + [0] * (8 - len(v))) for i, v in rows
-           if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(1024 * x) < 2 ** 31 for x in v)]
+           if i is not None and v is not None and all(x is not None and math.isfinite(x) and abs(1024 * x) < 2 ** 63 for x in v)]
     want = set()
     for q, x in {(i, tuple(v)) for i, v in use if i % 20 == 0}:
         best = sorted((-sum(a * b for a, b in zip(x, y)), j) for j, y in use if j != q)[:10]
@@ -294,6 +323,10 @@ def test_top_k(spark):
     for bucket in (16, 4096):
         assert {tuple(r) for r in top_k(df, 10, 20, bucket=bucket).collect()} == want
     assert top_k(df.limit(0)).count() == 0
+    # components beyond 32 bits lead; products beyond 64 bits are the largest long
+    far = spark.createDataFrame([(0, [1.0, 1.0]), (1, [3e6, 0.0]), (2, [5.0, 5.0]), (100, [3e11, 0.0]), (3, [2e11, 0.0])], "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in top_k(far, 3).collect()}
+    assert got[0, 1] == (100, 1024 * 1024 * 3 * 10 ** 11) and got[0, 3] == (1, 3 * 10 ** 6 * 1024 * 1024) and got[100, 1] == (3, 2 ** 63 - 1)
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r)[:3] for r in top_k(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 

@@ -39,3 +39,11 @@ def test_pipeline_odd_tables(spark):
         for name, stage in corpus_pipeline.STAGES:
             before, left = left, stage(spark, left, FOLDER)
             assert left.count() <= max(1, before.count())
+
+
+def test_pipeline_keeps_unlike_texts_of_one_id(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "green", "blue")]
+    rows = [(1, texts[0], "en", "a", 1), (1, texts[1], "en", "b", 2), (2, texts[2], "en", "a", 3), (1, texts[1], "en", "a", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert sorted(r["text"] for r in left.collect()) == sorted(texts)
