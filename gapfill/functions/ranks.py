@@ -1,10 +1,4 @@
-"""Exact global ranks without a single-task window.
-
-A window ordered over a whole table runs in one task. Here rows are first
-spread over buckets that follow the ordering, ranked inside their bucket, and
-lifted by the sizes of the buckets before it. Only the bucket totals (at most
-``MAX_BUCKETS`` rows per group) meet in one place.
-"""
+"""Ranks, ordinal codes of categories, and joins with code tables."""
 
 from __future__ import annotations
 
@@ -13,50 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from gapfill.frames import col, each, quoted
+from gapfill.frames import col, quoted
+from gapfill.functions.scan import global_rank
 
-MAX_BUCKETS = 1024
 MAX_LITERAL_CATEGORIES = 255
 _SAMPLE_SEED = 7
 
 
-def offset_rank(df: DataFrame, bucket: str, order: Sequence, out: str,
-                group: Sequence[str] = ()) -> DataFrame:
-    """0-based rank of every row inside ``group`` under (bucket, order)."""
-    group = list(group)
-    totals = df.groupBy(*each(group), bucket).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*each(group)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*[col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-                           col(bucket).alias("__b"),
-                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
-    local = Window.partitionBy(*each(group), bucket).orderBy(*each(order))
-    ranked = df.withColumn("__local", F.row_number().over(local) - 1)
-    same = col(bucket).eqNullSafe(F.col("__b"))
-    for i, g in enumerate(group):
-        same = same & col(g).eqNullSafe(col(f"__g{i}"))
-    # null-safe keys: NULL groups are ranked like any other, and no filter recomputes the bucket
-    return (ranked.join(totals, same, "inner")
-            .withColumn(out, F.col("__local") + F.col("__offset"))
-            .drop("__local", "__b", "__offset", *[f"__g{i}" for i in range(len(group))]))
-
-
-def uniform_rank(df: DataFrame, u: Column, tiebreak: Sequence[str], out: str,
-                 group: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Rank by a uniform column; equal-width buckets of it are balanced by construction.
-
-    ``group`` may contain hot values: the buckets split each group as well.
-    """
-    buckets = buckets or MAX_BUCKETS
-    df = df.withColumns({"__u": u})
-    df = df.withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
-    return offset_rank(df, "__bucket", ["__u", *tiebreak], out, group).drop("__u", "__bucket")
+def uniform_rank(df: DataFrame, u: Column, tiebreak: Sequence[str], out: str, group: Sequence[str] = (),
+                 buckets: int | None = None) -> DataFrame:
+    """Rank by a uniform column inside ``group``, which may contain hot values: the scan splits each group as well."""
+    return global_rank(df.withColumn("__u", u), ["__u", *tiebreak], out, group, buckets).drop("__u")
 
 
 def default_buckets(df: DataFrame) -> int:
-    """Follow the session's shuffle width, within the bucket bound."""
-    return max(1, min(MAX_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """The session's shuffle width."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def sample_values(distinct: DataFrame, value: str, n: int) -> list:
@@ -65,14 +32,6 @@ def sample_values(distinct: DataFrame, value: str, n: int) -> list:
     return sorted(r[0] for r in distinct.orderBy(h).limit(n).select(col(value)).collect())
 
 
-def order_bucket(value: Column, bounds: list, data_type: T.DataType) -> Column:
-    """Index of the interval of ``bounds`` that holds ``value`` (order preserving)."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b).cast(data_type) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= value))
-
-
 def sorted_categories(df: DataFrame, column: str, limit: int = MAX_LITERAL_CATEGORIES) -> list | None:
     """Sorted distinct values when there are at most ``limit`` of them, else ``None``."""
     distinct = df.select(col(column)).where(col(column).isNotNull()).distinct()
@@ -81,16 +40,9 @@ def sorted_categories(df: DataFrame, column: str, limit: int = MAX_LITERAL_CATEG
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): 0-based position of each distinct value in sorted order.
-
-    For any cardinality: bucket bounds come from a bounded sample of the
-    distinct values, the ranks are exact.
-    """
-    dtype = df.schema[column].dataType
+    """(value, code): 0-based position of each distinct value in sorted order, for any cardinality."""
     distinct = df.select(col(column).alias("value")).where(F.col("value").isNotNull()).distinct()
-    bounds = sample_values(distinct, "value", default_buckets(df) - 1)
-    bucketed = distinct.withColumn("__bucket", order_bucket(F.col("value"), bounds, dtype))
-    return offset_rank(bucketed, "__bucket", ["value"], "code").select("value", "code")
+    return global_rank(distinct, ["value"], "code").select("value", "code")
 
 
 def literal_code(column: Column, categories: list, data_type: T.DataType) -> Column:

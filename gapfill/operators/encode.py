@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from gapfill.frames import CATEGORICAL, NUMERICAL, as_key, col, column_kinds, each, split_kinds
 from gapfill.functions.rand import uniform
-from gapfill.functions.ranks import MAX_BUCKETS, literal_code, sorted_categories, uniform_rank, with_code
+from gapfill.functions.ranks import literal_code, sorted_categories, uniform_rank, with_code
 
 # bound of what is held as a list on the driver and in expressions; a parameter of every caller
 MAX_CATEGORIES = 10_000
+# part of what is drawn: another number gives other partners
+SWAP_BLOCKS = 1024
 
 
 def categories(df: DataFrame, column: str, limit: int = MAX_CATEGORIES) -> list:
@@ -148,7 +150,7 @@ def swap_noise(df: DataFrame, key, columns: Sequence[str], noise: float = 0.15,
     from pyspark.sql.window import Window
 
     key = as_key(key)
-    blocks = blocks or MAX_BUCKETS
+    blocks = blocks or SWAP_BLOCKS
     block = F.floor(uniform(seed, "block", key) * blocks).cast("int")
     df = df.withColumns({"__block": block, "__order": uniform(seed, "order", key)})
     inside = Window.partitionBy("__block").orderBy("__order", *each(key))

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gapfill.frames import col, quoted, quoted_text
+from gapfill.functions.scan import running_sums
 from gapfill.operators.metrics.reconstruction import with_average
 from gapfill.operators.moments import (MAX_EXPRESSION_COLUMNS, covariance_expressions, covariance_matrix, covariances)
 
@@ -17,8 +17,6 @@ FAMILY = "distribution"
 MIN_HISTOGRAM_BINS = 5
 MAX_HISTOGRAM_BINS = 50
 EPSILON = 1e-10
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 1024
 
 
 def adaptive_bins(n: int) -> int:
@@ -68,40 +66,20 @@ def _by_column(values: dict[str, Column], default: Column) -> Column:
     return expr
 
 
-def _bounds(pair: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
-    if buckets <= 1:
-        return {c: [] for c in columns}
-    probs = F.array(*[F.lit(j / buckets) for j in range(1, buckets)])
-    row = pair.agg(*[F.percentile_approx(col(f"{c}__true").cast("double"), probs, 10 * buckets).alias(c)
-                     for c in columns]).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
-
-
 def ks_wasserstein(pair: DataFrame, columns: Sequence[str], stats: dict[str, dict] | None = None,
                    buckets: int | None = None) -> DataFrame:
     """(column, ks_statistic, wasserstein_distance), exact.
 
-    Cells collapse to distinct values with counts first. The running counts are
-    summed per bucket of the value range; bucket totals carry the offsets, so no
-    window ever spans a whole column.
+    Cells collapse to distinct values with counts first; a prefix scan over all columns at once gives the running counts of both
+    sides and the next value.
     """
     stats = stats or column_stats(pair, columns)
-    rows = max([s["n_true"] + s["n_imp"] for s in stats.values()], default=0)
-    buckets = buckets or min(MAX_BUCKETS, 1 + rows // ROWS_PER_BUCKET)
-    bounds = _bounds(pair, columns, buckets)
-    counts = _cells(pair, columns, "double").groupBy("column", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    inside = Window.partitionBy("column").orderBy("v")
-    if buckets <= 1:
-        # few enough rows for one sort per column
-        running = inside.rowsBetween(Window.unboundedPreceding, 0)
-        steps = counts.select("column", (F.lead("v").over(inside) - F.col("v")).alias("step"),
-                              F.sum("a").over(running).alias("fa"), F.sum("b").over(running).alias("fb"))
-    else:
-        steps = _bucketed_steps(counts, bounds)
+    counts = _cells(pair, columns, "double").groupBy("column", "v").agg(F.sum("a").alias("fa"), F.sum("b").alias("fb"))
+    steps = running_sums(counts, "column", "v", ["fa", "fb"], buckets)
     na = _by_column({c: F.lit(s["n_true"]) for c, s in stats.items()}, F.lit(None).cast("bigint"))
     nb = _by_column({c: F.lit(s["n_imp"]) for c, s in stats.items()}, F.lit(None).cast("bigint"))
     gap = F.abs(F.try_divide(F.col("fa").cast("double"), na) - F.try_divide(F.col("fb").cast("double"), nb))
-    out = steps.select("column", gap.alias("gap"), F.coalesce(F.col("step"), F.lit(0.0)).alias("step")).groupBy("column").agg(
+    out = steps.select("column", gap.alias("gap"), F.coalesce(F.col("next") - F.col("v"), F.lit(0.0)).alias("step")).groupBy("column").agg(
         F.max("gap").alias("ks"), F.sum(F.col("gap") * F.col("step")).alias("w"))
     enough = _by_column({c: F.lit(s["n_true"] > 1 and s["n_imp"] > 1) for c, s in stats.items()}, F.lit(False))
     both = _by_column({c: F.lit(s["n_true"] > 0 and s["n_imp"] > 0) for c, s in stats.items()}, F.lit(False))
@@ -109,30 +87,6 @@ def ks_wasserstein(pair: DataFrame, columns: Sequence[str], stats: dict[str, dic
                       F.when(both, F.col("w")).alias("wasserstein_distance"))
 
 
-def _bucketed_steps(counts: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
-    """(column, step, fa, fb) with the running counts summed bucket by bucket."""
-    slot = {c: F.size(F.filter(F.array(*[F.lit(x) for x in bs]), lambda x: x <= F.col("v")))
-            for c, bs in bounds.items() if bs}
-    # read twice, so the shuffle that collapses the values is kept
-    counts = counts.withColumn("bucket", _by_column(slot, F.lit(0))).persist()
-    totals = counts.groupBy("column", "bucket").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.min("v").alias("first"))
-    order = Window.partitionBy("column").orderBy("bucket")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(F.col("column").alias("of_column"), F.col("bucket").alias("of_bucket"),
-                           F.lead("first").over(order).alias("next_first"),
-                           F.coalesce(F.sum("ta").over(before), F.lit(0)).alias("oa"),
-                           F.coalesce(F.sum("tb").over(before), F.lit(0)).alias("ob"))
-    inside = Window.partitionBy("column", "bucket").orderBy("v")
-    running = inside.rowsBetween(Window.unboundedPreceding, 0)
-    local = counts.select("column", "bucket", "v", F.lead("v").over(inside).alias("next_v"),
-                          F.sum("a").over(running).alias("ca"), F.sum("b").over(running).alias("cb"))
-    # at most MAX_BUCKETS rows per column
-    same = F.col("column").eqNullSafe(F.col("of_column")) & F.col("bucket").eqNullSafe(F.col("of_bucket"))
-    joined = local.join(F.broadcast(totals), same)
-    step = F.coalesce(F.col("next_v"), F.col("next_first")) - F.col("v")
-    return joined.select("column", step.alias("step"), (F.col("ca") + F.col("oa")).alias("fa"), (F.col("cb") + F.col("ob")).alias("fb"))
-
-
 def _kl_sum(scale: Column) -> Column:
     """Sum of p ln(p/q) over the cells of one column.
 

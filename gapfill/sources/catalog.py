@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapfill.frames import as_key, each, normalise
-from gapfill.functions.ranks import MAX_BUCKETS, offset_rank
 
 
 def snake_case(name: str) -> str:
@@ -101,17 +100,24 @@ class Catalog:
         return LoadedDataset(df, key, d.target)
 
 
+COPIES = 10_000
+
+
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
     """A key for tables that have none: a digest of the row and its copy number.
 
-    Copies are counted in blocks, so a row that fills a third of the table never
-    meets in one task. Equal rows are interchangeable, which makes the keyed
-    table the same however the blocks fall.
+    Equal rows are counted (combined before the shuffle) and expanded again; a row of very many copies is dealt out in pieces of
+    ``COPIES`` before it is expanded, so that one that fills a third of the table never meets in one task.
     """
-    row = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-    blocks = F.pmod(F.monotonically_increasing_id(), F.lit(MAX_BUCKETS)).cast("int")
-    out = offset_rank(df.withColumns({"__row": row, "__block": blocks}), "__block", [F.lit(1)], "__copy", ["__row"])
-    return out.withColumn(name, F.concat_ws(":", "__row", "__copy")).drop("__row", "__block", "__copy")
+    names = list(df.columns)
+    row = F.sha2(F.to_json(F.struct(*each(names)), {"ignoreNullFields": "false"}), 256)
+    counted = df.groupBy(row.alias("__row")).agg(F.first(F.struct(*each(names))).alias("__cells"), F.count(F.lit(1)).alias("__n"))
+    few = counted.where(F.col("__n") <= COPIES).withColumn("__from", F.lit(0).cast("bigint"))
+    many = counted.where(F.col("__n") > COPIES).withColumn("__from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - 1, F.lit(COPIES).cast("bigint"))))
+    both = few.unionByName(many.repartition("__row", "__from"))
+    copy = F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + COPIES, F.col("__n")) - 1))
+    out = both.withColumn("__copy", copy)
+    return out.select(*[F.col("__cells").getField(c).alias(c) for c in names], F.concat_ws(":", "__row", "__copy").alias(name))
 
 
 # Renames, dropped columns and targets of the public benchmark tables.

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from gapfill.frames import (check_key, column_kinds, count_missing, missing_mask, missing_profile, normalise, pair_frames,
                             preserve_observed)
 from gapfill.functions.rand import normal, uniform
-from gapfill.functions.ranks import code_table, literal_code, offset_rank, uniform_rank, with_code
+from gapfill.functions.ranks import code_table, literal_code, uniform_rank, with_code
+from gapfill.functions.scan import global_rank, running_sums
+from gapfill.sources import catalog
 from gapfill.sources.catalog import Catalog, Dataset, complete_cases, snake_case, standard_catalog, with_row_key
 
 
@@ -80,9 +82,9 @@ def test_unknown_category_has_no_code(spark):
     assert [r[0] for r in df.select(literal_code(F.col("s"), ["a", "b"], df.schema["s"].dataType)).collect()] == [0.0, None, None]
 
 
-def test_offset_rank_with_null_group(spark):
+def test_rank_with_null_group(spark):
     df = spark.createDataFrame([(None, 0, 1), (None, 1, 2), ("a", 0, 3)], "g string, b int, id int")
-    got = offset_rank(df, "b", ["id"], "r", ["g"]).orderBy("id").collect()
+    got = global_rank(df, ["b", "id"], "r", ["g"]).orderBy("id").collect()
     assert [r["r"] for r in got] == [0, 1, 0]
 
 
@@ -109,3 +111,35 @@ def test_generated_key_numbers_copies(spark):
 def test_complete_cases_drops_nan(spark):
     df = spark.sql("select * from values (1, 1.0D), (2, double('NaN')), (3, null) t(id, x)")
     assert [r["id"] for r in complete_cases(df).collect()] == [1]
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 40])
+def test_running_sums_across_partitions(spark, partitions):
+    rows = [(g, float(v), (v * 7) % 5, v % 3) for g, n in (("a", 1), ("b", 700), ("c", 2), ("d", 90), ("e", 1)) for v in range(0, 3 * n, 3)]
+    df = spark.createDataFrame(rows, "g string, v double, a int, b long").repartition(6)
+    got = {(r["g"], r["v"]): (r["next"], r["a"], r["b"]) for r in running_sums(df, "g", "v", ["a", "b"], partitions).collect()}
+    want, rows = {}, sorted(rows)
+    for i, (g, v, a, b) in enumerate(rows):
+        old = want[rows[i - 1][:2]] if i and rows[i - 1][0] == g else (None, 0, 0)
+        after = rows[i + 1][1] if i + 1 < len(rows) and rows[i + 1][0] == g else None
+        want[g, v] = (after, old[1] + a, old[2] + b)
+    assert got == want
+    assert running_sums(df.limit(0), "g", "v", ["a"]).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [None, 1, 23])
+def test_global_rank_any_partitions(spark, partitions):
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("v"), (F.col("id") % 2 == 0).alias("flag"))
+    got = [r["id"] for r in global_rank(df, ["v", F.desc("id")], "r", partitions=partitions).orderBy("r").collect()]
+    assert got == [r["id"] for r in df.orderBy("v", F.desc("id")).collect()]
+    both = global_rank(df, ["id"], "r", ["v", "flag"], partitions).groupBy("v", "flag").agg(F.min("r"), F.max("r"), F.count("*"), F.countDistinct("r")).collect()
+    assert all(r[2] == 0 and r[3] == r[4] - 1 == r[5] - 1 for r in both) and len(both) == 16
+    assert global_rank(df.limit(0), ["id"], "r").count() == 0
+
+
+def test_rows_of_very_many_copies_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "COPIES", 7)
+    df = spark.createDataFrame([(1, "a.b")] * 50 + [(2, None)] * 7 + [(3, "c")], "`x.y` int, s string")
+    keyed = with_row_key(df, "row_id")
+    assert keyed.columns == ["x.y", "s", "row_id"] and keyed.count() == 58 and keyed.select("row_id").distinct().count() == 58
+    assert keyed.where("s IS NULL").count() == 7
