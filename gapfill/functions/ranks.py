@@ -7,14 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from gapfill.frames import col, quoted
+from gapfill.frames import col, each, quoted
 from gapfill.functions.scan import global_rank
 
 MAX_LITERAL_CATEGORIES = 255
 _SAMPLE_SEED = 7
 
 
+def offset_rank(df: DataFrame, bucket: str, order: Sequence, out: str,
+                group: Sequence[str] = ()) -> DataFrame:
+    """0-based rank of every row inside ``group`` under (bucket, order), where the caller has buckets that follow the order."""
+    group = list(group)
+    totals = df.groupBy(*each(group), bucket).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*each(group)).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*[col(g).alias(f"__g{i}") for i, g in enumerate(group)],
+                           col(bucket).alias("__b"),
+                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    local = Window.partitionBy(*each(group), bucket).orderBy(*each(order))
+    ranked = df.withColumn("__local", F.row_number().over(local) - 1)
+    same = col(bucket).eqNullSafe(F.col("__b"))
+    for i, g in enumerate(group):
+        same = same & col(g).eqNullSafe(col(f"__g{i}"))
+    # null-safe keys: NULL groups are ranked like any other, and no filter recomputes the bucket
+    return (ranked.join(totals, same, "inner")
+            .withColumn(out, F.col("__local") + F.col("__offset"))
+            .drop("__local", "__b", "__offset", *[f"__g{i}" for i in range(len(group))]))
+
+
 def uniform_rank(df: DataFrame, u: Column, tiebreak: Sequence[str], out: str, group: Sequence[str] = (),
                  buckets: int | None = None) -> DataFrame:
     """Rank by a uniform column inside ``group``, which may contain hot values: the scan splits each group as well."""
