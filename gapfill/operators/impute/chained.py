@@ -1,10 +1,13 @@
 """Chained equations: every column with gaps is modelled on the others, in rounds.
 
-The linear imputer never rewrites the table. After (round r, column j) the state
-of a row is a pure function of its raw values and the models fitted so far, so
-each pass replays those models batch by batch as matrix arithmetic, adds up one
-Gram matrix, and only that matrix reaches the driver. No state table, no growing
-lineage, and a lost executor just replays its partitions.
+The linear imputer never rewrites the table. Without draws and limits a filled
+value is an affine function of its row's observed values, the same for all rows
+with the same gaps. One pass adds up a Gram matrix per gap pattern; every round
+of every column is then algebra on these matrices, and one more pass per round
+measures how far the values moved. With draws or limits, or with too many
+patterns for the driver, each pass replays the models fitted so far batch by
+batch and adds up one Gram matrix. No state table, no growing lineage, and a
+lost executor just repeats its partitions.
 
 Tree models cannot be replayed that way; they keep a state table whose lineage
 is cut by a reliable checkpoint after every round.
@@ -19,7 +22,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +137,35 @@ def fill_by_code(df: DataFrame, c: str, code: Column, domain: DataFrame) -> Data
     return df.withColumn(c, F.coalesce(col(c), F.col("__value"))).drop("__code", "__value")
 
 
+PATTERN_BYTES = 128 << 20
+
+
+def affine(steps: Sequence[LinearStep], means: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """State of a row with these gaps after ``steps``, as a matrix applied to (1, values - means), gaps being 0."""
+    p = len(means)
+    out = np.eye(p + 1)
+    out[1:][gaps] = 0.0
+    for s in steps:
+        if gaps[s.column]:
+            out[s.column + 1] = step_row(s, means) @ out
+    return out
+
+
+def step_row(s: LinearStep, means: np.ndarray) -> np.ndarray:
+    """A step's prediction less the target's mean, as weights of (1, values - means)."""
+    row = np.zeros(len(means) + 1)
+    row[0] = s.intercept - means[s.column] - s.coef @ (s.centre - means[s.inputs])
+    row[s.inputs + 1] = s.coef
+    return row
+
+
+def patterns_of(gaps: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct gap patterns, number of each row's)."""
+    packed = np.ascontiguousarray(np.packbits(gaps, axis=1))
+    found, inverse = np.unique(packed.view([("", packed.dtype)] * packed.shape[1]).ravel(), return_inverse=True)
+    return [f.tobytes() for f in found], inverse
+
+
 class EncodedColumns:
     """Numeric coordinates of a mixed table and the way back.
 
@@ -216,35 +250,137 @@ class MICEImputer(Imputer):
         usable = [j for j in range(p) if j not in dead]
         solve = evidence_ridge if self.ridge else plain_least_squares
         history = []
-        if len(usable) > 1:
-            for r in range(self.max_iter):
-                for at, group in enumerate(order):
-                    j = group[0]
-                    n, centre, gram, change = self._pass(base, model, j, finished=at == 0 and r > 0)
-                    if at == 0 and r > 0:
-                        history.append((r - 1, change))
-                        if not self.sample_posterior and change < self.tol * scale:
-                            break
-                    # a category's own dummies say everything about each other
-                    inputs = np.array([i for i in usable if enc.owner[i] != enc.owner[j]], dtype=int)
-                    if n == 0 or not len(inputs):
-                        continue
-                    for j in group:
-                        coef, noise, spread = solve(n, gram[np.ix_(inputs, inputs)], gram[inputs, j], gram[j, j])
-                        model.steps.append(LinearStep(r, j, inputs, centre[inputs], coef, float(centre[j]), noise, spread))
-                else:
-                    continue
-                break
+        if len(usable) > 1 and order:
+            kept = self._pattern_grams(base, model) if model.linear else None
+            if kept is not None:
+                history = self._algebra(base, model, kept, order, usable, solve, scale)
+            else:
+                history = self._replayed(base, model, order, usable, solve, scale)
         base.unpersist()
         model.history = history
         model.n_rounds = 1 + max([s.round for s in model.steps], default=-1)
         return model
 
+    def _fit_group(self, model, r, group, usable, solve, n, centre, gram) -> list[LinearStep]:
+        """The regressions of a column, or of a category's dummies, from centred sums."""
+        # a category's own dummies say everything about each other
+        inputs = np.array([i for i in usable if model.enc.owner[i] != model.enc.owner[group[0]]], dtype=int)
+        if n == 0 or not len(inputs):
+            return []
+        steps = []
+        for j in group:
+            coef, noise, spread = solve(n, gram[np.ix_(inputs, inputs)], gram[inputs, j], gram[j, j])
+            steps.append(LinearStep(r, j, inputs, centre[inputs], coef, float(centre[j]), noise, spread))
+        return steps
+
+    def _replayed(self, base, model, order, usable, solve, scale) -> list[tuple[int, float]]:
+        """One pass per column and round, each with all models so far."""
+        history = []
+        for r in range(self.max_iter):
+            for at, group in enumerate(order):
+                n, centre, gram, change = self._pass(base, model, group[0], finished=at == 0 and r > 0)
+                if at == 0 and r > 0:
+                    history.append((r - 1, change))
+                    if not self.sample_posterior and change < self.tol * scale:
+                        return history
+                model.steps += self._fit_group(model, r, group, usable, solve, n, centre, gram)
+        return history
+
+    def _pattern_grams(self, base: DataFrame, model: "LinearChainModel") -> dict[bytes, np.ndarray] | None:
+        """Gram matrix of (1, values - means) per gap pattern, gaps being 0; ``None`` if they are too many for the driver."""
+        names, means = model.enc.names, model.means
+        p = len(names)
+        most = max(1, PATTERN_BYTES // (8 * (p + 1) ** 2))
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[bytes, np.ndarray] = {}
+
+            def rows():
+                out = [(k, i, part) for k, g in held.items() for i, part in chunks(g.ravel())]
+                held.clear()
+                return pd.DataFrame(out, columns=["pattern", "chunk", "part"])
+            for pdf in batches:
+                raw = pdf[names].to_numpy(dtype=float)
+                found, own = patterns_of(np.isnan(raw)) if len(raw) else ([], None)
+                z = np.hstack([np.ones((len(raw), 1)), np.nan_to_num(raw - means)])
+                for i, pattern in enumerate(found):
+                    part = z[own == i]
+                    if len(held) >= most and pattern not in held:
+                        yield rows()
+                    held[pattern] = held.get(pattern, 0.0) + part.T @ part
+            if held:
+                yield rows()
+        sums = base.mapInPandas(add, "pattern binary, chunk int, part array<double>").groupBy("pattern", "chunk").agg(
+            Summarizer.sum(array_to_vector(F.col("part"))).alias("v"))
+        sums = cut_lineage(sums)
+        if sums.select("pattern").distinct().count() > most:
+            return None
+        parts: dict[bytes, dict[int, np.ndarray]] = {}
+        for row in sums.collect():
+            parts.setdefault(bytes(row["pattern"]), {})[row["chunk"]] = row["v"].toArray()
+        return {k: np.concatenate([v[i] for i in sorted(v)]).reshape(p + 1, p + 1) for k, v in parts.items()}
+
+    def _algebra(self, base, model, grams, order, usable, solve, scale) -> list[tuple[int, float]]:
+        """All rounds on the Gram matrices of the gap patterns: a filled column is a weighted sum of the others' rows."""
+        p = len(model.means)
+        gaps = {k: np.unpackbits(np.frombuffer(k, np.uint8), count=p).astype(bool) for k in grams}
+        for k, g in grams.items():
+            # gaps start at the mean, which is 0 here
+            g[1:][gaps[k]] = 0.0
+            g[:, 1:][:, gaps[k]] = 0.0
+        history = []
+        for r in range(self.max_iter):
+            done = len(model.steps)
+            for group in order:
+                j = group[0]
+                total = sum((g for k, g in grams.items() if not gaps[k][j]), np.zeros((p + 1, p + 1)))
+                n = total[0, 0]
+                mean = total[0, 1:] / max(n, 1.0)
+                steps = self._fit_group(model, r, group, usable, solve, n, mean + model.means, total[1:, 1:] - n * np.outer(mean, mean))
+                model.steps += steps
+                for k, g in grams.items():
+                    for s in steps if gaps[k][j] else []:
+                        row = step_row(s, model.means)
+                        across = row @ g
+                        g[s.column + 1], g[:, s.column + 1] = across, across
+                        g[s.column + 1, s.column + 1] = across @ row
+            if r + 1 < self.max_iter:
+                change = self._moved(base, model, done)
+                history.append((r, change))
+                if change < self.tol * scale:
+                    break
+        return history
+
+    def _moved(self, base: DataFrame, model: "LinearChainModel", done: int) -> float:
+        """Largest change of a value by the steps after the first ``done`` ones."""
+        names, means, steps = model.enc.names, model.means, list(model.steps)
+
+        def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            most, maps = 0.0, {}
+            for pdf in batches:
+                raw = pdf[names].to_numpy(dtype=float)
+                if not len(raw):
+                    continue
+                gaps = np.isnan(raw)
+                found, own = patterns_of(gaps)
+                z = np.hstack([np.ones((len(raw), 1)), np.nan_to_num(raw - means)])
+                for i, pattern in enumerate(found):
+                    rows = own == i
+                    mine = gaps[rows][0]
+                    if mine.any():
+                        if pattern not in maps:
+                            maps[pattern] = affine(steps, means, mine)[1:][mine] - affine(steps[:done], means, mine)[1:][mine]
+                        most = max(most, float(np.abs(z[rows] @ maps[pattern].T).max()))
+                if len(maps) > 10_000:
+                    maps.clear()
+            yield pd.DataFrame({"most": [most]})
+        return float(base.mapInPandas(move, "most double").agg(F.max("most")).first()[0] or 0.0)
+
     def _pass(self, base: DataFrame, model: "LinearChainModel", j: int, finished: bool):
         """Centred Gram matrix over the rows where column ``j`` is observed, and,
         at the start of a round, the largest change the round before made."""
         p = len(model.enc.names)
-        fill = model.filler()
+        fill = model.filler(replayed=True)
         shift = model.means
 
         def gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -274,18 +410,46 @@ class LinearChainModel(Model):
         self.steps: list[LinearStep] = []
         self.means = np.zeros(len(enc.names))
 
+    @property
+    def linear(self) -> bool:
+        """Without draws and limits a filled value is an affine function of the observed ones."""
+        return self.seed is None and self.limits is None
+
     def batch_frame(self, df: DataFrame, *extra) -> DataFrame:
         h = [F.xxhash64(F.lit(self.seed), *each(self.key)).alias("__h")] if self.seed is not None else []
         return self.enc.prepare(df).select(*extra, *self.enc.expr, *h)
 
-    def filler(self):
+    def filler(self, replayed: bool = False):
+        """(values, filled values, those a round earlier) of a batch; the last only where the steps are ``replayed``."""
         names, means, steps, limits = self.enc.names, self.means, list(self.steps), self.limits
-        random = self.seed is not None
+        random, linear = self.seed is not None, self.linear and not replayed
+        maps: dict[bytes, np.ndarray] = {}
 
         def fill(pdf: pd.DataFrame):
             raw = pdf[names].to_numpy(dtype=float)
+            if linear:
+                return raw, mapped(raw), None
             h = pdf["__h"].to_numpy(np.int64).view(np.uint64) if random else None
             return (raw, *replay(raw, means, steps, h, limits))
+
+        def mapped(raw: np.ndarray) -> np.ndarray:
+            """One matrix per gap pattern in place of all steps one by one."""
+            gaps, out = np.isnan(raw), raw.copy()
+            if not gaps.any():
+                return out
+            z = np.hstack([np.ones((len(raw), 1)), np.nan_to_num(raw - means)])
+            found, own = patterns_of(gaps)
+            for i, pattern in enumerate(found):
+                rows = np.flatnonzero(own == i)
+                mine = gaps[rows[0]]
+                if not mine.any():
+                    continue
+                if pattern not in maps:
+                    if len(maps) > 10_000:
+                        maps.clear()
+                    maps[pattern] = affine(steps, means, mine)[1:][mine]
+                out[np.ix_(rows, np.flatnonzero(mine))] = z[rows] @ maps[pattern].T + means[mine]
+            return out
         return fill
 
     def _transform(self, df):

@@ -168,6 +168,32 @@ def chained_linear_2(spark, d):
     return out.select("l_orderkey", rnd("sum_price", 3).alias("sum_price"))
 
 
+def _regressed(name: str, source: str, y: str, z: str, flag: str) -> str:
+    """One step of a chain in SQL: ``y`` on n_lines and ``z`` by the normal equations of the rows that have it."""
+    return f"""{name}c AS (SELECT covar_pop(n_lines, n_lines) AS s11, covar_pop(n_lines, {z}) AS s12, covar_pop({z}, {z}) AS s22, covar_pop(n_lines, {y}) AS t1,
+  covar_pop({z}, {y}) AS t2, avg(n_lines) AS m1, avg({z}) AS m2, avg({y}) AS my FROM {source} WHERE NOT {flag}),
+{name} AS (SELECT s.* EXCLUDE ({y}), CASE WHEN {flag} THEN my + (t1 * s22 - t2 * s12) / (s11 * s22 - s12 * s12) * (n_lines - m1)
+  + (t2 * s11 - t1 * s12) / (s11 * s22 - s12 * s12) * ({z} - m2) ELSE {y} END AS {y} FROM {source} s, {name}c)"""
+
+
+CHAIN_PATTERNS = [PatternConfig(["sum_qty"], freq=0.4), PatternConfig(["sum_price"], freq=0.2), PatternConfig(["sum_qty", "sum_price"], freq=0.4)]
+_CHAIN = [f"""{ORDER_FEATS}, cp AS (SELECT l_orderkey, CAST(n_lines AS DOUBLE) AS n_lines, sum_qty, sum_price, {u('miss', 'l_orderkey')} < 0.3 AS hit, {u('pattern', 'l_orderkey')} AS up FROM of),
+cg AS (SELECT l_orderkey, n_lines, hit AND (up < 0.4 OR up >= 0.6) AS no_qty, hit AND up >= 0.4 AS no_price, CASE WHEN hit AND (up < 0.4 OR up >= 0.6) THEN NULL ELSE sum_qty END AS sum_qty,
+  CASE WHEN hit AND up >= 0.4 THEN NULL ELSE sum_price END AS sum_price FROM cp),
+c0 AS (SELECT l_orderkey, n_lines, no_qty, no_price, coalesce(sum_qty, avg(sum_qty) OVER ()) AS sum_qty, coalesce(sum_price, avg(sum_price) OVER ()) AS sum_price FROM cg)"""]
+for _r in range(3):
+    _CHAIN += [_regressed(f"p{_r}", f"q{_r - 1}" if _r else "c0", "sum_price", "sum_qty", "no_price"), _regressed(f"q{_r}", f"p{_r}", "sum_qty", "sum_price", "no_qty")]
+
+
+@query("chained_rounds", f"WITH {', '.join(_CHAIN)} SELECT l_orderkey, round(sum_qty, 4) AS sum_qty, round(sum_price, 3) AS sum_price FROM q2")
+def chained_rounds(spark, d):
+    """Two columns with gaps, some rows missing both, three rounds without penalty: all six regressions in one pass over the data."""
+    df = order_feats(spark, d).select("l_orderkey", F.col("n_lines").cast("double").alias("n_lines"), "sum_qty", "sum_price")
+    t = ampute(df, "l_orderkey", 0.3, CHAIN_PATTERNS, check=False).select("l_orderkey", "n_lines", "sum_qty", "sum_price")
+    out = MICEImputer(max_iter=3, sample_posterior=False, ridge=False, tol=0.0).fit_transform(t, "l_orderkey")
+    return out.select("l_orderkey", rnd("sum_qty", 4).alias("sum_qty"), rnd("sum_price", 3).alias("sum_price"))
+
+
 # For fitted models whose values SQL cannot restate, one row of invariants is compared:
 # rows kept, gaps left, observed cells changed, and an error below that of the mean.
 INVARIANT = f"""WITH {ORDER_FEATS}, {ONE_GAP} SELECT count(*) AS n_rows, count(*) FILTER (sum_price IS NULL) AS n_filled, CAST(0 AS BIGINT) AS nulls_left,

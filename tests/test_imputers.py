@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapfill.operators.ampute import PatternConfig, ampute, introduce_missing
 from gapfill.operators.encode import categories
+from gapfill.operators.impute import chained
 from gapfill.operators.impute.chained import MICEImputer, MissForestImputer, XGBoostImputer, evidence_ridge, mix
 from gapfill.operators.impute.knn import KNNImputer
 from gapfill.operators.impute.neural import AdversarialNet, DAEImputer, DenoisingNet, GAINImputer, Layout, VAEImputer, VariationalNet
@@ -286,3 +287,35 @@ def test_checkpoint_folder_is_required_on_a_cluster(spark, monkeypatch):
         checkpoint_dir(cluster)
     conf.get = lambda name, default: "hdfs:///shared"
     assert checkpoint_dir(cluster) == "hdfs:///shared"
+
+
+@pytest.mark.parametrize("ridge", [True, False])
+def test_pattern_algebra_equals_the_replay(spark, ridge):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 4)) @ rng.normal(size=(4, 4)) + 5
+    x[rng.random((300, 4)) < 0.25] = np.nan
+    cats = [None if rng.random() < 0.2 else "uvw"[int(k)] for k in rng.integers(0, 3, 300)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r], c) for i, (r, c) in enumerate(zip(x, cats))]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double, d double, k string").repartition(5).persist()
+    options = dict(max_iter=4, sample_posterior=False, ridge=ridge, tol=0.0)
+    one = MICEImputer(**options).fit(df, "id")
+    # limits that limit nothing take the other way
+    two = MICEImputer(**options, min_value=-1e300, max_value=1e300).fit(df, "id")
+    assert one.linear and not two.linear and len(one.steps) == len(two.steps) and one.n_rounds == two.n_rounds == 4
+    for s, t in zip(one.steps, two.steps):
+        assert (s.round, s.column) == (t.round, t.column) and np.allclose(s.coef, t.coef, atol=1e-6) and np.isclose(s.intercept, t.intercept)
+    assert [r for r, _ in one.history] == [r for r, _ in two.history][:len(one.history)]
+    assert np.allclose([c for _, c in one.history], [c for _, c in two.history][:len(one.history)], atol=1e-6)
+    a, b = ({r["id"]: r for r in m.transform(df).collect()} for m in (one, two))
+    assert all(a[i]["k"] == b[i]["k"] and np.allclose([a[i][c] for c in "abcd"], [b[i][c] for c in "abcd"], atol=1e-6) for i in a)
+    # a pattern that was not there while fitting
+    new = spark.createDataFrame([(1, None, None, None, 1.0, None), (2, 1.0, 2.0, 3.0, 4.0, "u")], df.schema)
+    assert one.transform(new).where("a IS NULL OR k IS NULL").count() == 0
+
+
+def test_too_many_patterns_fall_back(spark, monkeypatch):
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i), None if i % 5 == 0 else 2.0 * i, 1.0 * i * i) for i in range(200)], "id int, a double, b double, c double")
+    many = MICEImputer(max_iter=2, sample_posterior=False, tol=0.0).fit_transform(df, "id").orderBy("id").collect()
+    monkeypatch.setattr(chained, "PATTERN_BYTES", 1)
+    few = MICEImputer(max_iter=2, sample_posterior=False, tol=0.0).fit_transform(df, "id").orderBy("id").collect()
+    assert all(np.allclose(list(x)[1:], list(y)[1:]) for x, y in zip(many, few))
