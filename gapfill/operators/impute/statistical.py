@@ -7,12 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gapfill.frames import any_missing, col, preserve_observed, split_kinds
+from gapfill.functions.scan import running_sums
 from gapfill.operators.impute.base import Imputer, Model
 
-SKETCH_ACCURACY = 100_000
+SKETCH_ACCURACY = 10_000
 
 
 def long_values(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
@@ -37,9 +37,10 @@ def column_modes(df: DataFrame, columns: Sequence[str]) -> dict[str, object]:
 def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact medians in two passes.
 
-    A quantile sketch brackets the middle rank (its rank error is bounded), the
-    second pass counts what lies below the bracket and keeps only the distinct
-    values inside it.
+    A quantile sketch brackets the middle rank (its rank error is bounded, its
+    size too, so that hundreds of columns share a pass), the second pass counts
+    what lies below the bracket; a prefix scan over the distinct values inside
+    the brackets of all columns finds the middle.
     """
     if not columns:
         return {}
@@ -57,8 +58,7 @@ def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     base = df.agg(*below).first()
     inside = df.select(*[F.when(col(c).cast("double").between(*row[f"q_{c}"]), col(c)).alias(c) for c in live])
     counts = long_values(inside, live, "double").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("upto", F.sum("n").over(order))
+    upto = running_sums(counts, "column", "value", ["n"]).withColumnRenamed("n", "upto")
     lo, hi = F.lit(None).cast("bigint"), F.lit(None).cast("bigint")
     for c in live:
         n, b = row[f"n_{c}"], base[f"b_{c}"]
