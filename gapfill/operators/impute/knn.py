@@ -6,7 +6,7 @@ coordinates compared. Ties go to the smaller donor key.
 
 Two ways to the same result:
 
-* donors below a checked size travel to every task, no shuffle at all;
+* donors below a checked size travel to every task, no shuffle at all, if comparing all of them is little work;
 * otherwise donors are dealt into the boxes of a kd-tree. A row with a gap
   first visits one box, which bounds the distance of its k-th neighbour, and then only
   those boxes whose distance lower bound does not exceed that. Boxes that hold
@@ -32,6 +32,7 @@ from gapfill.operators.impute.base import Imputer, Model
 from gapfill.operators.impute.statistical import long_values
 
 TILE_CELLS = 2_000_000
+MAX_PAIRS = 1_000_000_000      # comparisons of gaps with donors that need no boxes
 FRONTIER = 500_000
 TREE_SAMPLE_PER_BOX = 8
 TREE_SAMPLE = 20_000
@@ -211,7 +212,7 @@ class KNNImputer(Imputer):
     needs_missing = False
 
     def __init__(self, n_neighbors: int = 5, weights: str = "uniform", categorical_encoder: str = "onehot",
-                 max_broadcast_bytes: int = 64 << 20, box_rows: int = 20_000, max_boxes: int = 1 << 16):
+                 max_broadcast_bytes: int = 64 << 20, box_rows: int = 2_000, max_boxes: int = 1 << 16):
         if weights not in ("uniform", "distance"):
             raise ValueError("weights must be 'uniform' or 'distance'")
         if categorical_encoder not in ("onehot", "ordinal"):
@@ -231,7 +232,7 @@ class KNNImputer(Imputer):
                 widths[c] = max(1, n)
         model = KNNModel(self.get_params(), Space(list(kinds), widths, set(cat) if onehot else set()), values)
         model.fit_frame, model.key, model.kinds = df, key, kinds
-        n = df.count()
+        n = model.donors = df.count()
         model.fits = n * 8 * (len(kinds) + len(key)) <= self.max_broadcast_bytes
         encoded = model.encode(df)
         row = encoded.agg(*[F.avg(col(c)).alias(c) for c in kinds]).first()
@@ -269,13 +270,21 @@ class KNNModel(Model):
         recipients = recipients.join(flags, self.key) if any(k != NUMERICAL for k in self.kinds.values()) else \
             recipients.withColumns({f"__gap_{c}": col(c).isNull() for c in targets})
         donors = self.encode(self.fit_frame)
-        found = self._by_broadcast(recipients, donors, targets) if self.fits else \
+        found = self._by_broadcast(recipients, donors, targets) if self.fits and self._few(recipients, targets) else \
             self._by_boxes(recipients, donors, targets)
         df = df.join(found, self.key, "left")
         for c in targets:
             df = self._fill(df, c)
         return df
 
+    def _observed(self, target: str) -> Column:
+        """Whether a row has any coordinate to compare; rows without are nobody's neighbours and have none."""
+        return reduce(lambda a, b: a | b, [col(c).isNotNull() for c in self.space.without(target)], F.lit(False))
+
+    def _few(self, recipients, targets) -> bool:
+        cells = reduce(lambda a, b: a + b, [(col(f"__gap_{t}") & self._observed(t)).cast("bigint") for t in targets], F.lit(0))
+        return self.donors * (recipients.agg(F.sum(cells)).first()[0] or 0) <= MAX_PAIRS
+
     # --- donors on every task ---
 
     def _by_broadcast(self, recipients, donors, targets):
@@ -291,11 +300,12 @@ class KNNModel(Model):
                 for t in targets:
                     at = kinds.index(t)
                     use = [i for i in range(len(kinds)) if i != at]
-                    d = pool[~np.isnan(pool[:, at])]
-                    need = np.flatnonzero(pdf[f"__gap_{t}"].to_numpy(bool))
+                    d = pool[~np.isnan(pool[:, at]) & ~np.isnan(pool[:, use]).all(axis=1)]
+                    gap = pdf[f"__gap_{t}"].to_numpy(bool)
                     cell: list = [None] * len(pdf)
-                    for i in need:
+                    for i in np.flatnonzero(gap):
                         cell[i] = []
+                    need = np.flatnonzero(gap & ~np.isnan(x[:, use]).all(axis=1))
                     if len(d) and len(need):
                         names = [kinds[i] for i in use]
                         for first, rows, cols, d2 in search(space, names, x[need][:, use], d[:, use], k):
@@ -327,12 +337,12 @@ class KNNModel(Model):
         dkeys = [f"__d{i}" for i in range(len(self.key))]
         # Only the k smallest keys among donors with equal coordinates can ever be chosen.
         first = Window.partitionBy(*each(features)).orderBy(*each(self.key))
-        donors = (donors.select(*[col(c).alias(d) for c, d in zip(self.key, dkeys)], *each(self.key),
+        donors = (donors.where(self._observed(target)).select(*[col(c).alias(d) for c, d in zip(self.key, dkeys)], *each(self.key),
                                 *each(features), col(target).alias("value"))
                   .withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= k).drop("__rn", *self.key))
         # Recipients with equal coordinates share their neighbours.
         rep = F.struct(*self.key)
-        distinct = recipients.groupBy(*each(features)).agg(F.min(rep).alias("rep")).persist()
+        distinct = recipients.where(self._observed(target)).groupBy(*each(features)).agg(F.min(rep).alias("rep")).persist()
         n = donors.count()
         leaves = max(1, min(self.params["max_boxes"], -(-n // self.params["box_rows"])))
         wanted = max(TREE_SAMPLE, TREE_SAMPLE_PER_BOX * leaves)

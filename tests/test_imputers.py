@@ -319,3 +319,28 @@ def test_too_many_patterns_fall_back(spark, monkeypatch):
     monkeypatch.setattr(chained, "PATTERN_BYTES", 1)
     few = MICEImputer(max_iter=2, sample_posterior=False, tol=0.0).fit_transform(df, "id").orderBy("id").collect()
     assert all(np.allclose(list(x)[1:], list(y)[1:]) for x, y in zip(many, few))
+
+
+@pytest.mark.parametrize("encoder", ["onehot", "ordinal"])
+def test_knn_boxes_when_comparing_all_is_much_work(spark, monkeypatch, encoder):
+    from gapfill.operators.impute import knn
+    rows = [(i, None if i % 4 == 0 else float(i * 7 % 31), None if i % 5 == 0 else "abc"[i % 3], None if i % 7 == 0 else i / 3) for i in range(120)]
+    rows += [(200 + i, None, None, None) for i in range(8)] + [(300 + i, None, "b", 2.0) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, a double, b string, c double")
+    fill = lambda: sorted(map(tuple, KNNImputer(3, categorical_encoder=encoder, box_rows=20).fit_transform(df, "id").collect()))
+    want = fill()
+    monkeypatch.setattr(knn, "MAX_PAIRS", 10)
+    monkeypatch.setattr(knn.KNNModel, "_by_broadcast", None)
+    got = fill()
+    assert [(r[0], r[2]) for r in got] == [(r[0], r[2]) for r in want]
+    for x, y in zip(got, want):
+        assert x[1] == pytest.approx(y[1]) and x[3] == pytest.approx(y[3])
+
+
+def test_knn_rows_with_nothing_observed_are_not_compared(spark, monkeypatch):
+    from gapfill.operators.impute import knn
+    df = spark.createDataFrame([(i, None if i % 2 else 1.0 * i, None if i % 2 else 2.0 * i) for i in range(40)], "id int, a double, b double")
+    monkeypatch.setattr(knn, "MAX_PAIRS", 0)
+    monkeypatch.setattr(knn.KNNModel, "_by_boxes", None)
+    out = KNNImputer(3).fit_transform(df, "id").where("id % 2 = 1").collect()
+    assert len(out) == 20 and all(r["a"] == 19.0 and r["b"] == 38.0 for r in out)
