@@ -1,6 +1,6 @@
 """Second-order boosting on histograms, for many models at once.
 
-Rows are binned once and kept as blocks of arrays. Every level of a round's trees is one pass: tasks add up gradients,
+Rows are binned once and kept as blocks of arrays; where no rows are drawn, rows of one task with equal bins, label and fold are kept as one. Every level of a round's trees is one pass: tasks add up gradients,
 curvatures and counts per (tree, node, feature, bin), the sums of all tasks meet in a grouped sum, and the driver, which sees
 nothing but these sums, picks the splits. Models that share the rows (cross-validation folds, several versions of the
 features, classes, dummies of a category) share all passes.
@@ -26,6 +26,8 @@ SUMS = 3                 # gradient, curvature, count
 HISTOGRAM_BYTES = 32 << 20
 MARGINS = 2 << 20        # margins of a block
 ROWS = 10_000
+MANY_TREES = 64
+GROUP_ROWS = 100_000     # rows that are looked at together for equal ones
 TASK_MARGINS = 200_000
 CUT_ROUNDS = 10
 
@@ -45,14 +47,31 @@ class Trees:
         return Trees(np.full(shape, -1, np.int32), np.zeros(shape, np.int32), np.zeros(shape, bool), np.zeros(shape))
 
     def nodes(self, o: int, bins: np.ndarray, missing: int, levels: int) -> np.ndarray:
-        """Node of every row of ``bins`` after ``levels`` steps in the tree of output ``o``."""
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        for _ in range(levels):
-            f = self.feature[o][node]
-            b = bins[rows, np.maximum(f, 0)]
-            left = np.where(b == missing, self.missing_left[o][node], b <= self.bin[o][node])
-            node = np.where(f >= 0, 2 * node + 2 - left, node)
+        """Node of every column of ``bins`` (features x rows) after ``levels`` steps in the tree of output ``o``."""
+        n, width = bins.shape[1], missing + 1
+        inner = 2 ** levels - 1
+        feature = np.maximum(self.feature[o][:inner], 0).astype(np.intp)
+        node = np.zeros(n, np.intp)
+        if inner * width > 8 * n:
+            rows = np.arange(n)
+            for _ in range(levels):
+                f = self.feature[o][node]
+                b = bins[np.maximum(f, 0), rows]
+                left = np.where(b == missing, self.missing_left[o][node], b <= self.bin[o][node])
+                node = np.where(f >= 0, 2 * node + 2 - left, node)
+            return node
+        # the next node for every (node, bin)
+        at = np.arange(inner)[:, None]
+        left = np.arange(width) <= self.bin[o][:inner, None]
+        left[:, missing] = self.missing_left[o][:inner]
+        step = np.where(self.feature[o][:inner, None] >= 0, 2 * at + 2 - left, at).ravel()
+        flat, rows = bins.ravel(), np.arange(n)
+        for level in range(levels):
+            if level == 0 or len(bins) == 1:
+                b = bins[feature[0]] if level == 0 else bins[0]
+            else:
+                b = flat.take(feature.take(node) * n + rows)
+            node = step.take(node * width + b)
         return node
 
 
@@ -90,6 +109,18 @@ def to_bins(x: np.ndarray, edges: Sequence[np.ndarray], missing: int) -> np.ndar
     return out
 
 
+def columns_of(bins: np.ndarray) -> np.ndarray:
+    """Bins as features x rows, ready to be indexes."""
+    return np.ascontiguousarray(bins.T).astype(np.intp)
+
+
+def alike(bins: np.ndarray, y: np.ndarray, fold: np.ndarray, n: np.ndarray):
+    """Rows of equal bins, label and fold as one row with their number: they share every gradient and every node."""
+    wide = np.hstack([np.ascontiguousarray(v).view(np.uint8).reshape(len(y), -1) for v in (bins, y, fold)])
+    _, first, place = np.unique(wide.view(f"V{wide.shape[1]}").ravel(), return_index=True, return_inverse=True)
+    return bins[first], y[first], fold[first], np.bincount(place, n, len(first))
+
+
 def best_splits(hist: np.ndarray, allowed: np.ndarray, lam: float, min_gain: float, min_weight: float, min_rows: int):
     """For every (output, node) of ``hist`` (outputs, nodes, features, bins, sums): (gain, feature, bin, missing left, sums left, sums).
 
@@ -154,37 +185,57 @@ class HistogramBooster:
                              F.xxhash64(F.lit(self.seed), *key).alias("h"))
         size = max(256, min(ROWS, MARGINS // len(base)))
 
+        whole = self.subsample >= 1
+
+        def cut(bins, y, fold, h, n):
+            for at in range(0, len(y), size):
+                to = slice(at, at + size)
+                margin = np.tile(base.astype(np.float32), (len(y[to]), 1))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (bins[to], y[to], fold[to], h[to], margin, n[to])],
+                                                 names=["bins", "y", "fold", "h", "margin", "n"])
+
         def block(batches):
+            held: list = []
             for batch in batches:
-                for at in range(0, batch.num_rows, size):
-                    part = batch.slice(at, size)
-                    x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
-                    margin = np.tile(base.astype(np.float32), (part.num_rows, 1))
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (
-                        to_bins(x, edges, missing), part.column(1).to_numpy(), part.column(2).to_numpy(zero_copy_only=False).astype(np.int32),
-                        part.column(3).to_numpy(), margin)], names=["bins", "y", "fold", "h", "margin"])
-        schema = "bins binary, y binary, fold binary, h binary, margin binary"
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+                part = (to_bins(x, edges, missing), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32))
+                if not whole:
+                    # every row has a draw of its own
+                    yield from cut(*part, batch.column(3).to_numpy(), np.ones(batch.num_rows))
+                    continue
+                held.append((*part, np.ones(batch.num_rows)))
+                if sum(len(p[1]) for p in held) >= GROUP_ROWS:
+                    held = [alike(*(np.concatenate(v) for v in zip(*held)))]
+                    if len(held[0][1]) > GROUP_ROWS // 2:
+                        bins, y, fold, n = held.pop()
+                        yield from cut(bins, y, fold, np.zeros(len(y), np.int64), n)
+            if held:
+                bins, y, fold, n = alike(*(np.concatenate(v) for v in zip(*held)))
+                yield from cut(bins, y, fold, np.zeros(len(y), np.int64), n)
+        schema = "bins binary, y binary, fold binary, h binary, margin binary, n binary"
         # a task's sums are as large however few rows it has
         state = cut_lineage(narrow.coalesce(max(1, count * len(base) // TASK_MARGINS)).mapInArrow(block, schema))
-        kept: list[DataFrame] = []
         model = Boosted(objective, outputs, list(fits), width, edges, base, self.learning_rate, missing)
         run = _Pass(self, model, state.rdd.getNumPartitions())
+        before = None
         for r in range(self.rounds):
             trees = self._round(run, state, r)
+            if before is not None:
+                # the round's first pass has kept what follows from it
+                before.unpersist()
+                before = None
             if not (trees.feature[:, 0] >= 0).any() and self.subsample >= 1 and self.colsample >= 1:
                 break
             model.rounds.append(trees)
-            state = run.add(state, trees, schema)
+            if r + 1 == self.rounds:
+                break
+            last, state = state, run.add(state, trees, schema)
             if (r + 1) % CUT_ROUNDS == 0:
                 state = cut_lineage(state)
-                for old in kept:
-                    old.unpersist()
-                kept = []
+                last.unpersist()
             else:
-                state = state.persist()
-                kept.append(state)
-        for old in kept:
-            old.unpersist()
+                state, before = state.persist(), last
+        state.unpersist()
         return model
 
     def _base(self, rows, label, fold, fits, objective, outputs) -> tuple[np.ndarray, int]:
@@ -241,11 +292,13 @@ class _Pass:
     def __init__(self, booster: HistogramBooster, model: "Boosted", tasks: int):
         self.booster, self.model, self.tasks = booster, model, tasks
 
-    def _arrays(self, row):
-        n = len(row["y"]) // 8
+    def _blocks(self, batch):
+        """The arrays of one block after the other, in place: (bins as features x rows, label, fold, hash, margin, number of rows)."""
         kind = np.uint8 if self.model.missing < 256 else np.uint16
-        return (np.frombuffer(row["bins"], kind).reshape(n, -1), np.frombuffer(row["y"], np.float64), np.frombuffer(row["fold"], np.int32),
-                np.frombuffer(row["h"], np.int64).view(np.uint64), np.frombuffer(row["margin"], np.float32).reshape(n, -1))
+        for i in range(batch.num_rows):
+            bins, y, fold, h, margin, n = (np.frombuffer(c[i].as_buffer(), t) for c, t in zip(
+                batch.columns, (kind, np.float64, np.int32, np.uint64, np.float32, np.float64)))
+            yield columns_of(bins.reshape(len(y), -1)), y, fold, h, margin.reshape(len(y), -1), n
 
     def histogram(self, state: DataFrame, trees: Trees, r: int, level: int) -> np.ndarray:
         """Sums per (output, node of the level, feature, bin); outputs in slices of bounded memory, one job each."""
@@ -253,53 +306,54 @@ class _Pass:
         nodes, bins, width = 2 ** level, model.missing + 1, model.width
         outputs = len(model.base)
         each = max(1, HISTOGRAM_BYTES // (nodes * width * bins * SUMS * 8))
-        arrays = self._arrays
+        blocks = self._blocks
         parts = []
         for lo in range(0, outputs, each):
             hi = min(lo + each, outputs)
 
             def add(batches, lo=lo, hi=hi):
-                total = np.zeros((hi - lo, nodes, width, bins, SUMS))
+                # one node more takes the rows that do not count
+                total = np.zeros((hi - lo, width, SUMS, nodes + 1, bins))
                 for batch in batches:
-                    for row in batch.to_pylist():
-                        x, y, fold, h, margin = arrays(row)
+                    for x, y, fold, h, margin, n in blocks(batch):
                         g, c = gradients(model.objective, margin.astype(float), y, len(model.fits), model.outputs)
-                        drawn = draws(h, r + 1) < booster.subsample if booster.subsample < 1 else None
+                        if not (n == 1).all():
+                            g, c = g * n[:, None], c * n[:, None]
+                        g, c = np.ascontiguousarray(g[:, lo:hi].T), np.ascontiguousarray(c[:, lo:hi].T)
+                        skipped = draws(h, r + 1) >= booster.subsample if booster.subsample < 1 else np.zeros(len(y), bool)
                         for o in range(lo, hi):
                             frame, out = model.fits[o // model.outputs]
-                            use = (fold != out) | (out < 0)
-                            use = use if drawn is None else use & drawn
-                            mine = x[use][:, frame * width:(frame + 1) * width]
+                            mine = x[frame * width:(frame + 1) * width]
                             node = trees.nodes(o, mine, model.missing, level) - (nodes - 1)
-                            live = node >= 0
-                            mine, node = mine[live], node[live]
-                            w = g[use, o][live], c[use, o][live]
+                            idle = skipped | (node < 0)
+                            if out >= 0:
+                                idle |= fold == out
+                            node[idle] = nodes
+                            node *= bins
                             for f in range(width):
-                                at = node * bins + mine[:, f]
-                                for s in range(2):
-                                    total[o - lo, :, f, :, s] += np.bincount(at, w[s], nodes * bins).reshape(nodes, bins)
-                                total[o - lo, :, f, :, 2] += np.bincount(at, minlength=nodes * bins).reshape(nodes, bins)
-                yield byte_chunks(total.ravel())
+                                at = node + mine[f]
+                                for s, w in enumerate((g[o - lo], c[o - lo], n)):
+                                    total[o - lo, f, s] += np.bincount(at, w, (nodes + 1) * bins).reshape(nodes + 1, bins)
+                yield byte_chunks(np.ascontiguousarray(total[:, :, :, :nodes].transpose(0, 3, 1, 4, 2)).ravel())
             shape = hi - lo, nodes, width, bins, SUMS
             parts.append(combine_bytes(state.mapInArrow(add, "chunk int, part binary"), int(np.prod(shape)), self.tasks).reshape(shape))
         return np.concatenate(parts)
 
     def add(self, state: DataFrame, trees: Trees, schema: str) -> DataFrame:
         """The blocks with the round's trees in their margins."""
-        model, depth, arrays = self.model, self.booster.depth, self._arrays
+        model, depth, blocks = self.model, self.booster.depth, self._blocks
 
         def run(batches):
             for batch in batches:
-                out = []
-                for row in batch.to_pylist():
-                    x, *_, margin = arrays(row)
+                for i, (x, *_, margin, _n) in enumerate(blocks(batch)):
                     margin = margin.copy()
                     for o in range(margin.shape[1]):
                         frame = model.fits[o // model.outputs][0]
-                        node = trees.nodes(o, x[:, frame * model.width:(frame + 1) * model.width], model.missing, depth)
+                        node = trees.nodes(o, x[frame * model.width:(frame + 1) * model.width], model.missing, depth)
                         margin[:, o] += model.learning_rate * trees.value[o][node]
-                    out.append(margin.tobytes())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(out, pa.binary())], names=batch.schema.names)
+                    kept = [batch.column(j).slice(i, 1) for j in range(batch.num_columns)]
+                    kept[4] = pa.array([margin.tobytes()], pa.binary())
+                    yield pa.RecordBatch.from_arrays(kept, names=batch.schema.names)
         return state.mapInArrow(run, schema)
 
 
@@ -313,22 +367,37 @@ class Boosted:
 
     def margins(self, x: np.ndarray, fit: int) -> np.ndarray:
         """Margins (rows x outputs) of one fit for the raw features of its frame; NaN is a gap."""
-        lo = fit * self.outputs
+        return self._margins(self._bins(x, fit), fit)
+
+    def _bins(self, x: np.ndarray, fit: int) -> np.ndarray:
         frame = self.fits[fit][0]
-        bins = to_bins(x, self.edges[frame * self.width:(frame + 1) * self.width], self.missing)
-        out = np.tile(self.base[lo:lo + self.outputs], (len(x), 1))
+        return to_bins(x, self.edges[frame * self.width:(frame + 1) * self.width], self.missing)
+
+    def _margins(self, bins: np.ndarray, fit: int) -> np.ndarray:
+        lo = fit * self.outputs
+        cols = columns_of(bins)
+        out = np.tile(self.base[lo:lo + self.outputs], (len(bins), 1))
         for trees in self.rounds:
             depth = int(np.log2(trees.feature.shape[1] + 1)) - 1
             for o in range(self.outputs):
-                out[:, o] += self.learning_rate * trees.value[lo + o][trees.nodes(lo + o, bins, self.missing, depth)]
+                out[:, o] += self.learning_rate * trees.value[lo + o][trees.nodes(lo + o, cols, self.missing, depth)]
         return out
 
     def answers(self, x: np.ndarray, fit: int = 0) -> np.ndarray:
         """A number, or the class of the largest margin (the first one in a tie)."""
-        margin = self.margins(x, fit)
+        bins = self._bins(x, fit)
+        place = None
+        if self.outputs * len(self.rounds) > MANY_TREES:
+            # rows of equal bins get the same answer
+            raw = np.ascontiguousarray(bins)
+            _, first, place = np.unique(raw.view(f"V{raw.dtype.itemsize * raw.shape[1]}").ravel(), return_index=True, return_inverse=True)
+            bins = bins[first]
+        margin = self._margins(bins, fit)
         if self.objective == SQUARED:
-            return margin[:, 0]
-        return (margin[:, 0] > 0).astype(float) if self.objective == LOGISTIC else margin.argmax(1).astype(float)
+            told = margin[:, 0]
+        else:
+            told = (margin[:, 0] > 0).astype(float) if self.objective == LOGISTIC else margin.argmax(1).astype(float)
+        return told if place is None else told[place]
 
     def column(self, features: Sequence[Column], fit: int = 0) -> Column:
         """The prediction of one fit as a column."""

@@ -130,3 +130,24 @@ def test_any_number_of_categories(spark, imputer):
     far = F.abs(F.substring("c", 2, 5).cast("int") - F.substring("truth", 2, 5).cast("int"))
     row = out.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("c").isNull()).alias("gaps"), F.avg(F.when(F.col("id") % 10 == 3, far)).alias("far")).first()
     assert row["n"] == 60_000 and row["gaps"] == 0 and row["far"] < 12_000
+
+
+def test_equal_rows_are_kept_as_one(spark, monkeypatch):
+    """Two thousand rows of 4 x 3 x 2 different ones: the passes see at most 24 of them a task, and nothing changes."""
+    from gapfill.operators import boosting
+    rows = [(i, float(i % 4), None if i % 3 == 0 else float(i % 3), float(i % 2 + (i % 4 > 1)), i % 2) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, y double, fold int").repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+    arrays = boosting._Pass._blocks
+
+    def counted(self, batch):
+        for block in arrays(self, batch):
+            seen.add(len(block[1]))
+            yield block
+    plain = HistogramBooster(rounds=1, depth=2, subsample=0.9999999).fit(df, [features()], F.col("y"), [F.col("id")], SQUARED, 1, F.col("fold"), [(0, 0), (0, 1)])
+    monkeypatch.setattr(boosting._Pass, "_blocks", counted)
+    model = HistogramBooster(rounds=1, depth=2).fit(df, [features()], F.col("y"), [F.col("id")], SQUARED, 1, F.col("fold"), [(0, 0), (0, 1)])
+    assert 0 < seen.value <= 2 * 3 * 24
+    x = np.array([[a, b] for a in range(4) for b in (np.nan, 1.0, 2.0)])
+    for fit in range(2):
+        assert np.allclose(model.margins(x, fit), plain.margins(x, fit))
