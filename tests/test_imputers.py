@@ -344,3 +344,28 @@ def test_knn_rows_with_nothing_observed_are_not_compared(spark, monkeypatch):
     monkeypatch.setattr(knn.KNNModel, "_by_boxes", None)
     out = KNNImputer(3).fit_transform(df, "id").where("id % 2 = 1").collect()
     assert len(out) == 20 and all(r["a"] == 19.0 and r["b"] == 38.0 for r in out)
+
+
+def test_network_shares_follow_the_rows(data, monkeypatch):
+    """More rows, more shares; a gradient that nobody asks for is not computed, and training is in single precision."""
+    from gapfill.operators.impute import neural
+    seen = []
+    run = neural.DAEImputer._round
+
+    def watched(self, frame, net, layout, p, state, r):
+        seen.append(frame.rdd.getNumPartitions())
+        return run(self, frame, net, layout, p, state, r)
+    monkeypatch.setattr(neural.DAEImputer, "_round", watched)
+    monkeypatch.setattr(neural, "SHARE_ROWS", 10)
+    table = data.select("id", *COLUMNS)
+    DAEImputer(rounds=1, local_epochs=1, hidden_dim=8, latent_dim=2).fit(table, "id")
+    assert seen == [max(neural.SHARES, -(-table.count() // 10))]
+    net, x, rng = neural.Layers([3, 5, 2]), np.ones((4, 3), np.float32), np.random.default_rng(1)
+    w = net.start(rng).astype(np.float32)
+    out, tape = net.forward(w, x, 0.1, rng)
+    flat, dx = net.backward(w, tape, np.ones_like(out))
+    assert out.dtype == flat.dtype == dx.dtype == np.float32
+    some, none = net.backward(w, tape, np.ones_like(out), inputs=False)
+    assert none is None and np.array_equal(some, flat)
+    none, same = net.backward(w, tape, np.ones_like(out), weights=False)
+    assert none is None and np.array_equal(same, dx)
