@@ -322,27 +322,33 @@ class KNNModel(Model):
     # --- donors in boxes ---
 
     def _by_boxes(self, recipients, donors, targets):
-        found = recipients.select(*each(self.key))
+        found = recipients
         for t in targets:
-            hits = self._neighbours(recipients.where(col(f"__gap_{t}")), donors.where(col(t).isNotNull()), t)
-            found = found.join(hits, self.key, "left")
-        return found
-
-    def _neighbours(self, recipients: DataFrame, donors: DataFrame, target: str) -> DataFrame:
-        """(key, __nn_<target>) through the two rounds of box visits."""
+            known = self._neighbours(recipients.where(col(f"__gap_{t}")), donors.where(col(t).isNotNull()), t)
+            if known is None:
+                found = found.withColumn(f"__nn_{t}", F.lit(None).cast(NEIGHBOURS))
+                continue
+            # by coordinates and not by key: a key may repeat or be missing
+            same = reduce(lambda a, b: a & b, [col(c).eqNullSafe(col(f"__f_{c}")) for c in self.space.without(t)],
+                          col(f"__gap_{t}") == F.col("__asked"))
+            found = found.join(known.withColumn("__asked", F.lit(True)), same, "left").withColumnRenamed("nn", f"__nn_{t}")
+            found = found.drop("__asked", *[f"__f_{c}" for c in self.space.without(t)])
+        return found.select(*each(self.key), *[f"__nn_{t}" for t in targets])
+
+    def _neighbours(self, recipients: DataFrame, donors: DataFrame, target: str) -> DataFrame | None:
+        """(coordinates as __f_<feature>, nn) through the two rounds of box visits; nothing without features or donors."""
         space, k, features = self.space, self.k, self.space.without(target)
-        nothing = recipients.select(*each(self.key), F.lit(None).cast(NEIGHBOURS).alias(f"__nn_{target}"))
         if not features:
-            return nothing
+            return None
         dkeys = [f"__d{i}" for i in range(len(self.key))]
         # Only the k smallest keys among donors with equal coordinates can ever be chosen.
-        first = Window.partitionBy(*each(features)).orderBy(*each(self.key))
+        first = Window.partitionBy(*each(features)).orderBy(*[col(c).asc_nulls_last() for c in self.key])
         donors = (donors.where(self._observed(target)).select(*[col(c).alias(d) for c, d in zip(self.key, dkeys)], *each(self.key),
                                 *each(features), col(target).alias("value"))
                   .withColumn("__rn", F.row_number().over(first)).where(F.col("__rn") <= k).drop("__rn", *self.key))
         # Recipients with equal coordinates share their neighbours.
-        rep = F.struct(*self.key)
-        distinct = recipients.where(self._observed(target)).groupBy(*each(features)).agg(F.min(rep).alias("rep")).persist()
+        distinct = (recipients.where(self._observed(target)).select(*each(features)).distinct()
+                    .withColumn("rep", F.struct(*each(features))).persist())
         n = donors.count()
         leaves = max(1, min(self.params["max_boxes"], -(-n // self.params["box_rows"])))
         wanted = max(TREE_SAMPLE, TREE_SAMPLE_PER_BOX * leaves)
@@ -363,7 +369,7 @@ class KNNModel(Model):
                      (F.count(col(c)) == F.count(F.lit(1))).alias(f"full_{i}")]
         boxes = Boxes(donors.groupBy("cell").agg(*aggs).toPandas(), len(features), len(tree[0]), self.params["box_rows"])
         if not boxes.n[0]:
-            return nothing
+            return None
         inner = boxes.inner
         sizes = spark.createDataFrame([(i, int(m)) for i, m in enumerate(boxes.chunks[inner:]) if m], "cell int, chunks int")
         # one row per box, at most max_boxes
@@ -395,14 +401,12 @@ class KNNModel(Model):
         second_visit = asked.mapInPandas(rest, _ddl(asked.drop("radius")))
         round2 = self._match(second_visit, donors, features, dkeys, carry=False)
         hits = round1.where(F.col("d2").isNotNull()).select("rep", *dkeys, "d2", "value").unionByName(round2)
-        best = Window.partitionBy("rep").orderBy("d2", *dkeys)
+        best = Window.partitionBy("rep").orderBy("d2", *[F.col(d).asc_nulls_last() for d in dkeys])
         hits = hits.withColumn("__rn", F.row_number().over(best)).where(F.col("__rn") <= k)
         # at most k neighbours per group
         lists = hits.groupBy("rep").agg(F.transform(F.array_sort(F.collect_list(F.struct("__rn", "d2", "value"))),
                                                     lambda s: F.struct(s["d2"].alias("d2"), s["value"].alias("value"))).alias("nn"))
-        known = distinct.join(lists, "rep").select(*[col(c).alias(f"__f_{c}") for c in features], "nn")
-        same = reduce(lambda a, b: a & b, [col(c).eqNullSafe(col(f"__f_{c}")) for c in features], F.lit(True))
-        return recipients.join(known, same, "left").select(*each(self.key), F.col("nn").alias(f"__nn_{target}"))
+        return lists.select(*[F.col("rep")[c].alias(f"__f_{c}") for c in features], "nn")
 
     def _match(self, visits: DataFrame, donors: DataFrame, features, dkeys, carry: bool) -> DataFrame:
         """Search every visited (box, chunk); crowded ones are salted by visitor."""
@@ -411,9 +415,9 @@ class KNNModel(Model):
         crowd = visits.groupBy(*unit).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("salts"))
         visits = visits.join(crowd, unit).withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).drop("salts")
         donors = donors.join(crowd, unit).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-        names = [f"k{i}" for i in range(len(self.key))]
-        # struct keys travel as plain columns through Arrow
-        flat = visits.select(*[F.col("rep")[c].alias(n) for c, n in zip(self.key, names)], *each(features), *unit, "salt")
+        names = [f"k{i}" for i in range(len(features))]
+        # the struct travels as plain columns through Arrow
+        flat = visits.select(*[F.col("rep")[c].alias(n) for c, n in zip(features, names)], *each(features), *unit, "salt")
         types = {f.name: f.dataType.simpleString() for f in flat.schema.fields}
         dtypes = {f.name: f.dataType.simpleString() for f in donors.schema.fields}
         out_cols = [*names, *dkeys, "d2", "value"] + ([*features, "cell", "chunk", "radius", "last"] if carry else [])
@@ -447,7 +451,7 @@ class KNNModel(Model):
         unit = [*unit, "salt"]
         left, right = (f.repartition(self.search_partitions, *unit) for f in (flat, donors))
         got = left.groupBy(*unit).cogroup(right.groupBy(*unit)).applyInPandas(run, ddl)
-        rep = F.struct(*[col(n).alias(c) for c, n in zip(self.key, names)]).alias("rep")
+        rep = F.struct(*[col(n).alias(c) for c, n in zip(features, names)]).alias("rep")
         rest = [c for c in out_cols if c not in names]
         return got.select(rep, *rest)
 

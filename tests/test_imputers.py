@@ -369,3 +369,14 @@ def test_network_shares_follow_the_rows(data, monkeypatch):
     assert none is None and np.array_equal(some, flat)
     none, same = net.backward(w, tape, np.ones_like(out), weights=False)
     assert none is None and np.array_equal(same, dx)
+
+
+def test_knn_boxes_with_repeated_and_missing_keys(spark):
+    """Other rows of one key must not lend each other neighbours, nor multiply beyond what the join by key does."""
+    rows = [(i % 50, None if i % 4 == 0 else float(i * 7 % 31), None if i % 4 == 1 else i / 3) for i in range(100)]
+    rows += [(None, None, 3.0), (None, 4.0, None), (None, 2.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double")
+    fills = [sorted((tuple(r) for r in KNNImputer(3, box_rows=20, **way).fit_transform(df, "id").collect()), key=str) for way in ({}, {"max_broadcast_bytes": 0})]
+    assert len(fills[0]) == len(fills[1])
+    for x, y in zip(*fills):
+        assert x[0] == y[0] and x[1:] == pytest.approx(y[1:])
