@@ -17,6 +17,7 @@ from gapfill.llm.textkit import mix, runs
 SEQUENCE = 256
 SHARD_ROWS = 1 << 16
 ROUNDS = 6
+SAMPLE = 1024
 
 
 def _round_keys(key: int) -> np.ndarray:
@@ -59,6 +60,16 @@ def _write(path: str, body: bytes) -> None:
     system.move(draft, name)
 
 
+def _frequent_first(sample: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """A renumbering of all 16-bit ids, those of a sample of 32-bit ids by falling frequency first, its inverse, and the renumbered sample."""
+    ids = np.frombuffer(b"".join(sample), "<u4")
+    ids = ids[ids <= 0xFFFF]
+    back = np.argsort(-np.bincount(ids, minlength=1 << 16), kind="stable").astype("<u2")
+    code = np.empty(1 << 16, "<u2")
+    code[back] = np.arange(1 << 16)
+    return code, back, code[ids].tobytes()
+
+
 def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int = SEQUENCE, shard_rows: int = SHARD_ROWS,
                 path: str | None = None, doc_id: str = "doc_id", text: str = "text", wide: bool = False) -> DataFrame:
     """Write the shards below ``folder``; (doc_id, piece, start, length, ids_crc32, slot, shard, byte_offset) per sequence.
@@ -70,17 +81,24 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int
 
     Defined results: null and empty texts are one sequence of the end id; repeated rows are written each; an empty table
     writes the manifest alone; other columns are not read. Shards are written aside and renamed.
+
+    On the way 16-bit ids are renumbered by the frequencies of at most ``SAMPLE`` sequences, whose ids are the compression
+    dictionary too: both only make the staged and shuffled copies smaller, whatever the sample holds.
     """
     size = 4 if wide else 2
     stride, kind = size * (sequence + 1), f"<u{size}"
     ids = pieces(docs, sequence, path, doc_id, text, with_ids=True)
+    few = ids.select("ids").limit(SAMPLE).collect()
+    code, back, like = _frequent_first([] if wide else [bytes(r[0]) for r in few])
+    codes = docs.sparkSession.sparkContext.broadcast((code, back, like))
 
     def narrow(batches):
+        code = codes.value[0]
         for batch in batches:
             body = [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()]
             if not wide and any(len(x) and int(x.max()) > 0xFFFF for x in body):
                 raise ValueError("ids beyond 16 bits: use wide=True")
-            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array([x.astype(kind).tobytes() for x in body], pa.binary()))
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array([(x.astype(kind) if wide else code[x]).tobytes() for x in body], pa.binary()))
     rows = staged(ids.mapInArrow(narrow, ids.schema), "sequences", level=9)
     placed = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
     # one number per file of the staged table, which is one per task that wrote it
@@ -95,8 +113,16 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int
     id_type = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    def known_bytes(zstandard):
+        like = codes.value[2]
+        return zstandard.ZstdCompressionDict(like, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(like) >= 8 else None
+
     def deal(batches):
         import zstandard
+        near = known_bytes(zstandard)
+        if near:
+            near.precompute_compress(level=6)
+        pack = zstandard.ZstdCompressor(level=6, dict_data=near).compress
         for batch in batches:
             file = batch.column("__file").dictionary_encode()
             first = np.array([known.value[f] for f in file.dictionary.to_pylist()], np.int64)
@@ -105,40 +131,41 @@ def materialise(docs: DataFrame, folder: str, key: int = 20240607, sequence: int
             shard = slot[order] // shard_rows
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
             body = batch.column("ids").to_pylist()
-            pack = zstandard.ZstdCompressor(level=6).compress
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi > lo:
                     own = order[lo:hi]
                     part = batch.take(pa.array(own))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([int(shard[lo])], pa.int32()), pa.array([slot[own].tolist()], pa.list_(pa.int64()))]
+                        [pa.array([int(shard[lo])], pa.int32()), pa.array([slot[own] % shard_rows], pa.list_(pa.int32()))]
                         + [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), part.column(c)) for c in names]
                         + [pa.array([pack(b"".join(body[i] for i in own.tolist()))], pa.binary())],
                         names=["shard", "slot", *names, "body"])
 
     def write(batches):
         import zstandard
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack = zstandard.ZstdDecompressor(dict_data=known_bytes(zstandard)).decompress
+        back = codes.value[1]
         for table in runs(batches, "shard"):
             shard = int(table.column("shard")[0].as_py())
             base = shard * shard_rows
             image = np.zeros((min(shard_rows, total - base), sequence + 1), kind)
             for row in range(table.num_rows):
-                slot = table.column("slot")[row].values.to_numpy() - base
+                slot = table.column("slot")[row].values.to_numpy()
                 length = table.column("length")[row].values.to_numpy()
                 flat = np.frombuffer(unpack(table.column("body")[row].as_py()), kind)
+                flat = flat if wide else back[flat]
                 image[slot, 0] = length
                 at = np.repeat(slot, length)
                 within = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)
                 image[at, within + 1] = flat
             _write(f"{folder}/shard-{shard:06d}.bin", image.tobytes())
             for row in range(table.num_rows):
-                slot = table.column("slot")[row].values
+                slot = pa.array(table.column("slot")[row].values.to_numpy() + np.int64(base))
                 yield pa.RecordBatch.from_arrays(
                     [table.column(c)[row].values for c in names] + [slot], names=[*names, "slot"])
     fields = f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long"
     lists = f"doc_id array<{id_type}>, piece array<int>, start array<long>, length array<long>, ids_crc32 array<long>"
-    dealt = placed.mapInArrow(deal, f"shard int, slot array<long>, {lists}, body binary")
+    dealt = placed.mapInArrow(deal, f"shard int, slot array<int>, {lists}, body binary")
     ranged = dealt.repartitionById(max(1, -(-total // shard_rows)), F.col("shard")).sortWithinPartitions("shard")
     done = staged(ranged.mapInArrow(write, f"{fields}, slot long"), "slots")
     return done.withColumns({"shard": F.floor(F.col("slot") / shard_rows).cast("int"), "byte_offset": F.col("slot") % shard_rows * stride})

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gapfill.llm import quality, substring, toxicity
+from gapfill.llm import quality, shards, substring, toxicity
 from gapfill.llm.decontaminate import contamination, decontaminate
 from gapfill.llm.langid import identify, keep_identified, train
 from gapfill.llm.minhash import near_duplicates
@@ -410,6 +411,27 @@ def test_shards_round_trip(spark, corpus, tmp_path):
     assert materialise(docs_of(spark, []), str(tmp_path / "e")).count() == 0 and not list(read_slots(str(tmp_path / "e")))
 
 
+def test_copies_of_shards_take_less_with_ids_by_frequency(spark, tmp_path, monkeypatch):
+    """Renumbering by the ids of a sample makes the staged copy smaller and changes no shard, also for ids that the sample lacks."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(words(rng, 400)) + f" {chr(0x4E00 + i)}") for i in range(300)]
+    sizes, keep = [], shards.staged
+
+    def weighed(df, name, *more, **named):
+        out = keep(df, name, *more, **named)
+        if name == "sequences":
+            sizes.append(sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for f in out.inputFiles()))
+        return out
+    monkeypatch.setattr(shards, "staged", weighed)
+    found = []
+    for sample in (shards.SAMPLE if hasattr(shards, "SAMPLE") else None, 0, 1):
+        monkeypatch.setattr(shards, "SAMPLE", sample, raising=False)
+        materialise(docs_of(spark, rows), str(tmp_path / f"s{sample}"), shard_rows=64)
+        found.append([(s, ids.tolist()) for s, ids in read_slots(str(tmp_path / f"s{sample}"))])
+    assert found[0] == found[1] == found[2] and len(found[0]) > 300
+    assert sizes[0] < 0.97 * sizes[1]
+
+
 def test_quality_ranks_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000)
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
