@@ -148,6 +148,45 @@ def test_repeated_passages_recall_of_edited_passages(spark):
     assert {(r["doc_id"], r["source_id"]) for r in out} == {(1000 + i, i) for i in range(200)}
 
 
+def test_joined_ranges_are_kept_as_text(spark, monkeypatch):
+    """The table of ranges that pairs are joined with takes less than their shingles, 8 bytes a word."""
+    rng = random.Random(22)
+    rows = []
+    for i in range(60):
+        base = words(rng, 300)
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(base[:120] + ["edited"] + base[121:]))]
+    kept, keep = {}, substring.staged
+
+    def weighed(df, name, *more, **named):
+        kept[name] = keep(df, name, *more, **named)
+        return kept[name]
+    monkeypatch.setattr(substring, "staged", weighed)
+    out = repeated_passages(docs_of(spark, rows)).collect()
+    assert {(r["doc_id"], r["source_id"]) for r in out} >= {(1000 + i, i) for i in range(60)}
+    asked = kept["passages"].selectExpr("doc AS id", "a", "b").union(kept["passages"].selectExpr("src", "c", "d")).distinct()
+    asked = asked.selectExpr("sum(least(b, 300) - a)").first()[0]
+    others = [t for name, t in kept.items() if name not in ("passages", "links", "cells", "large-links")]
+    size = sum(os.path.getsize(f.removeprefix("file:").replace("///", "/")) for t in others for f in t.inputFiles())
+    assert asked > 30_000 and 0 < size < 5 * asked
+
+
+def test_confirm_on_long_ranges(monkeypatch):
+    """Arrays of marks give what sets give, with repeated shingles or without; the time of a long range is not that of its sets."""
+    rng = np.random.default_rng(23)
+    for k in range(300):
+        many = [6, 60, 10**9][k % 3]
+        x = rng.integers(0, many, 160)
+        y = np.concatenate([rng.integers(0, many, 20), x, x[:k % 40]])
+        for _ in range(k % 5):
+            i = rng.integers(0, len(y))
+            y = np.insert(np.delete(y, slice(i, i + 3)), i, rng.integers(0, many, k % 4))
+        monkeypatch.setattr(substring, "LONG", 10**9)
+        want = list(confirm(x, y, 50, 80))
+        monkeypatch.setattr(substring, "LONG", 0)
+        assert list(confirm(x, y, 50, 80)) == want
+        assert all(type(v) in (int, float) for r in want for v in r)
+
+
 def test_other_texts_of_one_id_stay_whole(spark):
     rng = random.Random(13)
     fresh = lambda n: [f"w{rng.getrandbits(48)}" for _ in range(n)]
