@@ -216,6 +216,60 @@ def test_low_diversity_blocks_against_all_pairs():
     assert sum(map(len, some.values())) > 0.95 * sum(map(len, every.values()))
 
 
+def phrase_cells(n, seed):
+    """Cells of ``n`` documents around one phrase, every tenth with a copy of the one before it that differs in two shingles."""
+    rng = np.random.default_rng(seed)
+    phrase, grams = rng.integers(-2**31, 2**31, 30), []
+    for i in range(n):
+        edges = rng.integers(-2**31, 2**31, (2, 12))
+        grams.append(np.concatenate([edges[0], phrase, edges[1]]).astype(np.int32))
+        if i % 10 == 9:
+            grams[-1] = np.concatenate([edges[0][:2], grams[-2][2:]]).astype(np.int32)
+    return grams
+
+
+def test_blocks_compare_what_shares_more_than_a_phrase(monkeypatch):
+    """The pairs looked at grow with the copies, not with the square of the cells around a common phrase."""
+    seen, candidates = [], substring._candidates
+    monkeypatch.setattr(substring, "_candidates", lambda *x: (seen.append(len(i)) or (i, j) for i, j in candidates(*x)))
+    doc, center = np.arange(600), np.full(600, 20)
+    assert set(substring.block_links(doc, phrase_cells(600, 3), np.zeros(600, int), 50, 80, center)) == {(i, i - 1) for i in range(9, 600, 10)}
+    assert sum(seen) == 60
+    side = doc % 2
+    assert set(substring.block_links(doc, phrase_cells(600, 3), side, 50, 80, center)) == {(i, i - 1) for i in range(9, 600, 10)}
+
+
+def test_small_blocks_together_have_the_links_of_each():
+    """Cells of equal words in two groups do not meet; repeats and cells of other lengths are linked as in a block alone."""
+    rng = np.random.default_rng(15)
+    few = [rng.integers(0, n, 60).astype(np.int32) for n in rng.integers(2, 12, 40)]
+    blocks = [phrase_cells(20, 4), phrase_cells(20, 4), phrase_cells(30, 5), few]
+    alone, at = set(), 0
+    for grams in blocks:
+        n = len(grams)
+        alone |= {(at + i, at + j) for i, j in substring.block_links(np.arange(n) // 2, grams, np.zeros(n, int), 50, 80, np.full(n, 20))}
+        at += n
+    doc = np.concatenate([np.arange(len(b)) // 2 for b in blocks])
+    group = np.repeat(np.arange(len(blocks)), [len(b) for b in blocks])
+    out = substring.block_links(doc, [g for b in blocks for g in b], np.zeros(at, int), 50, 80, np.full(at, 20), group)
+    assert set(out) == alone and len(alone) > 20
+
+
+def test_confirm_of_long_ranges_against_sets():
+    """Every passage of long ranges, with and without repeats, has the similarity of its two sets."""
+    rng = np.random.default_rng(16)
+    for words in (6, 40, 1 << 30):
+        x = shingled(rng.integers(0, words, 500).tolist())
+        for gap in (30, 12):
+            y = x.copy()
+            y[::gap] = rng.integers(1 << 40, 1 << 41, len(y[::gap]))
+            found = list(confirm(x, y, 50, 80))
+            assert found or gap == 12
+            for p, q, r, s, v in found:
+                a, b = set(x[p:q - 4].tolist()), set(y[r:s - 4].tolist())
+                assert q - p >= 50 and v >= 0.8 and abs(v - len(a & b) / len(a | b)) < 1e-12
+
+
 @pytest.mark.parametrize("block", [512, 16])
 def test_repeated_passages_around_a_very_common_phrase(spark, monkeypatch, block):
     monkeypatch.setattr(substring, "BLOCK", block)
