@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapfill.llm.staging import staged
+from gapfill.llm.staging import small_batches, staged
 
 BUCKET = 4096
 QUERIES = 512
+HELD = 32 << 20      # bytes of queries that a task holds at once
+SLICES = 64
 FOCUS = 3
 NARROW = 0.75
 
@@ -126,8 +128,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of every query with every other row, all exact.
 
     Queries are the rows whose id is divisible by ``every``. Vectors are ranged by length into buckets of ``bucket`` rows.
-    The bucket of the longest vectors gives each query a first score to beat; blocks of queries then meet every part of the
-    buckets, one row per block and part, and keep only their ``k`` best there.
+    The bucket of the longest vectors gives each query a first score to beat. The buckets are dealt over slices; a task holds blocks
+    of queries of ``HELD`` bytes at most, takes the buckets of one slice after the other, longest first, and keeps only the
+    ``k`` best of every query there. More queries make more sets of blocks, each of which meets every slice.
 
     Defined results: null vectors or ids, and vectors with null or non-finite components, or scaled ones beyond a long,
     take no part; products beyond a long become the nearest long; vectors of unequal length are filled up with zeros; rows with the query's own id are never its
@@ -135,6 +138,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     fewer candidates give fewer ranks. Other columns are not read.
     """
     spark = vectors.sparkSession
+    # a row holds a whole bucket
+    small_batches(spark)
     rows = staged(_vectors(vectors, vec_id, vector, scale), "vectors")
     n, width, top = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vec")), F.lit(0)),
                              F.coalesce(F.max(F.array_max(F.transform("vec", lambda v: F.abs(v.cast("double"))))), F.lit(0.0))).first()
@@ -143,13 +148,15 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     parts = max(1, min(-(-n // bucket), max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // (16 * bucket))))
 
     def bucketed(batches):
-        held, count = [], 0
+        held, count, number = [], 0, -1
 
         def flush(table):
+            nonlocal number
+            number = table.column("part")[0].as_py() if number < 0 else number + 1
             return pa.RecordBatch.from_arrays(
-                [pa.array([table.column("part")[0].as_py()], pa.int32()), pa.array([table.column("norm")[0].as_py()], pa.float64()),
+                [pa.array([number], pa.int32()), pa.array([table.column("norm")[0].as_py()], pa.float64()),
                  pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([table.column("norm").to_numpy().tobytes()], pa.binary()),
-                 pa.array([_matrix(table.column("vec"), width).astype(kind).tobytes()], pa.binary())], names=["part", "longest", "ids", "norms", "vecs"])
+                 pa.array([_matrix(table.column("vec"), width).astype(kind).tobytes()], pa.binary())], names=["number", "longest", "ids", "norms", "vecs"])
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -164,14 +171,14 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     # ids settle equal lengths, so that one common vector spreads over partitions
     ranged = rows.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
     buckets = staged(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(
-        bucketed, "part int, longest double, ids binary, norms binary, vecs binary"), "buckets")
+        bucketed, "number int, longest double, ids binary, norms binary, vecs binary"), "buckets")
 
     def unpack(ids, vecs, norms):
         return np.frombuffer(ids, np.int64), np.frombuffer(vecs, kind).reshape(-1, max(width, 1)).astype(np.int64), np.frombuffer(norms, np.float64)
-    # one bucket at most: fixed in size
-    seed = spark.sparkContext.broadcast(
-        [tuple(r) for r in buckets.orderBy(F.desc("longest"), "part").limit(1).select("ids", "vecs", "norms").collect()])
-    last = buckets.agg(F.coalesce(F.max("part"), F.lit(0))).first()[0]
+    # one bucket at most, found by its length alone: every task would send its own
+    first = buckets.select("longest", "number").orderBy(F.desc("longest"), "number").limit(1).collect()
+    seed = spark.sparkContext.broadcast([tuple(r) for longest, number in first for r in buckets.where(
+        (F.col("longest") == longest) & (F.col("number") == number)).select("ids", "vecs", "norms").limit(1).collect()])
 
     def blocks(batches):
         for batch in batches:
@@ -186,26 +193,44 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "vec"])
     asked = asked.mapInArrow(blocks, "q_ids binary, q_vecs binary, q_norms binary, need binary")
     asked = staged(asked.withColumn("block", F.sha2(F.concat("q_ids", "q_vecs"), 256)), "queries")
-    spread = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    # every set of blocks meets every slice of the buckets, in a task of its own; both are sent, neither is joined
+    sets = max(1, -(-(asked.agg(F.sum(F.octet_length("q_vecs"))).first()[0] or 0) // HELD))
+    slices = max(1, min(max(SLICES, 2 * spark.sparkContext.defaultParallelism), -(-n // bucket)))
+    side = lambda s, t, longest, *held: [(F.col(s) * slices + F.col(t)).cast("int").alias("task"), longest.alias("longest"), *held]
+    queries = asked.withColumn("set", F.pmod(F.xxhash64("block"), F.lit(sets))).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = buckets.withColumn("slice", F.pmod("number", F.lit(slices))).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
+    met = (queries.select(*side("set", "slice", F.lit(None).cast("double"), F.col("q_ids").alias("ids"), F.col("q_vecs").alias("vecs"), F.col("q_norms").alias("norms"), "need"))
+           .unionByName(dealt.select(*side("set", "slice", F.col("longest"), "ids", "vecs", "norms", F.lit(None).cast("binary").alias("need")))))
+    # null, that is queries, first
+    met = met.repartitionById(sets * slices, F.col("task")).sortWithinPartitions("task", F.desc_nulls_first("longest"))
 
     def search(batches):
         import hashlib
-        name, block = None, None
+        task, asking = None, []
 
         def results():
-            for i, (scores, ids) in enumerate(block.held if block else []):
-                query = hashlib.sha256(block.vecs[i].tobytes()).digest()[:16]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block.ids[i])), pa.array([query] * len(ids), pa.binary()),
-                                                  pa.array(ids), pa.array(scores)], names=["query_id", "query", "vec_id", "score"])
+            for block in asking:
+                found = [i for i, (scores, _) in enumerate(block.held) if len(scores)]
+                if not found:
+                    continue
+                size = [len(block.held[i][0]) for i in found]
+                query = [hashlib.sha256(block.vecs[i].tobytes()).digest()[:16] for i in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(block.ids[found], size)), pa.array(np.repeat(np.array(query, object), size), pa.binary()),
+                     pa.array(np.concatenate([block.held[i][1] for i in found])), pa.array(np.concatenate([block.held[i][0] for i in found]))],
+                    names=["query_id", "query", "vec_id", "score"])
         for batch in batches:
             for row in batch.to_pylist():
-                if row["block"] != name:
+                if row["task"] != task:
                     yield from results()
-                    name = row["block"]
-                    block = Block(*unpack(row["q_ids"], row["q_vecs"], row["q_norms"]), np.frombuffer(row["need"], np.int64))
-                search_bucket(*unpack(row["ids"], row["vecs"], row["norms"]), block, k)
+                    task, asking = row["task"], []
+                if row["need"] is not None:
+                    asking.append(Block(*unpack(row["ids"], row["vecs"], row["norms"]), np.frombuffer(row["need"], np.int64)))
+                else:
+                    bucket_rows = unpack(row["ids"], row["vecs"], row["norms"])
+                    for block in asking:
+                        search_bucket(*bucket_rows, block, k)
         yield from results()
-    met = buckets.join(spread, "part").select("block", "q_ids", "q_vecs", "q_norms", "need", "ids", "norms", "vecs")
     found = met.mapInArrow(search, "query_id long, query binary, vec_id long, score long")
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))

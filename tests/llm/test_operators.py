@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gapfill.llm import quality, shards, substring, toxicity
+from gapfill.llm import quality, shards, substring, topk, toxicity
 from gapfill.llm.decontaminate import contamination, decontaminate
 from gapfill.llm.langid import identify, keep_identified, train
 from gapfill.llm.minhash import near_duplicates
@@ -425,6 +425,26 @@ def test_top_k(spark):
     assert [tuple(r)[:3] for r in top_k(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
 
 
+def test_top_k_sends_no_queries_through_the_driver(spark, monkeypatch):
+    """Sets of queries meet slices of buckets in tasks: equal to brute force, whatever a task holds, and without a broadcast."""
+    rng = np.random.default_rng(24)
+    x = rng.normal(size=(1500, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = np.floor(1024 * x).astype(np.int64)
+    scores = whole[::2] @ whole.T
+    want = set()
+    for q, row in enumerate(scores):
+        order = [v for v in np.lexsort((np.arange(len(x)), -row)).tolist() if v != 2 * q][:4]
+        want |= {(2 * q, r + 1, v, int(row[v])) for r, v in enumerate(order)}
+    for held, slices in ((32 << 20, 64), (2000, 3)):
+        monkeypatch.setattr(topk, "HELD", held)
+        monkeypatch.setattr(topk, "SLICES", slices)
+        out = top_k(df, 4, 2, bucket=100)
+        got = [tuple(r) for r in out.collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
 ODD_TEXTS = ["", "a", "  a b", "a \n b", "x<|endoftext|>y", "don't we'll  ", "é è\tz", "日本 go", "\n\n a", "a\x00b", "12 3x '' 's", "a\xa0b", "😀 ok" * 3]
 
 
