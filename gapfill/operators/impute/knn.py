@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from gapfill.frames import NUMERICAL, col, each, split_kinds
@@ -361,7 +362,7 @@ class KNNModel(Model):
             for pdf in batches:
                 yield pdf.assign(cell=locate(shared_tree.value, pdf[features].to_numpy(dtype=float)))
 
-        donors = (donors.mapInPandas(place, _ddl(donors) + ", cell int") if len(tree[0])
+        donors = (donors.mapInPandas(place, _schema(donors, "cell")) if len(tree[0])
                   else donors.withColumn("cell", F.lit(0))).persist()
         aggs = [F.count(F.lit(1)).alias("n")]
         for i, c in enumerate(features):
@@ -384,7 +385,7 @@ class KNNModel(Model):
                 leaf = boxes.home(space, features, pdf[features].to_numpy(dtype=float), min(k, int(boxes.n[0])))
                 yield pdf.assign(cell=leaf - inner, chunk=np.arange(len(pdf)) % np.maximum(1, boxes.chunks[leaf]))
 
-        first_visit = distinct.mapInPandas(home, _ddl(distinct) + ", cell int, chunk int")
+        first_visit = distinct.mapInPandas(home, _schema(distinct, "cell", "chunk"))
         round1 = self._match(first_visit, donors, features, dkeys, carry=True).persist()
 
         def rest(batches):
@@ -398,7 +399,7 @@ class KNNModel(Model):
                     yield pdf.iloc[rows[new]].drop(columns="radius").assign(cell=leaf[new], chunk=part[new])
 
         asked = round1.where("last").select("rep", *each(features), "cell", "chunk", "radius")
-        second_visit = asked.mapInPandas(rest, _ddl(asked.drop("radius")))
+        second_visit = asked.mapInPandas(rest, _schema(asked.drop("radius")))
         round2 = self._match(second_visit, donors, features, dkeys, carry=False)
         hits = round1.where(F.col("d2").isNotNull()).select("rep", *dkeys, "d2", "value").unionByName(round2)
         best = Window.partitionBy("rep").orderBy("d2", *[F.col(d).asc_nulls_last() for d in dkeys])
@@ -509,5 +510,6 @@ def _mode_codes(encoded: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {r["column"]: r["best"]["value"] for r in best.collect()}
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+def _schema(df: DataFrame, *numbers: str) -> StructType:
+    """The columns of ``df`` and some integers; as text the names inside a struct would have to be quoted."""
+    return StructType([StructField(f.name, f.dataType) for f in df.schema.fields] + [StructField(n, IntegerType()) for n in numbers])
