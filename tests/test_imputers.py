@@ -371,6 +371,30 @@ def test_network_shares_follow_the_rows(data, monkeypatch):
     assert none is None and np.array_equal(same, dx)
 
 
+def test_adversarial_step_runs_each_network_no_more_than_needed(monkeypatch):
+    """One pass of the generator and two of the discriminator make a step; Adam moves the weights as its formula says."""
+    from types import SimpleNamespace
+
+    from gapfill.operators.impute import neural
+    layout = Layout(SimpleNamespace(numeric=["a", "b"], categorical=["s"], vocab={"s": ["x", "y"]}))
+    p = GAINImputer(hidden_dim=4).get_params()
+    net, rng = AdversarialNet(layout, p), np.random.default_rng(2)
+    w, x = net.start(rng).astype(np.float32), rng.normal(size=(8, 2)).astype(np.float32)
+    ran, forward = [], neural.Layers.forward
+    monkeypatch.setattr(neural.Layers, "forward", lambda self, *a, **k: ran.append(self) or forward(self, *a, **k))
+    for _ in net.gradients(w, x, rng.integers(1, 3, (8, 1)), np.ones((8, 3), np.float32), rng):
+        pass
+    assert [n is net.gen for n in ran] == [True, False, False]
+    m, v, w, start = rng.normal(size=5), rng.random(5), rng.normal(size=5), 3
+    adam, want = neural.Adam(m, v, start, 1e-2), w.copy()
+    for t in range(start + 1, start + 4):
+        g = rng.normal(size=5)
+        adam.step(w, g)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        want -= 1e-2 * m / (1 - 0.9**t) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose(w, want) and np.allclose(adam.m, m) and np.allclose(adam.v, v)
+
+
 def test_knn_boxes_with_repeated_and_missing_keys(spark):
     """Other rows of one key must not lend each other neighbours, nor multiply beyond what the join by key does."""
     rows = [(i % 50, None if i % 4 == 0 else float(i * 7 % 31), None if i % 4 == 1 else i / 3) for i in range(100)]
